@@ -18,8 +18,8 @@ def parse_utc(text: Column) -> Column:
 
 
 def parse_utc_offset(text: Column) -> Column:
-    """ISO text with a zone offset, shifted to UTC."""
-    return text.try_cast("timestamp").cast(NTZ)
+    """Minute-precise ISO text with ``Z`` or a zone offset, shifted to UTC."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mmXXX")).cast(NTZ)
 
 
 def hour_of(ts: Column) -> Column:

@@ -68,6 +68,10 @@ class Lake:
 
         _together(load, cleaners)
 
+    @property
+    def silver_names(self) -> tuple[str, ...]:
+        return tuple(SILVER_KEYS)
+
     def silver_frame(self, name: str) -> DataFrame:
         return read_table(self.spark, self.silver_table(name))
 

@@ -13,6 +13,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    fs, where = _resolve(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     fs, where = _resolve(spark, path)
     return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []

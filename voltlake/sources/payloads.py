@@ -11,7 +11,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlake import settings
-from voltlake.functions.timeparts import at, parse_utc_offset
+from voltlake.functions.timeparts import at
 from voltlake.sources import schemas
 
 
@@ -152,18 +152,14 @@ def latest_product(payloads: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     )
 
 
-def unreadable(payloads: DataFrame, shape: str) -> DataFrame:
-    """Number of payload texts that do not parse as ``shape``."""
-    return payloads.agg(
-        F.count_if(F.col("payload").isNotNull() & F.from_json("payload", shape).isNull()).alias(
-            "unreadable"
-        )
-    )
+def unreadable(payloads: DataFrame) -> DataFrame:
+    """Number of payload texts that are no JSON; they yield no rows above."""
+    bad = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+    return payloads.agg(F.count_if(bad).alias("unreadable"))
 
 
-def within_fetch_window(df: DataFrame, time_text: str, as_of: datetime) -> DataFrame:
+def within_fetch_window(df: DataFrame, slot: Column, as_of: datetime) -> DataFrame:
     """Slots from 24 hours before ``as_of`` up to 48 hours after it."""
-    slot = parse_utc_offset(F.col(time_text))
     return df.filter(
         (slot >= at(as_of - settings.LOOKBACK)) & (slot < at(as_of + settings.LOOKAHEAD))
     )

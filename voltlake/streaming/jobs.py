@@ -28,20 +28,6 @@ def stream_payloads(
     )
 
 
-def ingest(
-    payloads: DataFrame, flatten: Callable[[DataFrame], DataFrame], target: str, checkpoint: str
-) -> StreamingQuery:
-    """Flatten new payloads and append them to a bronze folder, each file once."""
-    return (
-        flatten(payloads)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(target)
-    )
-
-
 def upsert_stream(
     raw: DataFrame,
     clean: Callable[[DataFrame], DataFrame],
@@ -89,6 +75,7 @@ def hourly_fuel_means(
 
 
 def append_stream(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream to a Parquet folder: each input file, or closed hour, once."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
