@@ -4,7 +4,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from voltlake.functions.timeparts import at
 from voltlake.operators.latest import newest_per_key
@@ -21,12 +22,15 @@ class KeyedTable:
     ``dated_by`` names a date or timestamp column that is a function of the key: it
     places the row in a date partition, so a new version of a row lands where the old
     one is and only the dates present in a batch are rewritten.
+
+    A declared ``schema`` spares reading every file's footer to merge theirs.
     """
 
     path: str
     keys: tuple[str, ...]
     dated_by: str
     version: str = "loaded_at"
+    schema: StructType | None = None
 
     def part_of(self) -> Column:
         return F.coalesce(F.to_date(self.dated_by), F.lit(_NO_DATE).cast("date"))
@@ -35,10 +39,21 @@ class KeyedTable:
     def staging(self) -> str:
         return f"{self.path.rstrip('/')}__staging"
 
+    @property
+    def marks(self) -> str:
+        return f"{self.path.rstrip('/')}__marks"
+
+
+def _stored(spark: SparkSession, table: KeyedTable) -> DataFrame:
+    if table.schema is None:
+        return spark.read.option("mergeSchema", "true").parquet(table.path)
+    dated = StructType([*table.schema.fields, StructField(PART, DateType())])
+    return spark.read.schema(dated).parquet(table.path)
+
 
 def read_table(spark: SparkSession, table: KeyedTable) -> DataFrame:
     """Current rows. Columns added later are NULL in older files."""
-    return spark.read.option("mergeSchema", "true").parquet(table.path).drop(PART)
+    return _stored(spark, table).drop(PART)
 
 
 def is_loaded(spark: SparkSession, table: KeyedTable) -> bool:
@@ -47,10 +62,21 @@ def is_loaded(spark: SparkSession, table: KeyedTable) -> bool:
 
 
 def high_water(spark: SparkSession, table: KeyedTable) -> datetime | None:
-    """Greatest version loaded so far; None for a missing or empty table."""
+    """Greatest version loaded so far; None for a missing or empty table.
+
+    Loads note it down, and a table dated by its version has it in the last partition.
+    Only without either is the version column read in full.
+    """
     if not is_loaded(spark, table):
         return None
-    return read_table(spark, table).agg(F.max(table.version)).first()[0]
+    if table.dated_by == table.version:
+        last = max(n for n in list_names(spark, table.path) if n.startswith(f"{PART}="))
+        versions = spark.read.parquet(f"{table.path}/{last}")
+    elif exists(spark, f"{table.marks}/_SUCCESS"):
+        versions = spark.read.parquet(table.marks)
+    else:
+        versions = read_table(spark, table)
+    return versions.agg(F.max(table.version)).first()[0]
 
 
 def newer_than(
@@ -63,8 +89,8 @@ def newer_than(
     return source if mark is None else source.filter(F.col(version) > at(mark))
 
 
-def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> None:
-    """Merge ``batch`` into the table.
+def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime | None:
+    """Merge ``batch`` into the table and return the greatest version written.
 
     Target rows of the touched dates and the batch are reduced together to the newest
     row per key, so applying a batch twice, or batches out of order, gives the same
@@ -75,18 +101,24 @@ def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> None:
     """
     finish_pending(spark, table)
     batch = batch.withColumn(PART, table.part_of())
+    seen = Observation()
+
+    def newest(df: DataFrame) -> DataFrame:
+        reduced = newest_per_key(df, table.keys, table.version)
+        return reduced.observe(seen, F.max(table.version).alias("version"))
+
     if not is_loaded(spark, table):
-        first = newest_per_key(batch, table.keys, table.version)
-        _dated(first).mode("overwrite").parquet(table.path)
-        return
-    current = spark.read.option("mergeSchema", "true").parquet(table.path)
+        _dated(newest(batch)).mode("overwrite").parquet(table.path)
+        return seen.get["version"]
+    current = _stored(spark, table)
     touched = batch.select(PART).distinct()
     both = current.join(touched, PART, "left_semi").unionByName(
         batch, allowMissingColumns=True
     )
     staged = f"{table.staging}/{datetime.now():%Y%m%d%H%M%S%f}"
-    _dated(newest_per_key(both, table.keys, table.version)).parquet(staged)
+    _dated(newest(both)).parquet(staged)
     _apply(spark, table, staged)
+    return seen.get["version"]
 
 
 def finish_pending(spark: SparkSession, table: KeyedTable) -> None:
@@ -105,10 +137,17 @@ def load_increment(
     source: DataFrame,
     clean: Callable[[DataFrame], DataFrame],
 ) -> None:
-    """Incremental load: rows of ``source`` after the high-water mark, cleaned, merged."""
+    """Incremental load: rows of ``source`` after the high-water mark, cleaned, merged.
+
+    The new mark is noted after the merge. A run that dies in between takes the same
+    rows again next time, which changes nothing.
+    """
     finish_pending(spark, table)
     fresh = newer_than(source, high_water(spark, table), table.version)
-    upsert(spark, table, clean(fresh))
+    mark = upsert(spark, table, clean(fresh))
+    if mark is not None:
+        noted = spark.range(1).select(at(mark).alias(table.version))
+        noted.write.mode("append").parquet(table.marks)
 
 
 def append_increment(

@@ -33,7 +33,11 @@ def slot_totals(
     keys: Sequence[str] = (),
     renewable_fuels: Sequence[str] = settings.RENEWABLE_FUELS,
 ) -> DataFrame:
-    """Per slot: output without exports, renewable output, and the plain sum (demand)."""
+    """Per slot: output without exports, renewable output, and the plain sum (demand).
+
+    Four marts start from these totals; a build stores them once, so the readings
+    themselves are scanned once for all of them.
+    """
     mw = F.col("generation_mw")
     renewable = F.when(F.col("fuel_type").isin(*renewable_fuels), mw).otherwise(0.0)
     return generation.groupBy(*keys, "period_utc").agg(
@@ -43,19 +47,17 @@ def slot_totals(
     )
 
 
-def hourly_totals(generation: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def hourly_totals(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean over the hour's slots of each slot total."""
-    return (
-        slot_totals(generation, keys)
-        .groupBy(*keys, hour_of(F.col("period_utc")).alias("hour_utc"))
-        .agg(*[F.avg(c).alias(c) for c in ("total_mw", "renewable_mw", "demand_mw")])
+    return totals.groupBy(*keys, hour_of(F.col("period_utc")).alias("hour_utc")).agg(
+        *[F.avg(c).alias(c) for c in ("total_mw", "renewable_mw", "demand_mw")]
     )
 
 
 def mart_price_carbon(
     prices: DataFrame,
     carbon: DataFrame,
-    generation: DataFrame,
+    totals: DataFrame,
     keys: Sequence[str] = (),
 ) -> DataFrame:
     """One row per slot known to either feed; generation only where there is a price.
@@ -66,7 +68,7 @@ def mart_price_carbon(
     slot = [*keys, "period_utc"]
     priced = prices.select(
         *keys, F.col("valid_from").alias("period_utc"), "value_inc_vat"
-    ).join(slot_totals(generation, keys).drop("demand_mw"), slot, "left")
+    ).join(totals.drop("demand_mw"), slot, "left")
     clean = carbon.select(
         *keys,
         F.col("period_from").alias("period_utc"),
@@ -86,6 +88,28 @@ def mart_price_carbon(
     )
 
 
+def price_carbon_ahead(
+    prices: DataFrame,
+    carbon: DataFrame,
+    totals: DataFrame,
+    as_of: datetime,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """``mart_price_carbon`` for the running slot and the 48 hours after it.
+
+    Enough for every question about coming slots. Cutting each input first matters: a
+    filter on the joined slot, which may come from either side, is not pushed below the
+    outer join, while these reach the scans.
+    """
+    first, last = at(as_of - settings.SLOT), at(as_of + settings.BEST_WINDOW_HORIZON)
+    return mart_price_carbon(
+        prices.filter(F.col("valid_from").between(first, last)),
+        carbon.filter(F.col("period_from").between(first, last)),
+        totals.filter(F.col("period_utc").between(first, last)),
+        keys,
+    )
+
+
 def mart_best_windows(
     price_carbon: DataFrame, as_of: datetime, keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -158,11 +182,11 @@ def mart_fuel_mix(generation: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def mart_renewable_mix(
-    generation: DataFrame, keys: Sequence[str] = (), rows: int = settings.ROLLING_HOURS
+    totals: DataFrame, keys: Sequence[str] = (), rows: int = settings.ROLLING_HOURS
 ) -> DataFrame:
     """Renewable share per hour and its mean over the last ``rows`` hours on record."""
     share = safe_ratio(F.col("renewable_mw"), F.col("total_mw")) * 100
-    return hourly_totals(generation, keys).select(
+    return hourly_totals(totals, keys).select(
         *keys,
         "hour_utc",
         "renewable_mw",
@@ -173,12 +197,12 @@ def mart_renewable_mix(
 
 
 def mart_temp_vs_demand(
-    generation: DataFrame, weather: DataFrame, keys: Sequence[str] = ()
+    totals: DataFrame, weather: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Hourly demand (exports counted as negative) beside the temperature."""
     hour = F.col("hour_utc")
     return (
-        hourly_totals(generation, keys)
+        hourly_totals(totals, keys)
         .join(
             weather.select(*keys, "hour_utc", "temp_c", "windspeed_kmh"),
             [*keys, "hour_utc"],
@@ -210,7 +234,7 @@ def is_stress_hour(share: Column) -> Column:
 
 
 def mart_grid_stress(
-    generation: DataFrame, weather: DataFrame, keys: Sequence[str] = ()
+    totals: DataFrame, weather: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Hours with a known temperature, flagged when the grid was under stress."""
     measured = weather.filter(F.col("temp_c").isNotNull()).select(
@@ -219,7 +243,7 @@ def mart_grid_stress(
     share = safe_ratio(F.col("renewable_mw"), F.col("total_mw"))
     hour = F.col("hour_utc")
     return (
-        hourly_totals(generation, keys)
+        hourly_totals(totals, keys)
         .drop("demand_mw")
         .join(measured, [*keys, "hour_utc"])
         .select(

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from voltlake.operators.quality import check_tables
 from voltlake.operators.upsert import (
@@ -44,11 +45,17 @@ class Lake:
     spark: SparkSession
     root: str
     keys: Sequence[str] = ()
+    schemas: dict[str, StructType] = field(default_factory=dict)
     gold_frames: dict[str, DataFrame] = field(default_factory=dict)
 
     def silver_table(self, name: str) -> KeyedTable:
         key, dated_by = SILVER_KEYS[name]
-        return KeyedTable(f"{self.root}/silver/{name}", (*self.keys, key), dated_by)
+        return KeyedTable(
+            f"{self.root}/silver/{name}",
+            (*self.keys, key),
+            dated_by,
+            schema=self.schemas.get(name),
+        )
 
     def load_silver(self, bronze: dict[str, DataFrame], lookup: DataFrame) -> None:
         """Merge the bronze rows that are newer than each table."""
@@ -63,6 +70,7 @@ class Lake:
 
         def load(name: str) -> None:
             source = bronze[name.replace("stg_", "raw_")]
+            self.schemas[name] = cleaners[name](source).schema
             increment = append_increment if name in HISTORY_TABLES else load_increment
             increment(self.spark, self.silver_table(name), source, cleaners[name])
 
@@ -88,14 +96,15 @@ class Lake:
                 "stg_carbon",
             )
         )
+        totals = rebuild(gold.slot_totals(generation, keys), f"{self.root}/gold/slot_totals")
         frames = {
-            "mart_price_carbon": gold.mart_price_carbon(prices, national, generation, keys),
+            "mart_price_carbon": gold.mart_price_carbon(prices, national, totals, keys),
             "mart_carbon_heatmap": gold.mart_carbon_heatmap(national, keys),
             "mart_price_heatmap": gold.mart_price_heatmap(prices, keys),
             "mart_fuel_mix": gold.mart_fuel_mix(generation, keys),
-            "mart_renewable_mix": gold.mart_renewable_mix(generation, keys),
-            "mart_temp_vs_demand": gold.mart_temp_vs_demand(generation, weather, keys),
-            "mart_grid_stress": gold.mart_grid_stress(generation, weather, keys),
+            "mart_renewable_mix": gold.mart_renewable_mix(totals, keys),
+            "mart_temp_vs_demand": gold.mart_temp_vs_demand(totals, weather, keys),
+            "mart_grid_stress": gold.mart_grid_stress(totals, weather, keys),
             "mart_regional_carbon": gold.mart_regional_carbon(regional, keys),
             "mart_solar_weather": gold.mart_solar_weather(weather, keys),
         }

@@ -9,20 +9,20 @@ failing the load.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from voltlake import settings
-from voltlake.functions.numbers import text_to_double
-from voltlake.functions.timeparts import as_text, parse_utc, parse_utc_offset, plus
 from voltlake.operators.latest import newest_per_key
 
 
-def _joined_key(*parts: Column) -> Column:
-    """Parts joined by underscores; NULL when any part is NULL."""
-    pieces = [parts[0]]
-    for part in parts[1:]:
-        pieces += [F.lit("_"), part]
-    return F.concat(*pieces)
+def _number(text: str) -> str:
+    """Number kept as text; blank, ``None`` and unreadable text become NULL."""
+    return f"try_cast(nullif(nullif({text}, ''), 'None') AS double)"
+
+
+def _utc_minute(text: str) -> str:
+    """Minute-precise text with ``Z`` or an offset, as UTC."""
+    return f"CAST(try_to_timestamp({text}, \"yyyy-MM-dd'T'HH:mmXXX\") AS timestamp_ntz)"
 
 
 def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,52 +31,39 @@ def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Rows without a start time fall back to date and period number, which is an hour
     late while clocks are on summer time.
     """
-    date = F.col("settlement_date").try_cast("date")
-    period = F.col("settlement_period").try_cast("int")
-    counted_start = F.expr(
-        "cast(try_cast(settlement_date as date) as timestamp_ntz)"
-        " + make_dt_interval(0, 0, 30 * (try_cast(settlement_period as int) - 1))"
-    )
-    typed = (
-        raw.filter(F.col("generation").isNotNull())
-        .filter(period.between(1, settings.PERIODS_PER_DAY_MAX))
-        .select(
-            *keys,
-            date.alias("settlement_date"),
-            period.alias("settlement_period"),
-            F.coalesce(parse_utc(F.col("start_time")), counted_start).alias("period_utc"),
-            F.upper(F.trim("fuel_type")).alias("fuel_type"),
-            F.col("generation").try_cast("double").alias("generation_mw"),
-            "loaded_at",
-        )
+    typed = raw.filter(
+        "generation IS NOT NULL AND try_cast(settlement_period AS int) "
+        f"BETWEEN 1 AND {settings.PERIODS_PER_DAY_MAX}"
+    ).selectExpr(
+        *keys,
+        "try_cast(settlement_date AS date) AS settlement_date",
+        "try_cast(settlement_period AS int) AS settlement_period",
+        "coalesce(try_cast(start_time AS timestamp_ntz),"
+        " CAST(try_cast(settlement_date AS date) AS timestamp_ntz)"
+        " + make_dt_interval(0, 0, 30 * (try_cast(settlement_period AS int) - 1)))"
+        " AS period_utc",
+        "upper(trim(fuel_type)) AS fuel_type",
+        "try_cast(generation AS double) AS generation_mw",
+        "loaded_at",
     )
-    keyed = typed.withColumn(
-        "settlement_key",
-        _joined_key(
-            as_text(F.col("settlement_date")),
-            F.col("settlement_period").cast("string"),
-            F.col("fuel_type"),
-        ),
+    keyed = typed.selectExpr(
+        "*",
+        "concat(settlement_date, '_', settlement_period, '_', fuel_type) AS settlement_key",
     )
     return newest_per_key(keyed, [*keys, "settlement_key"])
 
 
-WEATHER_MEASURES = {
-    "temp_c": "temperature_2m",
-    "windspeed_kmh": "windspeed_10m",
-    "cloudcover_pct": "cloudcover",
-    "direct_radiation_wm2": "direct_radiation",
-    "wind_direction_deg": "wind_direction_10m",
-    "precipitation_mm": "precipitation",
-}
-
-
 def stg_weather(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Weather per reported time; times are kept as given, not cut to the hour."""
-    typed = raw.filter(F.col("time").isNotNull()).select(
+    typed = raw.filter("time IS NOT NULL").selectExpr(
         *keys,
-        parse_utc(F.col("time")).alias("hour_utc"),
-        *[text_to_double(F.col(src)).alias(dst) for dst, src in WEATHER_MEASURES.items()],
+        "try_cast(time AS timestamp_ntz) AS hour_utc",
+        f"{_number('temperature_2m')} AS temp_c",
+        f"{_number('windspeed_10m')} AS windspeed_kmh",
+        f"{_number('cloudcover')} AS cloudcover_pct",
+        f"{_number('direct_radiation')} AS direct_radiation_wm2",
+        f"{_number('wind_direction_10m')} AS wind_direction_deg",
+        f"{_number('precipitation')} AS precipitation_mm",
         "loaded_at",
     )
     return newest_per_key(typed, [*keys, "hour_utc"])
@@ -84,36 +71,33 @@ def stg_weather(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def stg_prices(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Price per half-hour slot, in pence including tax."""
-    typed = raw.filter(F.col("valid_from").isNotNull()).select(
+    typed = raw.filter("valid_from IS NOT NULL").selectExpr(
         *keys,
-        parse_utc(F.col("valid_from")).alias("valid_from"),
-        parse_utc(F.col("valid_to")).alias("valid_to"),
-        F.col("value_inc_vat").cast("double").alias("value_inc_vat"),
+        "try_cast(valid_from AS timestamp_ntz) AS valid_from",
+        "try_cast(valid_to AS timestamp_ntz) AS valid_to",
+        "CAST(value_inc_vat AS double) AS value_inc_vat",
         "product_code",
         "loaded_at",
     )
     newest = newest_per_key(typed, [*keys, "valid_from"])
-    return newest.withColumn("price_key", as_text(F.col("valid_from")))
+    return newest.selectExpr("*", "CAST(valid_from AS string) AS price_key")
 
 
 def stg_carbon_national(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """National intensity per slot: the actual where published, else the forecast."""
-    actual = F.nullif(F.col("intensity_actual"), F.lit(""))
-    forecast = F.nullif(F.col("intensity_forecast"), F.lit(""))
-    typed = raw.filter(F.col("from_time").isNotNull()).select(
+    typed = raw.filter("from_time IS NOT NULL").selectExpr(
         *keys,
-        parse_utc_offset(F.col("from_time")).alias("period_from"),
-        parse_utc_offset(F.col("to_time")).alias("period_to"),
-        actual.try_cast("double").alias("intensity_actual"),
-        forecast.try_cast("double").alias("intensity_forecast"),
-        F.coalesce(actual, forecast).try_cast("double").alias("intensity_best"),
+        f"{_utc_minute('from_time')} AS period_from",
+        f"{_utc_minute('to_time')} AS period_to",
+        "try_cast(nullif(intensity_actual, '') AS double) AS intensity_actual",
+        "try_cast(nullif(intensity_forecast, '') AS double) AS intensity_forecast",
+        "try_cast(coalesce(nullif(intensity_actual, ''), nullif(intensity_forecast, ''))"
+        " AS double) AS intensity_best",
         "intensity_index",
         "loaded_at",
     )
     newest = newest_per_key(typed, [*keys, "period_from"])
-    return newest.withColumn(
-        "period_key", F.concat(as_text(F.col("period_from")), F.lit("+00"))
-    )
+    return newest.selectExpr("*", "concat(period_from, '+00') AS period_key")
 
 
 def stg_carbon(raw: DataFrame, lookup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -122,17 +106,16 @@ def stg_carbon(raw: DataFrame, lookup: DataFrame, keys: Sequence[str] = ()) -> D
     No broadcast hint: Spark broadcasts the lookup when its size allows, and otherwise
     shuffles, where adaptive execution splits a region that holds most snapshots.
     """
-    names = lookup.select(F.col("regionid").cast("int").alias("regionid"), "full_name")
-    typed = raw.filter(F.col("regionid").isNotNull()).select(
+    names = lookup.selectExpr("CAST(regionid AS int) AS regionid", "full_name")
+    typed = raw.filter("regionid IS NOT NULL").selectExpr(
         *keys,
-        F.col("regionid").try_cast("int").alias("regionid"),
+        "try_cast(regionid AS int) AS regionid",
         "shortname",
-        text_to_double(F.col("intensity_actual")).alias("intensity_actual"),
+        f"{_number('intensity_actual')} AS intensity_actual",
         "generationmix",
         "loaded_at",
     )
-    named = typed.join(names, "regionid", "left")
-    return named.select(
+    return typed.join(names, "regionid", "left").selectExpr(
         *keys,
         "regionid",
         "shortname",
@@ -140,11 +123,5 @@ def stg_carbon(raw: DataFrame, lookup: DataFrame, keys: Sequence[str] = ()) -> D
         "intensity_actual",
         "generationmix",
         "loaded_at",
-        _joined_key(F.col("regionid").cast("string"), as_text(F.col("loaded_at"))).alias(
-            "carbon_key"
-        ),
+        "concat(regionid, '_', loaded_at) AS carbon_key",
     )
-
-
-def slot_end(slot: Column) -> Column:
-    return plus(slot, settings.SLOT)

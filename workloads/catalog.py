@@ -353,17 +353,19 @@ _both(
 )
 _both(
     "appliance_windows",
-    lambda f: serve.appliance_windows(f.price_carbon, views.AS_OF, 2.0, WEIGHT, f.keys),
+    lambda f: serve.appliance_windows(f.price_carbon_ahead, views.AS_OF, 2.0, WEIGHT, f.keys),
     lambda keyed: oracle.appliance_windows(4, AMPLIFIED, keyed),
 )
 _register(
     "appliance_windows_long",
-    lambda spark, d: serve.appliance_windows(Frames(spark, d).price_carbon, views.AS_OF, 3.5),
+    lambda spark, d: serve.appliance_windows(
+        Frames(spark, d).price_carbon_ahead, views.AS_OF, 3.5
+    ),
     oracle.appliance_windows(7, 0.5),
 )
 _both(
     "windows_by_day",
-    lambda f: serve.windows_by_day(f.price_carbon, views.AS_OF, WEIGHT, f.keys),
+    lambda f: serve.windows_by_day(f.price_carbon_ahead, views.AS_OF, WEIGHT, f.keys),
     lambda keyed: oracle.windows_by_day(AMPLIFIED, keyed),
 )
 _both(
@@ -629,11 +631,13 @@ _register(
     "stream_fuel_mix",
     _stream_fuel_mix,
     oracle.statement(
-        """SELECT date_trunc('hour', loaded_at) AS hour_utc, upper(trim(fuel_type)) AS fuel_type,
-                  avg(generation::DOUBLE) AS generation_mw
-           FROM raw_generation GROUP BY ALL
-           HAVING hour_utc + INTERVAL '1 hour'
-                  <= (SELECT max(loaded_at) - INTERVAL '1 hour' FROM raw_generation)"""
+        """SELECT hour_utc, fuel_type, avg(mw) AS generation_mw
+           FROM (SELECT date_trunc('hour', loaded_at) AS hour_utc,
+                        upper(trim(fuel_type)) AS fuel_type, generation::DOUBLE AS mw,
+                        max(loaded_at) OVER () - INTERVAL '1 hour' AS closed_before
+                 FROM raw_generation)
+           WHERE hour_utc + INTERVAL '1 hour' <= closed_before
+           GROUP BY ALL"""
     ),
 )
 

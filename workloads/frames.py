@@ -48,13 +48,23 @@ class Frames:
     def regional_snapshots(self) -> DataFrame:
         return silver.stg_carbon(self.raw("raw_carbon"), self.lookup, self.keys)
 
+    @cached_property
+    def totals(self) -> DataFrame:
+        return gold.slot_totals(self.generation, self.keys)
+
     @cached_property
     def price_carbon(self) -> DataFrame:
-        return gold.mart_price_carbon(self.prices, self.national, self.generation, self.keys)
+        return gold.mart_price_carbon(self.prices, self.national, self.totals, self.keys)
+
+    @cached_property
+    def price_carbon_ahead(self) -> DataFrame:
+        return gold.price_carbon_ahead(
+            self.prices, self.national, self.totals, views.AS_OF, self.keys
+        )
 
     @cached_property
     def best_windows(self) -> DataFrame:
-        return gold.mart_best_windows(self.price_carbon, views.AS_OF, self.keys)
+        return gold.mart_best_windows(self.price_carbon_ahead, views.AS_OF, self.keys)
 
     @cached_property
     def carbon_heatmap(self) -> DataFrame:
@@ -70,15 +80,15 @@ class Frames:
 
     @cached_property
     def renewable_mix(self) -> DataFrame:
-        return gold.mart_renewable_mix(self.generation, self.keys)
+        return gold.mart_renewable_mix(self.totals, self.keys)
 
     @cached_property
     def temp_vs_demand(self) -> DataFrame:
-        return gold.mart_temp_vs_demand(self.generation, self.weather, self.keys)
+        return gold.mart_temp_vs_demand(self.totals, self.weather, self.keys)
 
     @cached_property
     def grid_stress(self) -> DataFrame:
-        return gold.mart_grid_stress(self.generation, self.weather, self.keys)
+        return gold.mart_grid_stress(self.totals, self.weather, self.keys)
 
     @cached_property
     def regional_latest(self) -> DataFrame:

@@ -7,16 +7,15 @@ do not depend on the order in which engines add them. ``oracle.py`` states the s
 feeds in SQL.
 """
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltlake.functions.numbers import banded
-from voltlake.functions.timeparts import at, hour_of, slot_of
+from voltlake.functions.timeparts import hour_of, slot_of
 from voltlake import settings
 
 AS_OF = datetime(2024, 1, 15, 12, 10)
-CARBON_LEAD = timedelta(hours=36)
 FUELS = {
     "view": " wind ",
     "signup": "biomass",
@@ -46,7 +45,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_zone(df: DataFrame) -> DataFrame:
     """Adds the series key of the keyed queries."""
-    return df.withColumn("zone", F.concat(F.lit("Z"), (F.col("user_id") % ZONES).cast("string")))
+    return df.selectExpr("*", f"concat('Z', user_id % {ZONES}) AS zone")
 
 
 def _iso(ts: Column, pattern: str) -> Column:
@@ -65,92 +64,102 @@ def _whole(x: Column) -> Column:
     return F.floor(x).cast("long")
 
 
-def _blank_zero(number: Column) -> Column:
-    return F.when(number == 0, "").otherwise(number.cast("string"))
+_SLOT = (
+    "CAST(date_trunc('hour', ts) AS timestamp_ntz)"
+    " + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTES ELSE INTERVAL 0 MINUTES END"
+)
+_ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+_ISO_MINUTE = "yyyy-MM-dd'T'HH:mm'Z'"
+_PERIOD = "hour(ts) * 2 + CASE WHEN minute(ts) >= 30 THEN 2 ELSE 1 END"
+
+
+def _fuel_name() -> str:
+    arms = " ".join(f"WHEN '{kind}' THEN '{fuel}'" for kind, fuel in FUELS.items())
+    return f"CASE event_type {arms} END"
+
+
+def _gap(number: str, missing: str, mark: str) -> str:
+    """A reading as text, or the feed's mark for a missing one."""
+    return f"CASE WHEN {missing} THEN '{mark}' ELSE CAST({number} AS string) END"
 
 
 def raw_generation(ev: DataFrame, keys=()) -> DataFrame:
-    fuel = F.create_map(*[F.lit(part) for pair in FUELS.items() for part in pair])
-    hundredths = F.rint(F.col("value") * 100).cast("long")
-    exported = (F.col("event_type") == "error") & (_id() % 3 == 0)
-    return ev.select(
+    return ev.selectExpr(
         *keys,
-        F.to_date(_ts()).cast("string").alias("settlement_date"),
-        (F.hour(_ts()) * 2 + F.when(F.minute(_ts()) >= 30, 2).otherwise(1)).alias("settlement_period"),
-        fuel[F.col("event_type")].alias("fuel_type"),
-        F.when(exported, -hundredths).otherwise(hundredths).cast("string").alias("generation"),
-        _ts().alias("loaded_at"),
-        F.when(_id() % 10 != 0, _slot_text(slot_of(_ts()))).alias("start_time"),
+        "CAST(CAST(ts AS date) AS string) AS settlement_date",
+        f"{_PERIOD} AS settlement_period",
+        f"{_fuel_name()} AS fuel_type",
+        "CAST(CAST(rint(value * 100) AS bigint) * CASE WHEN event_type = 'error'"
+        " AND event_id % 3 = 0 THEN -1 ELSE 1 END AS string) AS generation",
+        "ts AS loaded_at",
+        f'CASE WHEN event_id % 10 <> 0 THEN date_format({_SLOT}, "{_ISO}") END AS start_time',
     )
 
 
 def raw_weather(ev: DataFrame, keys=()) -> DataFrame:
-    night = (F.hour(_ts()) < 6) | (F.hour(_ts()) > 18)
-
-    def reading(number: Column, gap: Column, mark: str) -> Column:
-        return F.when(gap, mark).otherwise(number.cast("string"))
-
-    return ev.select(
+    sun = "CASE WHEN hour(ts) BETWEEN 6 AND 18 THEN event_id * 13 % 900 ELSE 0 END"
+    readings = {
+        "temperature_2m": _gap("floor(value) % 30 - 5", "event_id % 17 = 4", ""),
+        "windspeed_10m": _gap("concat(event_id % 45, '.5')", "event_id % 19 = 7", "None"),
+        "cloudcover": _gap("event_id * 7 % 101", "event_id % 11 = 3", "None"),
+        "direct_radiation": _gap(sun, "event_id % 13 = 5", ""),
+        "wind_direction_10m": _gap("event_id * 37 % 360", "event_id % 23 = 9", ""),
+        "precipitation": "concat(event_id % 10, '.25')",
+    }
+    return ev.selectExpr(
         *keys,
-        _iso(hour_of(_ts()), "yyyy-MM-dd'T'HH:mm").alias("time"),
-        reading(_whole(F.col("value")) % 30 - 5, _id() % 17 == 4, "").alias("temperature_2m"),
-        reading(
-            F.concat((_id() % 45).cast("string"), F.lit(".5")), _id() % 19 == 7, "None"
-        ).alias("windspeed_10m"),
-        _ts().alias("loaded_at"),
-        reading(_id() * 7 % 101, _id() % 11 == 3, "None").alias("cloudcover"),
-        reading(
-            F.when(night, F.lit(0)).otherwise(_id() * 13 % 900), _id() % 13 == 5, ""
-        ).alias("direct_radiation"),
-        reading(_id() * 37 % 360, _id() % 23 == 9, "").alias("wind_direction_10m"),
-        F.concat((_id() % 10).cast("string"), F.lit(".25")).alias("precipitation"),
+        "date_format(date_trunc('hour', ts), \"yyyy-MM-dd'T'HH:mm\") AS time",
+        *[f"{text} AS {name}" for name, text in readings.items()],
+        "ts AS loaded_at",
     )
 
 
 def raw_prices(ev: DataFrame, keys=()) -> DataFrame:
-    slot = slot_of(_ts())
-    return ev.select(
+    return ev.selectExpr(
         *keys,
-        _slot_text(slot).alias("valid_from"),
-        _slot_text(slot + F.lit(settings.SLOT)).alias("valid_to"),
-        (F.floor(F.col("value") * 4) / 4.0 - 10.0).alias("value_inc_vat"),
-        F.concat(F.lit("AGILE-"), F.col("event_type")).alias("product_code"),
-        _ts().alias("loaded_at"),
+        f'date_format({_SLOT}, "{_ISO}") AS valid_from',
+        f'date_format({_SLOT} + INTERVAL 30 MINUTES, "{_ISO}") AS valid_to',
+        "floor(value * 4) / 4.0D - 10.0D AS value_inc_vat",
+        "concat('AGILE-', event_type) AS product_code",
+        "ts AS loaded_at",
     )
 
 
 def raw_carbon_national(ev: DataFrame, keys=()) -> DataFrame:
     """Slots run 36 hours ahead of the load; the actual is unknown after AS_OF."""
-    slot = slot_of(_ts()) + F.lit(CARBON_LEAD)
-    forecast = _whole(F.col("value") * 4)
-    actual = F.when(slot > at(AS_OF), "").otherwise(_blank_zero(forecast + _id() % 7))
-    return ev.select(
+    ahead = ev.selectExpr(
+        *keys,
+        "ts AS loaded_at",
+        f"{_SLOT} + INTERVAL 36 HOURS AS slot",
+        "floor(value * 4) AS guess",
+        "floor(value * 4) + event_id % 7 AS known",
+    )
+    return ahead.select(
         *keys,
-        _minute_text(slot).alias("from_time"),
-        _minute_text(slot + F.lit(settings.SLOT)).alias("to_time"),
-        actual.alias("intensity_actual"),
-        _blank_zero(forecast).alias("intensity_forecast"),
-        banded(forecast, settings.INTENSITY_BANDS, settings.INTENSITY_REST).alias(
+        F.expr(f'date_format(slot, "{_ISO_MINUTE}") AS from_time'),
+        F.expr(f'date_format(slot + INTERVAL 30 MINUTES, "{_ISO_MINUTE}") AS to_time'),
+        F.expr(
+            f"CASE WHEN slot > TIMESTAMP_NTZ '{AS_OF}' OR known = 0 THEN ''"
+            " ELSE CAST(known AS string) END AS intensity_actual"
+        ),
+        F.expr(_gap("guess", "guess = 0", "")).alias("intensity_forecast"),
+        banded(F.col("guess"), settings.INTENSITY_BANDS, settings.INTENSITY_REST).alias(
             "intensity_index"
         ),
-        _ts().alias("loaded_at"),
+        "loaded_at",
     )
 
 
 def raw_carbon(ev: DataFrame, keys=()) -> DataFrame:
-    region = (F.col("user_id") % 27).cast("string")
-    share = (_id() % 100).cast("string")
-    return ev.select(
+    return ev.selectExpr(
         *keys,
-        region.alias("regionid"),
-        F.concat(F.lit("R"), region).alias("shortname"),
-        F.when(_id() % 29 == 7, "None")
-        .otherwise(_whole(F.col("value")).cast("string"))
-        .alias("intensity_actual"),
-        F.concat(
-            F.lit('[{"fuel":"'), F.col("event_type"), F.lit('","perc":'), share, F.lit("}]")
-        ).alias("generationmix"),
-        _ts().alias("loaded_at"),
+        "CAST(user_id % 27 AS string) AS regionid",
+        "concat('R', user_id % 27) AS shortname",
+        f"{_gap('CAST(floor(value) AS bigint)', 'event_id % 29 = 7', 'None')}"
+        " AS intensity_actual",
+        'concat(\'[{"fuel":"\', event_type, \'","perc":\', event_id % 100, \'}]\')'
+        " AS generationmix",
+        "ts AS loaded_at",
     )
 
 
