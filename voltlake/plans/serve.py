@@ -84,8 +84,21 @@ def now_summary(
         F.col("recommendation").alias("next_recommendation"),
     )
     scored = _rounded_slots(shown, keys).join(scores, [*keys, "period_utc"], "left")
-    return attach(scored, upcoming, keys).withColumn(
-        "period_utc", as_text(F.col("period_utc"))
+    return attach(scored, upcoming, keys).select(
+        *keys,
+        as_text(F.col("period_utc")).alias("period_utc"),
+        "price_p_kwh",
+        "carbon_gco2_kwh",
+        "intensity_index",
+        "renewable_pct",
+        "window_score",
+        "recommendation",
+        "rank",
+        "next_period_utc",
+        "next_price",
+        "next_carbon",
+        "next_score",
+        "next_recommendation",
     )
 
 
