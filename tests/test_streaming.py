@@ -16,7 +16,7 @@ def stream_of(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_ingest_takes_each_file_once(spark, tmp_path):
+def test_ingest_takes_each_file_once(spark):
     landed, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
     reading = {
         "settlementDate": "2024-06-03", "settlementPeriod": 1, "fuelType": "WIND",
@@ -29,8 +29,8 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         ).write.mode("append").text(landed)
 
     def run():
-        rows = flat.flatten_generation(jobs.stream_payloads(spark, landed))
-        jobs.append_stream(rows, target, checkpoint).awaitTermination()
+        rows = landing.dated(flat.flatten_generation(jobs.stream_payloads(spark, landed)))
+        jobs.append_stream(rows, target, checkpoint, ("load_date",)).awaitTermination()
         return landing.read_bronze(spark, target, "raw_generation").count()
 
     land([reading, reading], {"data": [reading]})

@@ -223,3 +223,20 @@ def test_lake_in_two_loads_equals_one(spark):
     assert marts_a["mart_best_windows"].count() == 18
     assert {v for *_, v in rows_of(twice.check())} == {0}
     assert set(HISTORY_TABLES) <= set(SILVER_KEYS)
+
+
+def test_increment_reads_only_the_days_from_the_mark_on(spark):
+    path = scratch_path(spark, "bronze")
+    rows = [
+        ("2024-06-03", 1, "WIND", str(i), T0 + timedelta(days=i), None) for i in range(5)
+    ]
+    landing.append_bronze(frame(spark, RAW_GENERATION, *rows), path)
+    bronze = landing.read_bronze(spark, path, "raw_generation")
+    mark = T0 + timedelta(days=2)
+    fresh = up.newer_than(bronze, mark)
+    assert sorted(g for (g,) in rows_of(fresh, "generation")) == ["3", "4"]
+    text = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_date" in text and "GreaterThan(loaded_at" in text
+    table = up.KeyedTable(scratch_path(spark, "t"), **GENERATION_TABLE)
+    up.load_increment(spark, table, bronze, silver.stg_generation)
+    assert rows_of(up.read_table(spark, table), "generation_mw") == [(4.0,)]

@@ -84,9 +84,15 @@ def newer_than(
 ) -> DataFrame:
     """Source rows after the mark; all of them when nothing has been loaded yet.
 
-    The mark is a literal, so it reaches the Parquet scan as a pushed filter.
+    The mark is a literal, so it reaches the Parquet scan as a pushed filter. A source
+    partitioned by load date is cut to the days from the mark on.
     """
-    return source if mark is None else source.filter(F.col(version) > at(mark))
+    if mark is None:
+        return source
+    fresh = source.filter(F.col(version) > at(mark))
+    if "load_date" in source.columns:
+        fresh = fresh.filter(F.col("load_date") >= F.lit(mark.date()))
+    return fresh
 
 
 def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime | None:

@@ -23,13 +23,25 @@ def read_payloads(
     return text.select(F.col("value").alias("payload"), at(loaded_at).alias("loaded_at"))
 
 
+LOAD_DATE = "load_date"
+
+
+def dated(df: DataFrame) -> DataFrame:
+    """Adds the load date, by which bronze tables are partitioned."""
+    return df.withColumn(LOAD_DATE, F.to_date("loaded_at"))
+
+
 def read_bronze(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A bronze table under its declared schema; columns older files lack are NULL."""
-    return spark.read.schema(schemas.bronze_schema(table)).parquet(path)
+    """A bronze table under its declared schema; columns older files lack are NULL.
+
+    ``load_date`` comes along, so that an increment reads only the days it needs.
+    """
+    schema = schemas.bronze_schema(table).add(LOAD_DATE, "date")
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_bronze(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    dated(df).write.mode("append").partitionBy(LOAD_DATE).parquet(path)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:

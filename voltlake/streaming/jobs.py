@@ -74,11 +74,14 @@ def hourly_fuel_means(
     )
 
 
-def append_stream(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def append_stream(
+    df: DataFrame, target: str, checkpoint: str, partition_by: tuple[str, ...] = ()
+) -> StreamingQuery:
     """Append a stream to a Parquet folder: each input file, or closed hour, once."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
+        .partitionBy(*partition_by)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(target)

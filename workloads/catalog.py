@@ -252,7 +252,7 @@ def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.col("loaded_at") <= at(views.AS_OF)
     landing.append_bronze(raw.filter(early).drop("start_time"), path)
     landing.append_bronze(landing.conform(raw.filter(~early), "raw_generation"), path)
-    return landing.read_bronze(spark, path, "raw_generation")
+    return landing.read_bronze(spark, path, "raw_generation").drop(landing.LOAD_DATE)
 
 
 _register(
@@ -588,9 +588,12 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     bronze = scratch_path(spark, "bronze-stream")
     checkpoint = scratch_path(spark, "checkpoint")
     for _ in range(2):
-        rows = flat.flatten_generation(jobs.stream_payloads(spark, landed))
-        jobs.append_stream(rows, bronze, checkpoint).awaitTermination()
-    return landing.read_bronze(spark, bronze, "raw_generation").drop("loaded_at")
+        rows = landing.dated(flat.flatten_generation(jobs.stream_payloads(spark, landed)))
+        by_day = (landing.LOAD_DATE,)
+        jobs.append_stream(rows, bronze, checkpoint, by_day).awaitTermination()
+    return landing.read_bronze(spark, bronze, "raw_generation").drop(
+        "loaded_at", landing.LOAD_DATE
+    )
 
 
 _register(
