@@ -33,9 +33,12 @@ def test_no_python_in_the_plan_and_no_cartesian_product(spark, name):
     assert not re.search(r"Python|CartesianProduct|MapInPandas|ArrowEval", text)
 
 
-def test_newest_wins_limits_groups_before_the_shuffle(spark):
-    text = plan(silver.stg_generation(frame(spark, RAW_GENERATION)))
-    assert "Partial" in text and text.count("WindowGroupLimit") >= 2
+def test_newest_wins_reduces_before_the_shuffle(spark):
+    newest = silver.stg_generation(frame(spark, RAW_GENERATION))
+    tree = newest._jdf.queryExecution().executedPlan().toString()
+    # printed from the result down: the shuffle reads what the partial maximum left
+    assert tree.index("hashpartitioning(settlement_key") < tree.index("partial_max")
+    assert "Window" not in tree
 
 
 def test_stored_prices_are_read_with_pushed_filters(spark):

@@ -20,7 +20,7 @@ from voltlake.sinks.tables import rebuild
 
 # Independent writes submitted at the same time, so small stages of one fill the gaps
 # of another.
-CONCURRENT_WRITES = 4
+CONCURRENT_WRITES = 8
 
 # Silver table -> its key, and the column that dates a row.
 SILVER_KEYS = {
