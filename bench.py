@@ -77,6 +77,7 @@ def main() -> None:
         started = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     line = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),

@@ -95,3 +95,9 @@ def test_every_query_has_sql_and_the_flagship_has_rows(spark):
     assert set(catalog.ORACLE) == set(catalog.QUERIES)
     rows = catalog.flagship(spark, SF).collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and rows
+
+
+@pytest.mark.parametrize("name", [n for n in LAZY if n.startswith("ingest_") and "window" not in n])
+def test_payloads_are_parsed_once(spark, name):
+    tree = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("from_json") == 1

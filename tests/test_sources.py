@@ -141,6 +141,8 @@ def test_a_failing_source_does_not_stop_the_others(spark, tmp_path):
     status = {s: (t, n) for s, t, n in rows_of(audit)}
     assert status["good"] == ("OK — 2 rows (X)", 2)
     assert status["missing"][0].startswith("ERROR — ") and status["absent"][1] is None
+    (tmp_path / "empty").mkdir()
+    assert landing.load_sources(spark, [source("empty")]).first()["status"] == "OK — 0 rows"
     landing.load_sources(spark, sources[1:2])
     stored = landing.read_bronze(spark, str(tmp_path / "bronze_good"), "raw_generation")
     assert stored.count() == 4  # bronze is only ever appended to

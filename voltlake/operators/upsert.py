@@ -4,7 +4,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from voltlake.functions.timeparts import at
@@ -107,24 +107,27 @@ def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime
     """
     finish_pending(spark, table)
     batch = batch.withColumn(PART, table.part_of())
-    seen = Observation()
-
-    def newest(df: DataFrame) -> DataFrame:
-        reduced = newest_per_key(df, table.keys, table.version)
-        return reduced.observe(seen, F.max(table.version).alias("version"))
-
     if not is_loaded(spark, table):
-        _dated(newest(batch)).mode("overwrite").parquet(table.path)
-        return seen.get["version"]
+        first = newest_per_key(batch, table.keys, table.version)
+        _dated(first).mode("overwrite").parquet(table.path)
+        return _newest_in(spark, table, table.path)
     current = _stored(spark, table)
     touched = batch.select(PART).distinct()
     both = current.join(touched, PART, "left_semi").unionByName(
         batch, allowMissingColumns=True
     )
     staged = f"{table.staging}/{datetime.now():%Y%m%d%H%M%S%f}"
-    _dated(newest(both)).parquet(staged)
+    _dated(newest_per_key(both, table.keys, table.version)).parquet(staged)
+    mark = _newest_in(spark, table, staged)
     _apply(spark, table, staged)
-    return seen.get["version"]
+    return mark
+
+
+def _newest_in(spark: SparkSession, table: KeyedTable, path: str) -> datetime | None:
+    """Greatest version in a folder just written; one narrow column is read."""
+    if not _has_dates(spark, path):
+        return None
+    return spark.read.parquet(path).agg(F.max(table.version)).first()[0]
 
 
 def finish_pending(spark: SparkSession, table: KeyedTable) -> None:

@@ -2,7 +2,8 @@
 
 Each function takes a frame with the payload text in ``payload`` and its load time in
 ``loaded_at``, batch or streaming alike, and is one narrow pass: no shuffle, and the
-arrays it explodes are as large as one response. A text that is no JSON of the expected
+arrays it explodes are as large as one response. Each text is parsed once: a filter on
+the parsed document before the generator would parse it again per condition. A text that is no JSON of the expected
 shape yields no rows; ``unreadable`` counts those.
 """
 
@@ -38,7 +39,8 @@ def flatten_generation(payloads: DataFrame) -> DataFrame:
     itself = F.array(F.struct(*[entry[f].alias(f) for f in fields]))
     empty_object = F.coalesce(*[entry[f].cast("string") for f in fields]).isNull()
     rows = (
-        docs.select(*keep, "loaded_at", F.explode("_doc").alias("_entry"))
+        # Outer, because Spark guards a plain explode with a filter that parses again.
+        docs.select(*keep, "loaded_at", F.explode_outer("_doc").alias("_entry"))
         .filter(entry["data"].isNotNull() | ~empty_object)
         .select(*keep, "loaded_at", F.inline(F.coalesce(entry["data"], itself)))
     )
@@ -58,15 +60,9 @@ def flatten_weather(payloads: DataFrame) -> DataFrame:
     docs = _parsed(payloads, schemas.WEATHER_PAYLOAD)
     keep = _others(docs)
     series = [F.col(f"_doc.hourly.{name}") for name in schemas.WEATHER_SERIES]
-    # A missing array makes the length NULL, and the payload gives no rows.
-    lengths = [F.when(s.isNotNull(), F.size(s)) for s in series]
-    complete = F.lit(True)
-    for s in series:
-        complete = complete & s.isNotNull()
-    zipped = F.slice(F.arrays_zip(*series), F.lit(1), F.least(*lengths))
-    rows = docs.filter(complete).select(
-        *keep, "loaded_at", F.inline(zipped).alias(*schemas.WEATHER_SERIES)
-    )
+    # A missing array makes the zipped one NULL, and the payload gives no rows.
+    zipped = F.slice(F.arrays_zip(*series), F.lit(1), F.least(*[F.size(s) for s in series]))
+    rows = docs.select(*keep, "loaded_at", F.inline(zipped).alias(*schemas.WEATHER_SERIES))
     return rows.select(
         *keep,
         "time",
