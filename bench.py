@@ -19,12 +19,8 @@ from workloads import catalog  # noqa: E402
 
 HEADLINE = (
     "ingest_generation",
-    "ingest_weather",
     "stg_generation",
-    "stg_prices",
     "price_carbon",
-    "best_windows",
-    "carbon_heatmap",
     "price_heatmap",
     "fuel_mix_hourly",
     "renewable_mix",
@@ -36,22 +32,14 @@ HEADLINE = (
     "appliance_windows",
     "windows_by_day",
     "best_windows_top5",
-    "prices_carbon_recent",
     "combined_heatmap",
-    "fuel_mix_pivot",
-    "renewable_weather",
-    "grid_stress_recent",
-    "demand_profile",
     "kpi_summary",
     "temp_regression",
     "percent_rank_global",
     "dq_checks",
     "best_windows_by_zone",
-    "appliance_windows_by_zone",
-    "renewable_mix_by_zone",
     "incremental_upsert",
     "lake_build",
-    "stream_upsert",
 )
 
 

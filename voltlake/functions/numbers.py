@@ -9,8 +9,8 @@ _INTEGRAL_FROM = float(2**52)
 def round_half_away(x: Column, digits: int = 0) -> Column:
     """Scale, round to an integer with ties away from zero, scale back.
 
-    ``F.round`` rounds the shortest decimal text of the double (1.005 -> 1.01); the
-    reference results come from rounding the scaled double (1.005 -> 1.0).
+    ``F.round`` rounds the shortest decimal text of the double (1.005 -> 1.01); this one
+    rounds the scaled double (1.005 -> 1.0), as SQL engines working on doubles do.
     """
     scale = float(10**digits)
     scaled = F.abs(x) * scale
