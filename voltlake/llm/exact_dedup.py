@@ -19,6 +19,12 @@ from voltlake.session import scratch_path, settle
 from voltlake.sinks.files import is_directory
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # Else every partition's store sets aside megabytes of disk for its logs.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # Settings of the calling session that the streaming session takes over.
 _TAKEN_OVER = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 
@@ -74,8 +80,8 @@ def observe(signed: str, spark: SparkSession, state: Sightings, files_per_batch:
     session = spark.newSession()
     for name in _TAKEN_OVER:
         session.conf.set(name, spark.conf.get(name))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    for name, value in _STATE_STORE.items():
+        session.conf.set(name, value)
     schema = "doc_id bigint, digest binary, _file string, _row bigint"
     rows = (
         session.readStream.schema(schema)
