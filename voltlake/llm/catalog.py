@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltlake.llm import exact_dedup as exact, oracle
-from voltlake.session import configure
+from voltlake.llm import exact_dedup as exact, oracle, packing, token_files
+from voltlake.llm.tokens import id_checksums
+from voltlake.session import configure, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +35,23 @@ def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("op1_exact_dedup", _exact_dedup, oracle.EXACT_DEDUP)
+
+
+def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(_documents(spark, sf_dir), path)
+    rows = token_files.with_starts(spark, path, token_files.read_tokens(spark, path))
+    return id_checksums(rows, "doc_id", "start", "n_tokens")
+
+
+_register("op5_token_files", _token_files)
+
+
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_documents(spark, sf_dir))
+    return id_checksums(
+        packed, "doc_id", "piece", "start", "length", "sequence_id", "offset"
+    )
+
+
+_register("op7_best_fit_packing", _packing)
