@@ -9,7 +9,7 @@ plan to beat. The pieces themselves are then numbered per length, in parallel, a
 the places the plan has for that number.
 """
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -23,7 +23,7 @@ from voltlake.session import settle
 
 CAPACITY = 1024
 # Completions tried before the best plan so far is taken.
-NODES = 6_000
+NODES = 4_000
 # Fillings tried for one longest piece.
 BRANCHES = 3
 # Broadcast of the parts' first numbers: rows of three integers.
@@ -78,43 +78,42 @@ def best_fit(counts: Mapping[int, int], capacity: int) -> Plan:
     return [bin_ for bins in open_bins.values() for bin_ in bins]
 
 
-def _fillings(
-    counts: list[int], sizes: list[int], room: int, limit: int
-) -> list[tuple[int, ...]]:
-    """Fillings of ``room``, least waste first, long pieces before short ones.
+def _fillings(counts: list[int], room: int, limit: int) -> list[tuple[int, ...]]:
+    """Fillings of ``room`` with the least waste, long pieces before short ones.
 
-    A filling is dominated by one that holds a longer piece in place of several of its
-    own, so for equal waste those with the longest first piece are enough.
+    A filling that wastes more, or that has several pieces where one as long as all of
+    them would do, is dominated; for equal waste those with the longest pieces come first.
     """
+    sizes = [s for s in range(1, room + 1) if counts[s]]
+    # Bit r of sums[k]: room r can be filled exactly with pieces of the first k sizes.
+    mask, reach = (1 << (room + 1)) - 1, 1
+    sums = [reach]
+    for size in sizes:
+        most, step = min(counts[size], room // size), 1
+        while most:
+            step = min(step, most)
+            reach |= (reach << (step * size)) & mask
+            most -= step
+            step *= 2
+        sums.append(reach)
     found: list[tuple[int, ...]] = []
-    tried = 0
 
-    def extend(chosen: tuple[int, ...], left: int, upto: int, depth: int) -> None:
-        nonlocal tried
+    def extend(chosen: tuple[int, ...], left: int, k: int) -> None:
         if left == 0:
             found.append(chosen)
             return
-        at = bisect_left(sizes, min(left, upto) + 1) - 1
-        while at >= 0 and len(found) < limit and tried < 4_000:
-            size = sizes[at]
-            if size * depth < left:  # even the most pieces allowed would not fill it
-                return
-            tried += 1
-            if counts[size] > chosen.count(size):
-                extend((*chosen, size), left - size, size, depth - 1)
-            at -= 1
-
-    for waste in range(room + 1):
-        for depth in (1, 2, 3, 4, 6, 1 << 30):
-            tried = 0
-            extend((), room - waste, room - waste, depth)
-            if len(found) >= limit:
-                return found[:limit]
-            if found:
-                break
-        if found:
-            return found
-    return [()]
+        for j in range(min(k, bisect_right(sizes, left)) - 1, -1, -1):
+            if not sums[j + 1] >> left & 1:
+                return  # the sizes up to this one cannot fill it
+            size = sizes[j]
+            for times in range(1, min(counts[size], left // size) + 1):
+                if sums[j] >> (left - times * size) & 1:
+                    extend((*chosen, *(size,) * times), left - times * size, j)
+                    if len(found) >= limit:
+                        return
+
+    extend((), reach.bit_length() - 1, len(sizes))
+    return found
 
 
 def complete(
@@ -136,16 +135,15 @@ def complete(
         # A plan with one bin less than the best may waste this much.
         if waste > (fewest - 1) * capacity - total:
             continue
-        sizes = [s for s, n in enumerate(left) if n]
-        if not sizes:
+        longest = max((s for s, n in enumerate(left) if n), default=0)
+        if not longest:
             fewest, best = bins, []
             while plan:
                 best.append(plan[0])
                 plan = plan[1]
             continue
-        longest = sizes[-1]
         left[longest] -= 1  # the piece itself is not there to fill its own bin
-        fillings = _fillings(left, [s for s in sizes if left[s]], capacity - longest, branches)
+        fillings = _fillings(left, capacity - longest, branches)
         left[longest] += 1
         for filling in reversed(fillings):
             lengths = (longest, *filling)
