@@ -11,3 +11,25 @@ WITH norm AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM norm JOIN classes USING (norm)
 """
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, {_SPACES}), '{UPPER}', '{LOWER}') AS key FROM lines
+), repeats AS (
+  SELECT key, max(doc_id) AS keep_id FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT keyed.*, coalesce(keep_id <> doc_id, FALSE) AS gone
+  FROM keyed LEFT JOIN repeats USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), ''))
+         AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
