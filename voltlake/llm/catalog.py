@@ -4,7 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voltlake.llm import exact_dedup as exact, line_dedup as lines, oracle, packing, token_files
+from voltlake.llm import (
+    exact_dedup as exact,
+    line_dedup as lines,
+    near_dedup as near,
+    oracle,
+    packing,
+    token_files,
+)
 from voltlake.llm.tokens import id_checksums
 from voltlake.session import configure, scratch_path
 
@@ -37,6 +44,13 @@ def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("op1_exact_dedup", _exact_dedup, oracle.EXACT_DEDUP)
 
 
+def _near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(_documents(spark, sf_dir))
+
+
+_register("op2_near_dedup", _near_dedup, oracle.NEAR_DEDUP)
+
+
 def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
