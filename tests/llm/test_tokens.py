@@ -133,20 +133,25 @@ def test_bounds_hold_on_many_pieces():
     check_plan(packing.complete(hot, 1024), hot, 1024)
 
 
+def numbers(raw):
+    return np.frombuffer(raw, "<u4").tolist()
+
+
 def test_packed_pieces_cover_every_document_without_gaps(spark):
-    capacity = 64
+    capacity, encode = 64, plain()
     rows = packing.pack(frame(spark).repartition(3), capacity=capacity).collect()
-    encode = plain()
     wanted = Counter((i, tuple([*encode(t), END_ID])) for i, t in DOCS)
-    single = [r for r in rows if r.doc_id != 9]
     for i, ids in wanted:
-        if i != 9:
-            mine = sorted((r.piece, r.start, r.ids) for r in single if r.doc_id == i)
-            assert [x for _, _, part in mine for x in part] == list(ids)
-            assert [p for p, _, _ in mine] == list(range(len(mine)))
-            assert all(len(part) == capacity for _, _, part in mine[1:])
-            assert [s for _, s, _ in mine] == [sum(len(x[2]) for x in mine[:k]) for k in range(len(mine))]
+        if i == 9:
+            continue  # three documents share this id
+        mine = sorted((r.piece, r.start, numbers(r.ids)) for r in rows if r.doc_id == i)
+        assert [x for _, _, part in mine for x in part] == list(ids)
+        assert [p for p, _, _ in mine] == list(range(len(mine)))
+        assert all(len(part) == capacity for _, _, part in mine[1:])
+        before = [sum(len(x[2]) for x in mine[:k]) for k in range(len(mine))]
+        assert [s for _, s, _ in mine] == before
     assert sum(r.length for r in rows) == sum(len(ids) * n for (_, ids), n in wanted.items())
+    assert all(r.length == len(numbers(r.ids)) for r in rows)
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -156,11 +161,11 @@ def test_packed_pieces_cover_every_document_without_gaps(spark):
             assert offset == at
             at += length
         assert at <= capacity
-    assert all(len(r.ids) == sum(n for _, n in by[r.sequence_id]) for r in
-               packing.sequences(packing.pack(frame(spark).repartition(3), capacity=capacity)).collect()[:0])
 
 
 def test_sequences_join_their_pieces(spark):
     packed = packing.pack(frame(spark), capacity=32)
-    for r in packing.sequences(packed).collect():
-        assert len(r.ids) <= 32 and r.documents[0].offset == 0
+    rows = packing.sequences(packed).collect()
+    assert sum(len(numbers(r.ids)) for r in rows) == sum(r.length for r in packed.collect())
+    for r in rows:
+        assert len(r.ids) <= 4 * 32 and r.documents[0].offset == 0

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
-from voltlake.llm.tokens import END_ID, id_lists, token_batches, tokenizer_path
+from voltlake.llm.tokens import END_ID, token_batches, tokenizer_path
 from voltlake.session import settle
 
 CAPACITY = 1024
@@ -186,7 +186,7 @@ class Places:
 
 PIECES = (
     "doc_id bigint, piece int, start bigint, length bigint, part int, nth bigint, "
-    "ids array<int>"
+    "ids binary"
 )
 
 
@@ -195,6 +195,8 @@ def token_pieces(
 ) -> DataFrame:
     """Each document's ids in pieces; ``nth`` counts the part's pieces of that length.
 
+    Ids are little-endian 32-bit numbers, one after the other.
+
     Only documents of more than ``capacity`` ids are cut. Then all pieces but the first
     have ``capacity`` ids and the first has the rest.
     """
@@ -210,7 +212,7 @@ def token_pieces(
                     row = doc, piece, at, length, part, seen[length]
                     for column, value in zip(columns, row, strict=False):
                         column.append(value)
-                    columns[-1].append(tokens[at : at + length])
+                    columns[-1].append(tokens[at : at + length].tobytes())
                     seen[length] += 1
                     at, length = at + length, capacity
             yield pa.record_batch(
@@ -221,7 +223,7 @@ def token_pieces(
                     pa.array(columns[3], pa.int64()),
                     pa.array(columns[4], pa.int32()),
                     pa.array(columns[5], pa.int64()),
-                    id_lists(columns[6]),
+                    pa.array(columns[6], pa.binary()),
                 ],
                 names=["doc_id", "piece", "start", "length", "part", "nth", "ids"],
             )
@@ -240,7 +242,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: its ids, its sequence and its place there.
 
-    Columns: doc_id, piece, start, length, ids, sequence_id, offset. Null text is empty: a
+    Columns: doc_id, piece, start, length, ids (little-endian 32-bit numbers), sequence_id,
+    offset. Null text is empty: a
     piece of the end id alone. Rows with equal or null doc_id are packed as documents of
     their own. Other columns are not read. No rows give no pieces. Sequences have no gaps
     from offset 0 on.
@@ -292,8 +295,13 @@ def sequences(packed: DataFrame) -> DataFrame:
     A sequence holds at most ``capacity`` ids, so no group is large.
     """
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
-    return packed.groupBy("sequence_id").agg(parts.alias("parts")).select(
-        "sequence_id",
-        F.flatten("parts.ids").alias("ids"),
-        F.transform("parts", lambda p: p.dropFields("ids")).alias("documents"),
+    joined = F.aggregate("parts", F.lit(b""), lambda ids, p: F.concat(ids, p["ids"]))
+    return (
+        packed.groupBy("sequence_id")
+        .agg(parts.alias("parts"))
+        .select(
+            "sequence_id",
+            joined.alias("ids"),
+            F.transform("parts", lambda p: p.dropFields("ids")).alias("documents"),
+        )
     )

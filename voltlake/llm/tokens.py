@@ -9,6 +9,7 @@ frequent words again and again.
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -31,8 +32,8 @@ OTHER_SPACE = "\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".jo
 _PIECE = re.compile(f"[ \n{OTHER_SPACE}]*[^ \n{OTHER_SPACE}]+|[ \n{OTHER_SPACE}]+")
 # Places where a cut at blanks and line ends alone would split a run of white space.
 _RUNS = ("  ", "\n\n", "\n ", " \n")
-# Distinct pieces a Python worker remembers before it starts anew.
-PIECES_KEPT = 500_000
+# Distinct pieces a Python worker remembers at most; older ones it has not met since go.
+PIECES_KEPT = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,7 +43,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class _Words(dict):
+class _Remembered(dict):
+    """A dictionary of bounded size that computes what it lacks.
+
+    When half the bound is reached all entries become old; an old one that is met again is
+    kept, the others go the next time.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def age(self, bound: int) -> None:
+        if 2 * len(self) > bound:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.made(key)
+        self[key] = ids
+        return ids
+
+
+class _Words(_Remembered):
     """Ids of what the pattern finds."""
 
     def __init__(self, path: str):
@@ -50,41 +75,48 @@ class _Words(dict):
         self.merge = Tokenizer.from_file(path).model.tokenize
         self.letters = _byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.merge(spelled)], "<u4").tobytes()
-        self[word] = ids
-        return ids
+    def made(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
 
-class _Pieces(dict):
+class _Pieces(_Remembered):
     """Ids of pieces of text."""
 
-    def __init__(self, path: str):
+    def __init__(self, words: _Words):
         super().__init__()
-        self.words = _Words(path)
+        self.words = words
         self.found = regex.compile(public_tokenizers.PATTERN).findall
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.words.__getitem__, self.found(piece)))
-        self[piece] = ids
-        return ids
+    def made(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.found(piece)))
 
 
-class _AfterBlank(dict):
-    """Ids of pieces that begin with a blank, by what follows it, or with a line end."""
+class _AfterBlank(_Remembered):
+    """Ids of pieces that begin with a blank, by what follows it, or with a line end.
+
+    The usual shapes need no pattern: letters are one word, and a last character that is
+    no letter is another. Those put together from two words are not remembered.
+    """
 
     def __init__(self, pieces: _Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.words = pieces, pieces.words
+        self.blank = pieces.words.letters[ord(" ")]
+
+    def made(self, part: str) -> bytes:
+        if part.isalpha():
+            if part.isascii():
+                return array("I", [t.id for t in self.words.merge(self.blank + part)]).tobytes()
+            return self.words.made(" " + part)
+        return self.pieces.made(part if part[:1] == "\n" else " " + part)
 
     def __missing__(self, part: str) -> bytes:
-        whole = part if part[:1] == "\n" else " " + part
-        # Not kept there as well: this dictionary remembers it.
-        ids = self.pieces.__missing__(whole)
-        del self.pieces[whole]
-        self[part] = ids
-        return ids
+        if part[:-1].isalpha() and not part[-1].isalpha():
+            return self[part[:-1]] + self.words[part[-1]]
+        if part[:1] == "\n" and part[1:].isalpha():
+            return self.words["\n"] + self.words[part[1:]]
+        return super().__missing__(part)
 
 
 class Encoder:
@@ -92,14 +124,13 @@ class Encoder:
 
     def __init__(self, path: str, pieces_kept: int = PIECES_KEPT):
         self.pieces_kept = pieces_kept
-        self.pieces = _Pieces(path)
+        self.pieces = _Pieces(_Words(path))
         self.after_blank = _AfterBlank(self.pieces)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
         for known in (self.pieces.words, self.pieces, self.after_blank):
-            if len(known) > self.pieces_kept:
-                known.clear()
+            known.age(self.pieces_kept)
         has = text.__contains__
         if any(map(has, _RUNS)) or any(map(has, OTHER_SPACE)):
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
@@ -120,7 +151,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 # Text bytes encoded before their ids are handed on.
-BYTES_A_SLICE = 8 << 20
+BYTES_A_SLICE = 2 << 20
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
