@@ -1,0 +1,115 @@
+import random
+
+import pytest
+
+from voltlake.llm.decontaminate import clean_rows, contaminated, plain_words, template_words
+from pyspark.sql import functions as F
+
+BENCH = [
+    (1, "A train leaves Paris at 9 and travels 120 km to Lyon, then from Lyon back to Paris at 9."),
+    (2, "Which of the following rivers is the longest one in the whole wide world today?"),
+    (3, "too short to tell"),
+    (4, None),
+    (None, "an item that has no identifier cannot be reported by anything at all"),
+    (5, " ".join(f"plain{i}" for i in range(40))),
+]
+LEAD = "some words come before it"
+DOCS = [
+    (10, f"{LEAD} {BENCH[0][1]} and after"),
+    (11, LEAD + " A train leaves Rome at 7 and travels 80 miles to Milan, then from Milan back to Rome at 7."),
+    # The same template, but one value stands for two.
+    (12, LEAD + " A train leaves Rome at 7 and travels 80 miles to Milan, then from Turin back to Oslo at 5."),
+    (13, BENCH[1][1].upper()),
+    (14, "which  of the\nfollowing rivers is%%% the### longest one in the whole wide world today"),
+    (15, "of the following things some are long and others are short and that is all there is"),
+    (16, " ".join(f"plain{i}" for i in range(12))),  # 12 words of 40: neither half nor a long run
+    (17, " ".join(f"plain{i}" for i in range(10, 24))),  # 14 in a row
+    (18, None),
+    (19, ""),
+    (20, "filler " * 50_000 + BENCH[1][1]),
+    (21, f"{BENCH[1][1]} {BENCH[0][1]}"),
+    (None, BENCH[1][1]),
+    (22, BENCH[1][1]),
+    (22, BENCH[1][1]),
+    (23, "too short to tell"),
+]
+
+
+@pytest.fixture(scope="module")
+def frames(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in DOCS], "doc_id bigint, text string, item_id string, row int")
+    bench = spark.createDataFrame([(i, t, "y") for i, t in BENCH], "item_id bigint, text string, doc_id string")
+    return docs.repartition(4), bench
+
+
+def test_templates_keep_the_places_of_words(spark):
+    text = "On Monday Ann paid 12.50 USD, i.e. $3 a kg; 5km -- in 3 min. Then Bob left"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        template_words(F.col("t")).alias("shape"), plain_words(F.col("t")).alias("said")
+    ).first()
+    assert len(row.shape) == len(row.said)
+    shown = [w.translate({0xE000: "N", 0xE001: "#", 0xE002: "u"}) for w in row.shape]
+    assert shown == "on N N paid # u ie # a kg # in # u then N left".split()
+    assert row.said[:5] == ["on", "monday", "ann", "paid", "1250"]
+
+
+def test_items_are_found_verbatim_and_with_other_values(frames):
+    found = {(r.doc_id, r.item_id): r for r in contaminated(*frames).collect()}
+    assert set(found) == {
+        (10, 1), (11, 1), (13, 2), (14, 2), (17, 5), (20, 2), (21, 1), (21, 2), (None, 2), (22, 2)
+    }
+    assert found[10, 1].n_changed == 0 and found[10, 1].n_slots >= 6
+    assert found[11, 1].n_changed >= 6 and found[11, 1].share > 0.8
+    # After "filler" its capital makes the first word look like a name.
+    assert found[20, 2].first_word == 50_001
+    assert found[17, 5].n_words == 14
+
+
+def test_clean_rows_are_left_alone(frames):
+    docs, bench = frames
+    kept = clean_rows(docs, contaminated(docs, bench))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [12, 15, 16, 18, 19, 23]
+
+
+def test_random_documents_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    bench = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 40)))) for i in range(30)]
+    docs = []
+    for i in range(120):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        if i % 2:
+            part = rng.choice(bench)[1].split()
+            a = rng.randrange(len(part))
+            text[10:10] = part[a : a + rng.randint(4, 40)]
+        docs.append((i, " ".join(text)))
+    want = set()
+    for i, t in docs:
+        w = t.split()
+        for j, b in bench:
+            b = b.split()
+            for shift in range(-len(b), len(w)):
+                places = [
+                    p
+                    for p in range(len(b) - 7)
+                    if 0 <= p + shift and w[p + shift : p + shift + 8] == b[p : p + 8] and p + shift + 8 <= len(w)
+                ]
+                covered = sorted({p + k for p in places for k in range(8)})
+                run = best = 0
+                for k, p in enumerate(covered):
+                    run = run + 1 if k and covered[k - 1] == p - 1 else 1
+                    best = max(best, run)
+                if covered and (len(covered) >= 0.5 * len(b) or best >= 13):
+                    want.add((i, j))
+    found = contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(bench, "item_id bigint, text string"),
+    )
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 20
+
+
+def test_empty_tables(frames):
+    docs, bench = frames
+    assert contaminated(docs.filter("false"), bench).collect() == []
+    assert contaminated(docs, bench.filter("false")).collect() == []

@@ -1,0 +1,87 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from voltlake.llm.substring_dedup import chunk_ends, repeated_passages, without_passages
+
+N = 50
+
+
+def prose(rng, n):
+    return [f"{rng.choice('bcdfghkl')}{rng.choice('aeiou')}{rng.randrange(5_000)}" for _ in range(n)]
+
+
+def corpus():
+    rng = random.Random(9)
+    passages = [prose(rng, n) for n in (50, 51, 49, 80, 200, 55)]
+    docs = [(0, None), (1, ""), (2, "few words"), (3, "same " * 400), (None, " ".join(passages[3]))]
+    for i in range(40):
+        words = prose(rng, rng.randrange(10, 120))
+        for p in rng.sample(passages, rng.randrange(0, 3)):
+            words += p + prose(rng, rng.randrange(0, 30))
+        docs.append((100 - i, " ".join(words)))
+    docs += [(200, docs[20][1].upper()), (201, docs[20][1].replace(" ", "\n\n")), (202, "same  " * 90)]
+    docs.append((203, " ".join(prose(rng, 20_000) + passages[4])))
+    docs.append((204, " ".join(passages[1] + prose(rng, 5) + passages[1])))
+    return docs
+
+
+def brute(docs):
+    words = {i: (t or "").lower().split() for i, t in docs if i is not None}
+    holders = defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - N + 1):
+            holders[tuple(w[k : k + N])].add(i)
+    out = []
+    for i, w in words.items():
+        for kept in (True, False):
+            at = [
+                k
+                for k in range(len(w) - N + 1)
+                if len(h := holders[tuple(w[k : k + N])]) > 1 and (min(h) == i) == kept
+            ]
+            while at:
+                n = 1
+                while n < len(at) and at[n] - at[n - 1] <= N:
+                    n += 1
+                out.append((i, at[0], at[n - 1] - at[0] + N, kept))
+                at = at[n:]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    rows = [(i, t, "x", 0) for i, t in corpus()]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, at string, kept int").repartition(4)
+
+
+def test_spans_match_brute_force(frame):
+    got = sorted(tuple(r) for r in repeated_passages(frame).collect())
+    want = brute(corpus())
+    # Each passage of 50 words and more; those of equal words all the way are one chunk.
+    assert got == want and len(want) > 20
+
+
+def test_nothing_repeats_once_spans_are_cut(spark, frame):
+    kept = without_passages(frame, repeated_passages(frame))
+    assert kept.columns == frame.columns and kept.count() == frame.count()
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert [s for s in brute(rows) if not s[3]] == []
+
+
+def test_chunks_follow_the_content():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 20_000).astype(np.uint8)
+    ends = set(chunk_ends(data).tolist())
+    more = np.concatenate([data[:7_000], np.frombuffer(b"put in", np.uint8), data[7_000:]])
+    moved = {e if e <= 7_000 else e - 6 for e in chunk_ends(more).tolist()}
+    assert len(ends ^ moved) <= 8
+    assert len(chunk_ends(np.zeros(5_000, np.uint8))) <= 2
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert repeated_passages(none).collect() == []
+    assert without_passages(none, repeated_passages(none)).collect() == []

@@ -5,11 +5,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltlake.llm import (
+    decontaminate as leaks,
     exact_dedup as exact,
     line_dedup as lines,
     near_dedup as near,
     oracle,
     packing,
+    quality,
+    substring_dedup as substrings,
     token_files,
 )
 from voltlake.llm.tokens import id_checksums
@@ -60,6 +63,14 @@ def _line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("op3_line_dedup", _line_dedup, oracle.LINE_DEDUP)
 
 
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.drop("row")
+
+
+_register("op4_decontamination", _decontamination)
+
+
 def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(_documents(spark, sf_dir), path)
@@ -70,11 +81,30 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("op5_token_files", _token_files)
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+_register("op6_quality", _quality)
+
+
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_documents(spark, sf_dir))
-    return id_checksums(
-        packed, "doc_id", "piece", "start", "length", "sequence_id", "offset"
-    )
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 _register("op7_best_fit_packing", _packing)
+
+
+def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_documents(spark, sf_dir))
+
+
+_register("op10_substring_dedup", _substring_dedup)
