@@ -14,6 +14,7 @@ from voltlake.llm import (
     quality,
     substring_dedup as substrings,
     token_files,
+    warc,
 )
 from voltlake.llm.tokens import id_checksums
 from voltlake.session import configure, scratch_path
@@ -103,6 +104,13 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("op7_best_fit_packing", _packing)
 
 
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+
+
+_register("op8_warc_derivatives", _warc, oracle.WARC)
+
+
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_documents(spark, sf_dir))
 

@@ -1,5 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from voltlake.llm import warc
 from voltlake.llm.text import LOWER, UPPER
 
 EXACT_DEDUP = f"""
@@ -61,3 +62,67 @@ WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)
 """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _without(sql: str, *patterns: str) -> str:
+    for pattern in patterns:
+        sql = f"regexp_replace({sql}, {_text(pattern)}, '', 'g')"
+    return sql
+
+
+def _decoded(sql: str) -> str:
+    for reference, character in (*warc.ENTITIES, ("&amp;", "&")):
+        sql = f"replace({sql}, {_text(reference)}, {_text(character)})"
+    return sql
+
+
+def _uuid(*parts: str) -> str:
+    digest = f"sha256(concat_ws('|', {', '.join(parts)}))"
+    cuts = ", ".join(f"{digest}[{a}:{b}]" for a, b in ((1, 8), (9, 12), (13, 16), (17, 20), (21, 32)))
+    return f"'<urn:uuid:' || concat_ws('-', {cuts}) || '>'"
+
+
+_RUN = "'[ \\t\\r\\n\\f]+'"
+_SHOWN = f"regexp_replace({_without('html', *warc.HIDDEN, warc.HEAD)}, {_RUN}, ' ', 'g')"
+_LINED = _decoded(
+    _without(f"regexp_replace({_SHOWN}, {_text(warc.BREAK)}, chr(10), 'g')", warc.TAG)
+)
+_PLAIN = (
+    f"trim(regexp_replace(regexp_replace({_LINED}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), "
+    "' ' || chr(10))"
+)
+_TITLE = (
+    f"trim(regexp_replace({_decoded(f'regexp_extract(html, {_text(warc.TITLE)}, 1)')}, {_RUN}, ' ', 'g'), ' ')"
+)
+_LINE_ENDS = "'[\\r\\n]', '', 'g'"
+_CRLF = "chr(13) || chr(10)"
+
+WARC = f"""
+WITH pages_ AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+), responses AS (
+  SELECT page_id, html, regexp_replace(url, {_LINE_ENDS}) AS target_uri,
+         'sha256:' || sha256(html) AS payload_digest,
+         {_uuid("'response'", "coalesce(page_id::VARCHAR, 'null')", "url", "sha256(html)")} AS id
+  FROM pages_
+), blocks AS (
+  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'title: ' || {_TITLE} || {_CRLF} || 'languages-declared: ' ||
+    regexp_replace(regexp_extract(html, {_text(warc.LANG)}, 1), {_LINE_ENDS}) || {_CRLF} ||
+    'sourceLength: ' || strlen(html) || {_CRLF} || 'sourceDigest: ' || payload_digest ||
+    {_CRLF} || coalesce(list_aggregate(list_transform(
+      regexp_extract_all({_without("html", *warc.HIDDEN)}, {_text(warc.LINK)}, 1),
+      lambda x: 'outlink: ' || regexp_replace(x, {_LINE_ENDS}) || {_CRLF}), 'string_agg', ''), '')
+    AS block FROM responses
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain', {_PLAIN} FROM responses
+)
+SELECT page_id, warc_type, {_uuid("warc_type", "id")} AS record_id, id AS refers_to, target_uri,
+       '{warc.FETCHED}' AS warc_date, content_type, payload_digest,
+       'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block
+FROM blocks
+"""
