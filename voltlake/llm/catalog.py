@@ -2,11 +2,13 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltlake.llm import (
     decontaminate as leaks,
     exact_dedup as exact,
+    licenses,
     line_dedup as lines,
     near_dedup as near,
     oracle,
@@ -111,8 +113,16 @@ def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("op8_warc_derivatives", _warc, oracle.WARC)
 
 
+def _license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
+_register("op9_license_scan", _license_scan, oracle.LICENSES)
+
+
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_documents(spark, sf_dir))
 
 
 _register("op10_substring_dedup", _substring_dedup)
+_register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

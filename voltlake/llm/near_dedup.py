@@ -250,3 +250,13 @@ def near_dedup(
     )
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.withColumn("kept", kept)
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns they had.
+
+    A doc_id goes if no row with it is kept.
+    """
+    gone = verdicts.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("kept"))
+    gone = gone.filter("NOT kept").select("_id")
+    return docs.join(gone, docs.doc_id.cast("bigint") == gone["_id"], "left_anti")

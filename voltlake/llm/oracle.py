@@ -1,6 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
 from voltlake.llm import warc
+from voltlake.llm.licenses import LEAST_DICE, TEMPLATES
 from voltlake.llm.text import LOWER, UPPER
 
 EXACT_DEDUP = f"""
@@ -126,3 +127,42 @@ SELECT page_id, warc_type, {_uuid("warc_type", "id")} AS record_id, id AS refers
        'sha256:' || sha256(block) AS block_digest, strlen(block) AS content_length, block
 FROM blocks
 """
+
+_TEMPLATES = ", ".join(f"({i}, {_text(n)}, {_text(t)})" for i, (n, t) in enumerate(TEMPLATES))
+
+
+def _pairs(sql: str) -> str:
+    """Words and distinct bigrams of a text column, as columns w and p."""
+    plain = f"regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    return f"""
+      SELECT *, list_distinct(CASE WHEN len(w) > 1 THEN
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS p
+      FROM (SELECT *, string_split(trim({plain}, ' '), ' ') AS w FROM {sql}) WHERE w[1] <> ''
+    """
+
+
+# Every passage against every template, without bounds.
+LICENSES = f"""
+WITH templates(id, license_id, text) AS (VALUES {_TEMPLATES}),
+known AS (SELECT id, license_id, len(p) AS nt, unnest(p) AS pair FROM ({_pairs("templates")})),
+docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT *, string_split_regex(text, '\\n[ \\t\\r\\n]*\\n') AS blocks,
+         string_split(text, chr(10)) AS lines FROM docs
+), units AS (
+  SELECT row, doc_id, 'line' AS kind, unnest(range(len(lines))) AS place, unnest(lines) AS text
+  FROM cut
+  UNION ALL SELECT * FROM (
+    SELECT row, doc_id, 'block', unnest(range(len(blocks))), unnest(blocks) AS text FROM cut)
+    WHERE contains(text, chr(10))
+  UNION ALL SELECT row, doc_id, 'text', 0, text FROM cut WHERE len(blocks) > 1
+), pairs AS (
+  SELECT row, doc_id, kind, place, len(p) AS n, unnest(p) AS pair FROM ({_pairs("units")})
+), scored AS (
+  SELECT row, doc_id, kind, place, license_id, n, 2e0 * count(*) / (n + nt) AS dice
+  FROM pairs JOIN known USING (pair) GROUP BY row, doc_id, kind, place, id, license_id, n, nt
+)
+SELECT doc_id, kind, place, license_id, dice, n AS n_bigrams FROM scored
+WHERE dice >= {LEAST_DICE}
+QUALIFY row_number() OVER (PARTITION BY row, kind, place ORDER BY dice DESC, license_id) = 1
+"""
