@@ -17,7 +17,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from voltlake.llm.text import ASCII_LOWER, SPACES
+from voltlake.llm.text import ASCII_LOWER, SPACES, sliced, small_batches
 from voltlake.session import settle
 
 MIN_CHARS = 40
@@ -69,7 +69,7 @@ def _notes(texts: DataFrame, bits: int, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 keys = {k for k in line_keys(text, min_chars) if k is not None}
                 if keys:
@@ -121,7 +121,7 @@ def suspects(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = twice.value
-        for batch in batches:
+        for batch in sliced(batches):
             ids, found = [], []
             texts = batch.column("text").to_pylist()
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
@@ -159,6 +159,7 @@ def repeated_lines(
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    docs = small_batches(docs)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
 
 
@@ -181,7 +182,7 @@ def line_dedup(
     marked = texts.join(drop, texts.doc_id.eqNullSafe(drop.drop_id), "left").drop("drop_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             before, dropped, kept = [], [], []
             gone_lists = batch.column("drop").to_pylist()
             for text, gone in zip(batch.column("text").to_pylist(), gone_lists, strict=True):

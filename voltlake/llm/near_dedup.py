@@ -16,22 +16,23 @@ With the defaults a pair at similarity 0.75 shares no cell with probability 4e-6
 are worked off until none is open or ``QUIET_ROUNDS`` rounds in a row find no new link.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlake.llm.components import components
-from voltlake.llm.text import long_lists, mixed, shingles
+from voltlake.llm.text import long_lists, mixed, shingles, sliced, small_batches
 from voltlake.session import settle
 
 WORDS = 5
 PERCENT = 75
-HALF_KEYS = 16  # in each of the two collections
-MINHASHES = 2  # in a half key
-QUIET_ROUNDS = 2
+HALF_KEYS = 24  # in each of the two collections
+MINHASHES = 3  # in a half key
+QUIET_ROUNDS = 1
 SEED = 20_240_601
 # Ids of candidates that are broadcast to find their texts; more of them are joined.
 FEW = 1_000_000
@@ -39,53 +40,91 @@ FEW = 1_000_000
 RUN = 4_096
 
 
-def half_keys(found: np.ndarray, half: int, minhashes: int) -> np.ndarray:
-    """The half keys of both collections; each is different from all at other places."""
+# Bits of each minhash that go along with a class, and how many standard deviations below
+# their mean at the threshold the agreeing ones of a pair may be.
+MARK_BITS, DEVIATIONS = 4, 4.5
+
+
+def least_hashes(found: np.ndarray, n: int) -> np.ndarray:
+    """``n`` minhashes of a set."""
     draw = np.random.default_rng(SEED)
-    n = 2 * half * minhashes
     times = draw.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
     plus = draw.integers(0, 1 << 63, n, np.uint64)
     least = np.full(n, np.iinfo(np.uint64).max)
     for a in range(0, len(found), RUN):
         some = found[None, a : a + RUN] * times[:, None] + plus[:, None]
         least = np.minimum(least, some.min(axis=1))
+    return mixed(least)
+
+
+def marks(least: np.ndarray) -> np.ndarray:
+    """The lowest bits of each minhash, 16 minhashes to a number."""
+    low = (least & np.uint64(15)).reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
+    return np.bitwise_or.reduce(low, axis=1)
+
+
+def least_agreement(n: int, percent: int) -> int:
+    """How many marks of a pair at the threshold agree at least, but for rare chance."""
+    chance = percent / 100 + (1 - percent / 100) / 2**MARK_BITS
+    return math.floor(n * chance - DEVIATIONS * math.sqrt(n * chance * (1 - chance)))
+
+
+def _agreeing(a: Column, b: Column, n: int) -> Column:
+    """How many of ``n`` marks are equal: groups of four bits without any difference."""
+    total = F.lit(n)
+    for k in range(n // 16):
+        other = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for step in (1, 2):
+            other = other.bitwiseOR(F.shiftrightunsigned(other, step))
+        total -= F.bit_count(other.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def half_keys(least: np.ndarray, half: int, minhashes: int) -> np.ndarray:
+    """The half keys of both collections; each is different from all at other places."""
     keys = np.arange(2 * half, dtype=np.uint64)
     for column in least.reshape(2 * half, minhashes).T:
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) ^ mixed(column))
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) ^ column)
     return keys
 
 
 def sketches(
     docs: DataFrame, words: int = WORDS, half: int = HALF_KEYS, minhashes: int = MINHASHES
 ) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set, half keys; none without words."""
+    """doc_id, n_shingles, digest of the shingle set, half keys, marks; none without words."""
+    n = 2 * half * minhashes
+    if n % 16:
+        raise ValueError("the number of minhashes has to be a multiple of 16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = np.empty(0, np.uint64)
-        for batch in batches:
-            sizes, digests, keys = [], [], []
+        for batch in sliced(batches):
+            sizes, digests, keys, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text or b"", words)
                 sizes.append(len(found))
                 some = len(found) > 0
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if some else None)
-                keys.append(half_keys(found, half, minhashes) if some else nothing)
+                least = least_hashes(found, n) if some else nothing
+                keys.append(half_keys(least, half, minhashes) if some else nothing)
+                bits.append(marks(least) if some else nothing)
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     long_lists(keys),
+                    long_lists(bits),
                 ],
-                names=["doc_id", "n_shingles", "digest", "keys"],
+                names=["doc_id", "n_shingles", "digest", "keys", "marks"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, marks array<bigint>"
     return _texts(docs).mapInArrow(run, schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
 
@@ -98,7 +137,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     texts = texts.join(wanted, texts.doc_id == wanted.cls).select("cls", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sets = [], []
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             for cls, digest, text in rows:
@@ -113,21 +152,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _cells(classes: DataFrame, half: int) -> DataFrame:
-    """(key, cls, n) of every table cell that more than one class falls into."""
-    rows = classes.select("cls", "n", F.posexplode("keys").alias("at", "half"))
+    """(key, cls, n, marks) of every table cell that more than one class falls into."""
+    rows = classes.select("cls", F.posexplode("keys").alias("at", "half"))
     shared = rows.groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
     sides = (
         rows.join(shared, "half")
-        .groupBy("cls", "n")
+        .groupBy("cls")
         .agg(
             F.collect_list(F.when(F.col("at") < half, F.col("half"))).alias("us"),
             F.collect_list(F.when(F.col("at") >= half, F.col("half"))).alias("vs"),
         )
+        .filter("size(us) > 0 AND size(vs) > 0")
+        .join(classes.select("cls", "n", "marks"), "cls")
     )
-    pairs = sides.select("cls", "n", "vs", F.explode("us").alias("u")).select(
-        "cls", "n", F.explode("vs").alias("v"), "u"
+    own = ("cls", "n", "marks")
+    pairs = sides.select(*own, "vs", F.explode("us").alias("u")).select(
+        *own, F.explode("vs").alias("v"), "u"
     )
-    cells = settle(pairs.select(F.xxhash64("u", "v").alias("key"), "cls", "n"), "cells")
+    cells = settle(pairs.select(F.xxhash64("u", "v").alias("key"), *own), "cells")
     several = cells.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     return cells.join(several, "key")
 
@@ -146,7 +188,7 @@ def _alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _draw(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _draw(members: DataFrame, turn: int, percent: int, marked: int) -> tuple[DataFrame, DataFrame]:
     """The open cells with a new leader marked, and the pairs to compare (a < b)."""
     luck = F.xxhash64("key", "cls", F.lit(turn)) if turn else F.lit(0)
     leaders = (
@@ -155,7 +197,7 @@ def _draw(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataF
             F.min("component").alias("low"),
             F.max("component").alias("high"),
             F.sum((~F.col("led")).cast("int")).alias("waiting"),
-            F.min(F.struct("led", luck.alias("luck"), "cls", "n", "component")).alias("lead"),
+            F.min(F.struct("led", luck.alias("luck"), "cls", "n", "marks", "component")).alias("lead"),
         )
         # With one member left to lead, all its pairs have been compared.
         .filter("low <> high AND waiting > 1")
@@ -169,13 +211,16 @@ def _draw(members: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataF
     pairs = (
         now.filter(F.col("component") != F.col("lead.component"))
         .filter(close)
+        .filter(_agreeing(F.col("marks"), F.col("lead.marks"), marked) >= least_agreement(marked, percent))
         .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
         .distinct()
     )
     return now.drop("lead", "component"), pairs
 
 
-def _link(docs: DataFrame, classes: DataFrame, half: int, words: int, percent: int) -> DataFrame:
+def _link(
+    docs: DataFrame, classes: DataFrame, half: int, minhashes: int, words: int, percent: int
+) -> DataFrame:
     """(cls, component) of the classes that share cells with others."""
     members = settle(_cells(classes, half), "cells").withColumn("led", F.lit(False))
     own = members.select("cls").distinct()
@@ -185,7 +230,9 @@ def _link(docs: DataFrame, classes: DataFrame, half: int, words: int, percent: i
     tested = None
     turn = quiet = 0
     while quiet < QUIET_ROUNDS:
-        members, pairs = _draw(members.join(labels, "cls"), turn, percent)
+        members, pairs = _draw(
+            members.join(labels, "cls"), turn, percent, 2 * half * minhashes
+        )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
@@ -236,10 +283,11 @@ def near_dedup(
     drawn = settle(sketches(docs, words, half, minhashes), "sketches")
     usable = drawn.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = usable.groupBy("digest").agg(
-        F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")
-    )
+        F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"),
+        F.first("keys").alias("keys"), F.first("marks").alias("marks"),
+    )
     classes = settle(classes, "classes")
-    labels = _link(docs, classes, half, words, percent)
+    labels = _link(docs, classes, half, minhashes, words, percent)
     placed = classes.select("digest", "cls").join(labels, "cls", "left")
     placed = placed.select("digest", F.coalesce("component", "cls").alias("component_id"))
     rest = drawn.filter("doc_id IS NULL OR n_shingles = 0")

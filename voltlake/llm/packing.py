@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
+from voltlake.llm.text import small_batches
 from voltlake.llm.tokens import END_ID, token_batches, tokenizer_path
 from voltlake.session import settle
 
@@ -228,7 +229,7 @@ def token_pieces(
                 names=["doc_id", "piece", "start", "length", "part", "nth", "ids"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return texts.mapInArrow(encode, PIECES)
 
 

@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from voltlake.llm.text import sliced, small_batches
+
 BLOCK = 512
 LEVEL = 3
 THRESHOLD = 0.3
@@ -100,6 +102,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    docs = small_batches(docs)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
 
 
@@ -111,7 +114,7 @@ def _blocks(texts: DataFrame, most: int) -> list[bytes]:
     """Blocks of whole texts, at most ``most`` of them, chosen by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 yield pa.record_batch(
                     [pa.array([text[a : a + BLOCK] for a in range(0, len(text), BLOCK)], pa.binary())],
@@ -167,7 +170,7 @@ def _evidence(texts: DataFrame, model: Model, *columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [evidence(t, compressors) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
                 [*batch.columns[:-1], pa.array(found, pa.float64())], names=schema.names
@@ -190,7 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [evidence(t, compressors) for t in batch.column("text").to_pylist()]
             scores = model.scores(np.array(found, float))
             yield pa.record_batch([batch.column("doc_id"), pa.array(scores)], names=["doc_id", "score"])
@@ -205,9 +208,9 @@ def good_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model.slope else []
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             found = [evidence(t, compressors) if model.slope else 0.0 for t in texts]
             yield batch.filter(pa.array(model.scores(np.array(found, float)) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

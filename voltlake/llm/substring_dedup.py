@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from voltlake.llm.text import long_lists, mixed, words as words_of
+from voltlake.llm.text import long_lists, mixed, sliced, small_batches, words as words_of
 from voltlake.session import settle
 
 WORDS = 50
@@ -127,6 +127,7 @@ class Chunked:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    docs = small_batches(docs)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).filter(
         "doc_id IS NOT NULL"
     )
@@ -136,7 +137,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """doc_id and the digests of its chunks in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [Chunked(t).digests() for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
                 [batch.column("doc_id"), long_lists(found)], names=["doc_id", "digests"]
@@ -164,7 +165,7 @@ def _windows(docs: DataFrame, suspected: DataFrame, size: int) -> DataFrame:
     texts = _texts(docs).join(suspected, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for i in range(batch.num_rows):
                 text = Chunked(batch.column("text")[i].as_py())
                 shared = batch.column("shared")[i].values.to_numpy()
@@ -237,7 +238,7 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     schema, at = docs.schema, names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             gone_lists = batch.column(len(names)).to_pylist()
             for text, spans in zip(batch.column(at).to_pylist(), gone_lists, strict=True):
@@ -248,6 +249,7 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=names)
 
+    small_batches(docs)
     marked = docs.join(gone, docs.doc_id == gone["_id"], "left").drop("_id")
     return marked.mapInArrow(run, schema)
 

@@ -1,12 +1,13 @@
 """Text rules the corpus operators share: ASCII lower-casing, words, 64-bit hashes."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -63,17 +64,36 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(value)
 
 
-def map_batches(
-    df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
-) -> DataFrame:
-    """Apply a function to every Arrow batch of a frame."""
+# Arrow batches are built in memory on both sides of a Python worker, beside the heap.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield rows(batch)
 
-    return df.mapInArrow(run, schema)
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session sends texts to Python in batches of bounded size."""
+    for name, value in BATCH.items():
+        df.sparkSession.conf.set(name, value)
+    return df
+
+
+# Bytes of text that a task turns into Python objects at a time.
+SLICE_BYTES = 2 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in runs of about ``SLICE_BYTES`` of text; a longer text makes its own run.
+
+    Lists of Python objects take several times the memory of a batch.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        run = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def long_lists(parts: list[np.ndarray]) -> pa.ListArray:

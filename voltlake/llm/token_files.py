@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from voltlake.llm.text import small_batches
 from voltlake.llm.tokens import END_ID, id_lists, token_batches, tokenizer_path
 
 SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
@@ -76,7 +77,8 @@ def write_tokens(
             )
 
     placed = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        small_batches(docs)
+        .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )

@@ -17,12 +17,13 @@ from itertools import pairwise
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
+from voltlake.llm.text import sliced
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 # What the tokenizer's pattern takes as white space besides blank and line end.
@@ -33,7 +34,7 @@ _PIECE = re.compile(f"[ \n{OTHER_SPACE}]*[^ \n{OTHER_SPACE}]+|[ \n{OTHER_SPACE}]
 # Places where a cut at blanks and line ends alone would split a run of white space.
 _RUNS = ("  ", "\n\n", "\n ", " \n")
 # Distinct pieces a Python worker remembers at most; older ones it has not met since go.
-PIECES_KEPT = 300_000
+PIECES_KEPT = 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -150,30 +151,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-# Text bytes encoded before their ids are handed on.
-BYTES_A_SLICE = 2 << 20
-
-
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``BYTES_A_SLICE`` of text."""
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
-    run = np.cumsum(size, dtype=np.int64) // BYTES_A_SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
-    for a, b in pairwise(cuts):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def token_batches(
     batches: Iterator[pa.RecordBatch], path: str, end_id: int
 ) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows with a ``text`` column, with each row's ids and the end id; null is empty."""
     end = np.array([end_id], "<u4").tobytes()
     encode = encoder(path).encode
-    for batch in batches:
-        for rows in _slices(batch):
-            texts = rows.column("text").to_pylist()
-            yield rows, [np.frombuffer(encode(t or "") + end, "<u4") for t in texts]
+    for rows in sliced(batches):
+        texts = rows.column("text").to_pylist()
+        yield rows, [np.frombuffer(encode(t or "") + end, "<u4") for t in texts]
 
 
 def id_lists(encoded: list[np.ndarray]) -> pa.ListArray:
