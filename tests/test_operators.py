@@ -9,12 +9,9 @@ from tests.helpers import T0, frame, rows_of
 from voltlake.operators import latest, quality, runs
 from voltlake.operators.ranking import percent_rank, spread_percent_rank
 
-BOUNDS = [{}, {"broadcast_rows": 20, "bucket_rows": 15}, {"broadcast_rows": 2, "bucket_rows": 1}]
-
-
-def sql_ranks(rows, part=""):
+def sql_ranks(rows, kind, part=""):
     con = duckdb.connect()
-    con.execute("CREATE TABLE t (id INT, g VARCHAR, v DOUBLE)")
+    con.execute(f"CREATE TABLE t (id INT, g VARCHAR, v {kind})")
     if rows:
         con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
     return sorted(
@@ -24,33 +21,41 @@ def sql_ranks(rows, part=""):
     )
 
 
-def test_percent_rank_window_with_ties(spark):
-    values = [12.5, 30.0, 12.5, 8.1, 45.2, 30.0, 19.9]
-    df = frame(spark, "id int, v double", *enumerate(values))
+def test_percent_rank_window_with_ties_and_nulls(spark):
+    values = [4.0, None, 9.5, 4.0, -1.0, 9.5, 9.5, None, 0.0]
+    rows = [(i, "a", v) for i, v in enumerate(values)]
+    df = frame(spark, "id int, g string, v double", *rows)
     got = sorted(rows_of(df.select("id", percent_rank("v"))))
-    assert got == [
-        (i, sum(x < v for x in values) / (len(values) - 1)) for i, v in enumerate(values)
-    ]
+    assert got == sql_ranks(rows, "DOUBLE")
+
+
+KINDS = {
+    "double": ("DOUBLE", lambda n: n / 4),
+    "date": ("DATE", lambda n: (T0 + timedelta(days=n)).date()),
+    "string": ("VARCHAR", lambda n: f"v{n:03d}"),
+    "bigint": ("BIGINT", lambda n: n * 10**12),
+}
 
 
-@pytest.mark.parametrize("bounds", BOUNDS)
+@pytest.mark.parametrize("kind", KINDS)
 @pytest.mark.parametrize("keys", [(), ("g",)])
-def test_spread_percent_rank_with_a_hot_value(spark, bounds, keys):
+def test_spread_percent_rank_with_a_hot_value(spark, kind, keys):
     """A third of the rows share one value, one series holds most rows."""
-    rng = random.Random(5)
-    rows = [(i, "a", 7.0) for i in range(300)]
-    rows += [(300 + i, rng.choice("aaab"), float(rng.randrange(100)) / 4) for i in range(600)]
-    rows += [(900, "a", None), (901, "b", None), (902, None, 1.0), (903, "c", 5.0)]
-    df = frame(spark, "id int, g string, v double", *rows).repartition(5)
-    got = spread_percent_rank(df, "v", "r", keys, **bounds)
-    assert sorted(rows_of(got, "id", "r")) == sql_ranks(rows, "PARTITION BY g" if keys else "")
+    sql, made = KINDS[kind]
+    rng = random.Random(17)
+    rows = [(i, "a", made(28)) for i in range(250)]
+    rows += [(250 + i, rng.choice("aaab"), made(rng.randrange(90))) for i in range(500)]
+    rows += [(800, "a", None), (801, "b", None), (802, None, made(1)), (803, "c", made(20))]
+    df = frame(spark, f"id int, g string, v {kind}", *rows).repartition(5)
+    got = sorted(rows_of(spread_percent_rank(df, "v", "r", keys), "id", "r"))
+    assert got == sql_ranks(rows, sql, "PARTITION BY g" if keys else "")
 
 
 @pytest.mark.parametrize("rows", [[], [(1, "a", 3.0)], [(1, "a", None), (2, "a", float("nan"))]])
 def test_spread_percent_rank_of_next_to_nothing(spark, rows):
     df = frame(spark, "id int, g string, v double", *rows)
     got = sorted(rows_of(spread_percent_rank(df, "v", "r"), "id", "r"))
-    assert got == sql_ranks(rows)
+    assert got == sql_ranks(rows, "DOUBLE")
 
 
 def test_newest_per_key_is_repeatable_on_equal_versions(spark):

@@ -56,6 +56,18 @@ def test_stored_prices_are_read_with_pushed_filters(spark):
     assert "product_code" not in re.search(r"ReadSchema: (.*)", scan).group(1)
 
 
+def test_one_slot_is_found_without_joining_history(spark):
+    path = scratch_path(spark, "p")
+    row = ("2024-06-03T12:00:00Z", "2024-06-03T12:30:00Z", 1.0, "A", T0)
+    silver.stg_prices(frame(spark, RAW_PRICES, row)).write.parquet(path)
+    f = Frames(spark, SF)
+    stored = spark.read.parquet(path)
+    text = plan(gold.price_carbon_newest(stored, f.national, f.totals, 1, until=T0))
+    scans = [s for s in text.split("\n\n") if path in s and "PushedFilters" in s]
+    assert scans and all("LessThanOrEqual(valid_from" in s for s in scans)
+    assert text.count("TakeOrderedAndProject") >= 3 or text.count("GlobalLimit") >= 2
+
+
 def test_joins_reuse_the_partitioning_of_the_newest_rows(spark):
     """Prices and carbon are shuffled once each, for newest-wins and for the join."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

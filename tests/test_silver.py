@@ -1,10 +1,12 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import (
-    RAW_GENERATION, RAW_NATIONAL, RAW_PRICES, RAW_WEATHER, frame, rows_of, ts,
+    RAW_GENERATION, RAW_NATIONAL, RAW_PRICES, RAW_WEATHER, T0, frame, rows_of, ts,
 )
+from voltlake.functions.numbers import text_to_double
 from voltlake.plans import silver
 from voltlake.sources.landing import region_lookup
 
@@ -131,3 +133,39 @@ def test_keys_separate_series(spark):
     )
     got = silver.stg_prices(raw, ["region"]).orderBy("region")
     assert rows_of(got, "region", "value_inc_vat") == [("E", 10.0), ("M", 20.0)]
+
+
+def test_offsets_in_slot_times_are_applied(spark):
+    rows = [
+        ("2024-06-03T12:00:00+01:00", "2024-06-03T12:30:00+01:00", 5.0, "A", T0),
+        ("2024-06-03T11:30:00Z", "2024-06-03T12:00:00Z", 6.0, "A", T0),
+        ("2024-06-03T12:00:00", "2024-06-03 12:30", 7.0, "A", T0),
+    ]
+    got = silver.stg_prices(frame(spark, RAW_PRICES, *rows)).orderBy("valid_from")
+    assert rows_of(got, "valid_from", "valid_to", "value_inc_vat") == [
+        (ts("2024-06-03 11:00"), ts("2024-06-03 11:30"), 5.0),
+        (ts("2024-06-03 11:30"), ts("2024-06-03 12:00"), 6.0),
+        (ts("2024-06-03 12:00"), ts("2024-06-03 12:30"), 7.0),
+    ]
+    mw = frame(
+        spark, RAW_GENERATION, ("2024-06-03", 25, "wind", "8", T0, "2024-06-03T13:00:00+01:00")
+    )
+    assert rows_of(silver.stg_generation(mw), "period_utc") == [(T0,)]
+
+
+def test_rows_without_a_series_are_left_out_and_counted(spark):
+    rows = [
+        (zone, "2024-06-03T12:00:00Z", "2024-06-03T12:30:00Z", price, "A", T0)
+        for zone, price in (("n", 1.0), (None, 2.0), ("s", 3.0), (None, 4.0))
+    ]
+    raw = frame(spark, "zone string, " + RAW_PRICES, *rows)
+    got = silver.stg_prices(raw, ["zone"])
+    assert sorted(rows_of(got, "zone", "value_inc_vat")) == [("n", 1.0), ("s", 3.0)]
+    assert rows_of(silver.without_series(raw, ["zone"])) == [(2,)]
+    assert rows_of(silver.without_series(raw, [])) == [(0,)]
+
+
+def test_unreadable_text_is_counted(spark):
+    texts = [("12.5",), ("",), ("None",), (None,), ("abc",), ("1e3",), ("--",)]
+    counts = silver.unreadable(frame(spark, "t string", *texts), {"t": text_to_double(F.col("t"))})
+    assert rows_of(counts) == [(2,)]

@@ -168,3 +168,23 @@ def test_sinks(spark):
     write_json(df, out)
     (line,) = [r.value for r in spark.read.text(out).collect()]
     assert json.loads(line) == {"t": "2024-06-03 12:00:00", "d": "2024-06-03", "n": None}
+
+
+def test_one_failing_feed_of_any_kind_stops_no_other(spark, tmp_path):
+    def silent():
+        raise RuntimeError
+
+    payload = frame(spark, "payload string, loaded_at ts", ("no json", T0))
+    audit = landing.load_sources(
+        spark,
+        [
+            landing.Source("silent", silent, flat.flatten_weather, str(tmp_path / "a")),
+            landing.Source("garbage", lambda: payload, flat.flatten_weather, str(tmp_path / "b")),
+            landing.priced_source("prices", lambda: payload, silent, str(tmp_path / "c")),
+        ],
+    )
+    assert rows_of(audit, "source", "status") == [
+        ("silent", "ERROR — RuntimeError"),
+        ("garbage", "ERROR — none of 1 payloads is JSON"),
+        ("prices", "ERROR — RuntimeError"),
+    ]

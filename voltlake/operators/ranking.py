@@ -1,134 +1,76 @@
 """Percent ranks: a plain window for bounded groups, a spread form for any size."""
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voltlake.session import settle
+from voltlake.session import scratch_path, settle
+from voltlake.sinks.files import delete
 
-# Rows of (key, value, rank) a broadcast may carry: a few megabytes.
-BROADCAST_ROWS = 65_536
-# Distinct values one running-sum task may sort.
-BUCKET_ROWS = 1_000_000
-BUCKETS_MAX = 10_000
 
+def percent_rank(value: str, keys: Sequence[str] = ()) -> Column:
+    """Window form, for groups whose size has a bound (a horizon of slots, a heatmap).
 
-def percent_rank(value: Column | str, keys: Sequence[str] = ()) -> Column:
-    """Window form, for groups whose size has a bound (a horizon of slots, a heatmap)."""
-    return F.percent_rank().over(W.partitionBy(*keys).orderBy(value))
+    NULLs rank last and count as rows.
+    """
+    return F.percent_rank().over(W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last()))
 
 
 def spread_percent_rank(
-    df: DataFrame,
-    value: str,
-    out: str,
-    keys: Sequence[str] = (),
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-    bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, value: str, out: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """``percent_rank`` of every row without sorting a group in one task.
 
-    The rank depends only on how many rows lie below a value, so rows are first
-    reduced to a count per distinct value (map-side combined: a value holding a third
-    of the rows costs one record per task). Running sums of those counts give the
-    ranks. They go back to the rows by a join that stays within bounds:
-
-    * all ranks broadcast, when there are at most ``broadcast_rows`` of them;
-    * otherwise only the frequent values are broadcast. A value is frequent when it
-      holds more than ``1 / broadcast_rows`` of all rows, so there are fewer than
-      ``broadcast_rows`` of those; the rest meet in a shuffled join where no value
-      can hold more than that share.
+    The rank depends only on how many rows lie below a value, so rows are first reduced
+    to a count per distinct value (map-side combined: a value holding a third of the rows
+    costs one record per task). The counts are sorted over all tasks and stored with the
+    number of their part, so parts cannot be drawn anew; a running sum inside each part
+    and the totals of the parts before it give the ranks. They go back to the rows in one
+    join, which adaptive execution splits where a value is frequent. The plan is the same
+    for every size and for any type that can be ordered.
 
     NULLs rank last and count as rows, as in SQL with NULLS LAST.
     """
     keys = list(keys)
-    counts = settle(
-        df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows")), "value-counts"
-    )
-    groups, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
-    few = groups <= broadcast_rows
-    if few:
-        below = _running_below(counts, value, keys).withColumn(
-            "_size", F.sum("_rows").over(W.partitionBy(*keys))
-        )
-    else:
-        below = _bucketed_below(counts, value, keys, groups, bucket_rows)
-    ranks = below.select(
-        *keys,
-        value,
-        "_rows",
-        F.when(F.col("_size") > 1, F.col("_below") / (F.col("_size") - 1))
-        .otherwise(0.0)
-        .alias(out),
+    spark = df.sparkSession
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows"))
+    order = [*keys, F.col(value).asc_nulls_last()]
+    path = scratch_path(spark, "value-counts")
+    (
+        counts.repartitionByRange(*order)
+        .withColumn("_part", F.spark_partition_id())
+        .write.parquet(path)
     )
-    if few:
-        return _join_ranks(df, F.broadcast(ranks), keys, value, out, "inner")
-    ranks = settle(ranks, "value-ranks")
-    frequent = F.col("_rows") * broadcast_rows > total
-    marked = _join_ranks(df, F.broadcast(ranks.filter(frequent)), keys, value, out, "left")
-    hot = marked.filter(F.col(out).isNotNull())
-    rest = marked.filter(F.col(out).isNull()).drop(out)
-    cold = _join_ranks(rest, ranks.filter(~frequent), keys, value, out, "inner")
-    return hot.unionByName(cold)
+    stored = spark.read.parquet(path)
+    ranks = settle(_ranks(stored, keys, value, out), "value-ranks")
+    delete(spark, path)
+    return _attached(df, ranks, [*keys, value])
 
 
-def _running_below(counts: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Adds the number of rows below each value of its group."""
-    order = W.partitionBy(*groups).orderBy(F.col(value).asc_nulls_last())
-    ahead = F.sum("_rows").over(order.rowsBetween(W.unboundedPreceding, -1))
-    return counts.withColumn("_below", F.coalesce(ahead, F.lit(0)))
-
-
-def _bucketed_below(
-    counts: DataFrame, value: str, keys: list[str], groups: int, bucket_rows: int
-) -> DataFrame:
-    """The same running sum, cut into value ranges that are summed side by side.
-
-    The cut points are approximate quantiles of the *distinct* values, so ranges stay
-    even whatever the frequencies; any cut gives the same ranks. Only the per-range
-    totals, at most ``BUCKETS_MAX`` a key, are summed in sequence.
-    """
-    parts = min(BUCKETS_MAX, max(2, -(-groups // bucket_rows)))
-    probes = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(counts.approxQuantile(value, probes, 0.1 / parts)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    placed = Bucketizer(
-        splits=splits, inputCol=value, outputCol="_bucket", handleInvalid="keep"
-    ).transform(counts)
-    # NaN has a range of its own after the others, NULL one after that.
-    placed = placed.withColumn("_bucket", F.coalesce("_bucket", F.lit(float(len(splits)))))
+def _ranks(counts: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, value, rank) from the stored counts."""
+    # One row per part and series; a part holds few series or a series fills few parts.
+    totals = counts.groupBy(*keys, "_part").agg(F.sum("_rows").alias("_in"))
     series = W.partitionBy(*keys)
-    earlier = series.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(F.sum("_rows").alias("_in"))
-        .select(
-            *[F.col(k).alias(f"_s_{k}") for k in keys],
-            F.col("_bucket").alias("_s_bucket"),
-            F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_start"),
-            F.sum("_in").over(series).alias("_size"),
-        )
-    )
-    same = F.col("_bucket") == F.col("_s_bucket")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    return (
-        _running_below(placed, value, [*keys, "_bucket"])
-        .join(starts, same)
-        .withColumn("_below", F.col("_start") + F.col("_below"))
-    )
-
-
-def _join_ranks(rows, ranks, keys, value, out, how):
-    """Null-safe equi-join that keeps only the rank from the right side."""
-    right = ranks.select(
-        *[F.col(c).alias(f"_r_{c}") for c in (*keys, value)], F.col(out).alias(f"_r_{out}")
-    )
-    same = F.lit(True)
-    for c in (*keys, value):
-        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return rows.join(right, same, how).select(
-        *[F.col(c) for c in rows.columns], F.col(f"_r_{out}").alias(out)
+    earlier = series.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(
+        *keys,
+        "_part",
+        F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_in").over(series).alias("_size"),
     )
+    inside = W.partitionBy("_part", *keys).orderBy(F.col(value).asc_nulls_last())
+    ahead = F.sum("_rows").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    placed = counts.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
+    below = F.col("_start") + F.col("_ahead")
+    rank = F.when(F.col("_size") > 1, below / (F.col("_size") - 1)).otherwise(0.0)
+    return _attached(placed, starts, [*keys, "_part"]).select(*keys, value, rank.alias(out))
+
+
+def _attached(rows: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Null-safe inner join that adds the right side's other columns."""
+    other = [c for c in right.columns if c not in on]
+    right = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *other)
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on))
+    return rows.join(right, same).select(*rows.columns, *other)

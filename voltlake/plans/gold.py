@@ -88,6 +88,36 @@ def mart_price_carbon(
     )
 
 
+def price_carbon_newest(
+    prices: DataFrame,
+    carbon: DataFrame,
+    totals: DataFrame,
+    n: int,
+    keys: Sequence[str] = (),
+    until: datetime | None = None,
+) -> DataFrame:
+    """The newest ``n`` slots of ``mart_price_carbon`` (a series), none after ``until``.
+
+    Each side's newest ``n`` slots are taken before the join: a slot that is not among
+    them on one side has ``n`` newer ones there, so it is not among the joined newest
+    either. Totals are looked up for those slots alone. History is never joined.
+    """
+
+    def newest(side: DataFrame, slot: str) -> DataFrame:
+        known = side.filter(F.col(slot).isNotNull())
+        if until is not None:
+            known = known.filter(F.col(slot) <= at(until))
+        return top_n(known, [F.col(slot).desc()], n, keys)
+
+    prices = newest(prices, "valid_from")
+    # At most n rows a series; without keys small enough to go to every task.
+    slots = prices.select(*keys, F.col("valid_from").alias("period_utc"))
+    slots = slots if keys else F.broadcast(slots)
+    totals = totals.join(slots, [*keys, "period_utc"], "left_semi")
+    joined = mart_price_carbon(prices, newest(carbon, "period_from"), totals, keys)
+    return top_n(joined, [F.col("period_utc").desc()], n, keys)
+
+
 def price_carbon_ahead(
     prices: DataFrame,
     carbon: DataFrame,

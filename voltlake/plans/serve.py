@@ -251,8 +251,9 @@ def fuel_mix_pivot(
 ) -> DataFrame:
     """Newest ``n`` hour-and-fuel rows as one row per hour and one column per fuel.
 
-    Naming the fuels fixes the columns; otherwise Spark first looks up which fuels
-    occur in those rows. Fuels without a reading show 0.
+    Naming the fuels fixes the columns, and a reading of any other fuel among those rows
+    is an error that names it; otherwise Spark first looks up which fuels occur. Fuels
+    without a reading show 0.
     """
     newest = top_n(
         fuel_mix.select(
@@ -266,8 +267,15 @@ def fuel_mix_pivot(
         keys,
     )
     label = F.date_format("hour_utc", "yyyy-MM-dd HH").alias("hour_label")
-    wide = newest.groupBy(*keys, label).pivot("fuel_type", list(fuels) if fuels else None)
-    return wide.agg(F.first("generation_mw")).fillna(0).orderBy(*keys, "hour_label")
+    if fuels:
+        unnamed = F.raise_error(F.concat(F.lit("no column for fuel "), "fuel_type"))
+        named = F.col("fuel_type").isin(*fuels) | F.col("fuel_type").isNull()
+        fuel = F.when(named, F.col("fuel_type")).otherwise(unnamed)
+        newest = newest.withColumn("fuel_type", fuel)
+    grouped = newest.groupBy(*keys, label).pivot("fuel_type", list(fuels) if fuels else None)
+    wide = grouped.agg(F.first("generation_mw"))
+    filled = [c for c in wide.columns if c not in (*keys, "hour_label")]
+    return wide.fillna(0, filled).orderBy(*keys, "hour_label")
 
 
 def renewable_weather(

@@ -3,26 +3,47 @@
 Every function takes a bronze frame and optional series ``keys`` (region, tariff,
 meter) that exist in it; without keys the frame is one series.
 
-Text that cannot be read becomes NULL and is reported by the data checks instead of
-failing the load.
+Text that cannot be read becomes NULL instead of failing the load; ``unreadable`` counts
+it. A row without a value in one of the ``keys`` belongs to no series: it is left out
+here, and ``without_series`` counts such rows.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlake import settings
+from voltlake.functions.numbers import text_to_double
+from voltlake.functions.timeparts import NTZ, parse_utc, parse_utc_offset
 from voltlake.operators.latest import newest_per_key
 
 
-def _number(text: str) -> str:
-    """Number kept as text; blank, ``None`` and unreadable text become NULL."""
-    return f"try_cast(nullif(nullif({text}, ''), 'None') AS double)"
+def _in_series(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that belong to a series."""
+    return raw.dropna(subset=list(keys)) if keys else raw
 
 
-def _utc_minute(text: str) -> str:
-    """Minute-precise text with ``Z`` or an offset, as UTC."""
-    return f"CAST(try_to_timestamp({text}, \"yyyy-MM-dd'T'HH:mmXXX\") AS timestamp_ntz)"
+def without_series(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many bronze rows have no series: one row, column ``n_rows``."""
+    known = raw.select(*keys).dropna(subset=list(keys)) if keys else raw
+    return raw.agg(F.count("*").alias("n_all")).join(known.agg(F.count("*").alias("n_known"))).select(
+        (F.col("n_all") - F.col("n_known")).alias("n_rows")
+    )
+
+
+def unreadable(raw: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """How often text is there but its typed value is not: one row, a column per name.
+
+    ``columns`` gives the typed expression of each text column, such as
+    ``{"valid_from": parse_utc(F.col("valid_from"))}``. Blank and ``None`` are no values.
+    """
+    blank = ("", "None")
+    return raw.agg(
+        *[
+            F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*blank) & typed.isNull()).alias(c)
+            for c, typed in columns.items()
+        ]
+    )
 
 
 def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,73 +52,89 @@ def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Rows without a start time fall back to date and period number, which is an hour
     late while clocks are on summer time.
     """
-    typed = raw.filter(
-        "generation IS NOT NULL AND try_cast(settlement_period AS int) "
-        f"BETWEEN 1 AND {settings.PERIODS_PER_DAY_MAX}"
-    ).selectExpr(
-        *keys,
-        "try_cast(settlement_date AS date) AS settlement_date",
-        "try_cast(settlement_period AS int) AS settlement_period",
-        "coalesce(try_cast(start_time AS timestamp_ntz),"
-        " CAST(try_cast(settlement_date AS date) AS timestamp_ntz)"
-        " + make_dt_interval(0, 0, 30 * (try_cast(settlement_period AS int) - 1)))"
-        " AS period_utc",
-        "upper(trim(fuel_type)) AS fuel_type",
-        "try_cast(generation AS double) AS generation_mw",
-        "loaded_at",
+    date = F.col("settlement_date").try_cast("date")
+    period = F.col("settlement_period").try_cast("int")
+    counted = date.cast(NTZ) + F.make_dt_interval(mins=30 * (period - 1))
+    known = F.col("generation").isNotNull() & period.between(1, settings.PERIODS_PER_DAY_MAX)
+    typed = (
+        _in_series(raw, keys)
+        .filter(known)
+        .select(
+            *keys,
+            date.alias("settlement_date"),
+            period.alias("settlement_period"),
+            F.coalesce(parse_utc(F.col("start_time")), counted).alias("period_utc"),
+            F.upper(F.trim("fuel_type")).alias("fuel_type"),
+            F.col("generation").try_cast("double").alias("generation_mw"),
+            "loaded_at",
+        )
     )
-    keyed = typed.selectExpr(
-        "*",
-        "concat(settlement_date, '_', settlement_period, '_', fuel_type) AS settlement_key",
-    )
-    return newest_per_key(keyed, [*keys, "settlement_key"])
+    key = F.concat("settlement_date", F.lit("_"), "settlement_period", F.lit("_"), "fuel_type")
+    return newest_per_key(typed.withColumn("settlement_key", key), [*keys, "settlement_key"])
 
 
 def stg_weather(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Weather per reported time; times are kept as given, not cut to the hour."""
-    typed = raw.filter("time IS NOT NULL").selectExpr(
-        *keys,
-        "try_cast(time AS timestamp_ntz) AS hour_utc",
-        f"{_number('temperature_2m')} AS temp_c",
-        f"{_number('windspeed_10m')} AS windspeed_kmh",
-        f"{_number('cloudcover')} AS cloudcover_pct",
-        f"{_number('direct_radiation')} AS direct_radiation_wm2",
-        f"{_number('wind_direction_10m')} AS wind_direction_deg",
-        f"{_number('precipitation')} AS precipitation_mm",
-        "loaded_at",
+    measures = {
+        "temp_c": "temperature_2m",
+        "windspeed_kmh": "windspeed_10m",
+        "cloudcover_pct": "cloudcover",
+        "direct_radiation_wm2": "direct_radiation",
+        "wind_direction_deg": "wind_direction_10m",
+        "precipitation_mm": "precipitation",
+    }
+    typed = (
+        _in_series(raw, keys)
+        .filter(F.col("time").isNotNull())
+        .select(
+            *keys,
+            parse_utc(F.col("time")).alias("hour_utc"),
+            *[text_to_double(F.col(c)).alias(name) for name, c in measures.items()],
+            "loaded_at",
+        )
     )
     return newest_per_key(typed, [*keys, "hour_utc"])
 
 
 def stg_prices(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Price per half-hour slot, in pence including tax."""
-    typed = raw.filter("valid_from IS NOT NULL").selectExpr(
-        *keys,
-        "try_cast(valid_from AS timestamp_ntz) AS valid_from",
-        "try_cast(valid_to AS timestamp_ntz) AS valid_to",
-        "CAST(value_inc_vat AS double) AS value_inc_vat",
-        "product_code",
-        "loaded_at",
+    typed = (
+        _in_series(raw, keys)
+        .filter(F.col("valid_from").isNotNull())
+        .select(
+            *keys,
+            parse_utc(F.col("valid_from")).alias("valid_from"),
+            parse_utc(F.col("valid_to")).alias("valid_to"),
+            F.col("value_inc_vat").cast("double").alias("value_inc_vat"),
+            "product_code",
+            "loaded_at",
+        )
     )
     newest = newest_per_key(typed, [*keys, "valid_from"])
-    return newest.selectExpr("*", "CAST(valid_from AS string) AS price_key")
+    return newest.withColumn("price_key", F.col("valid_from").cast("string"))
 
 
 def stg_carbon_national(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """National intensity per slot: the actual where published, else the forecast."""
-    typed = raw.filter("from_time IS NOT NULL").selectExpr(
-        *keys,
-        f"{_utc_minute('from_time')} AS period_from",
-        f"{_utc_minute('to_time')} AS period_to",
-        "try_cast(nullif(intensity_actual, '') AS double) AS intensity_actual",
-        "try_cast(nullif(intensity_forecast, '') AS double) AS intensity_forecast",
-        "try_cast(coalesce(nullif(intensity_actual, ''), nullif(intensity_forecast, ''))"
-        " AS double) AS intensity_best",
-        "intensity_index",
-        "loaded_at",
+    actual, forecast = (
+        F.nullif(F.col(c), F.lit("")) for c in ("intensity_actual", "intensity_forecast")
+    )
+    typed = (
+        _in_series(raw, keys)
+        .filter(F.col("from_time").isNotNull())
+        .select(
+            *keys,
+            parse_utc_offset(F.col("from_time")).alias("period_from"),
+            parse_utc_offset(F.col("to_time")).alias("period_to"),
+            actual.try_cast("double").alias("intensity_actual"),
+            forecast.try_cast("double").alias("intensity_forecast"),
+            F.coalesce(actual, forecast).try_cast("double").alias("intensity_best"),
+            "intensity_index",
+            "loaded_at",
+        )
     )
     newest = newest_per_key(typed, [*keys, "period_from"])
-    return newest.selectExpr("*", "concat(period_from, '+00') AS period_key")
+    return newest.withColumn("period_key", F.concat(F.col("period_from").cast("string"), F.lit("+00")))
 
 
 def stg_carbon(raw: DataFrame, lookup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -107,13 +144,17 @@ def stg_carbon(raw: DataFrame, lookup: DataFrame, keys: Sequence[str] = ()) -> D
     shuffles, where adaptive execution splits a region that holds most snapshots.
     """
     names = lookup.selectExpr("CAST(regionid AS int) AS regionid", "full_name")
-    typed = raw.filter("regionid IS NOT NULL").selectExpr(
-        *keys,
-        "try_cast(regionid AS int) AS regionid",
-        "shortname",
-        f"{_number('intensity_actual')} AS intensity_actual",
-        "generationmix",
-        "loaded_at",
+    typed = (
+        _in_series(raw, keys)
+        .filter(F.col("regionid").isNotNull())
+        .select(
+            *keys,
+            F.col("regionid").try_cast("int").alias("regionid"),
+            "shortname",
+            text_to_double(F.col("intensity_actual")).alias("intensity_actual"),
+            "generationmix",
+            "loaded_at",
+        )
     )
     return typed.join(names, "regionid", "left").selectExpr(
         *keys,

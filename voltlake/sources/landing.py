@@ -3,6 +3,7 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cache
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -82,10 +83,25 @@ def priced_by(products: DataFrame) -> str:
     return row[0]
 
 
+def priced_source(
+    name: str,
+    payloads: Callable[[], DataFrame],
+    products: Callable[[], DataFrame],
+    target: str,
+) -> Source:
+    """The prices feed; its product is looked up while it loads, so that a products feed
+    that fails stops this source and no other."""
+    product = cache(lambda: priced_by(products()))
+    return Source(
+        name, payloads, lambda p: flat.flatten_prices(p, product()), target, "rates", product
+    )
+
+
 def load_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """Load every source; one that fails is reported and does not stop the others.
 
-    Rows are counted by the write itself. Returns (source, status, n_rows).
+    Rows and payloads that are no JSON are counted by the write itself; a feed of nothing
+    but the latter is an error. Returns (source, status, n_rows).
     """
     return spark.createDataFrame(
         [_load(s) for s in sources], "source string, status string, n_rows long"
@@ -94,11 +110,16 @@ def load_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
 
 def _load(source: Source) -> tuple[str, str, int | None]:
     try:
-        seen = Observation(f"load_{source.name}")
-        rows = source.flatten(source.payloads())
+        seen, read = Observation(f"load_{source.name}"), Observation(f"read_{source.name}")
+        payloads = source.payloads().observe(read, *flat.readability())
+        rows = source.flatten(payloads)
         append_bronze(rows.observe(seen, F.count(F.lit(1)).alias("n_rows")), source.target)
-        n_rows = seen.get["n_rows"]
+        n_rows, n_bad, n_read = seen.get["n_rows"], read.get["unreadable"], read.get["n_read"]
+        if n_bad and n_bad == n_read:
+            return source.name, f"ERROR — none of {n_read} payloads is JSON", None
         note = f" ({source.note()})" if source.note else ""
-        return source.name, f"OK — {n_rows} {source.unit}{note}", n_rows
+        bad = f", {n_bad} of {n_read} payloads are no JSON" if n_bad else ""
+        return source.name, f"OK — {n_rows} {source.unit}{note}{bad}", n_rows
     except Exception as error:  # a feed may fail in any way; the audit row says how
-        return source.name, f"ERROR — {str(error).splitlines()[0]}", None
+        said = str(error).strip().splitlines()
+        return source.name, f"ERROR — {said[0] if said else type(error).__name__}", None

@@ -148,10 +148,15 @@ def latest_product(payloads: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     )
 
 
+def readability() -> tuple[Column, Column]:
+    """Aggregates over payload texts: how many there are, and how many are no JSON."""
+    bad = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+    return F.count("payload").alias("n_read"), F.count_if(bad).alias("unreadable")
+
+
 def unreadable(payloads: DataFrame) -> DataFrame:
     """Number of payload texts that are no JSON; they yield no rows above."""
-    bad = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
-    return payloads.agg(F.count_if(bad).alias("unreadable"))
+    return payloads.agg(readability()[1])
 
 
 def within_fetch_window(df: DataFrame, slot: Column, as_of: datetime) -> DataFrame:

@@ -199,12 +199,10 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read(path: str) -> DataFrame:
         return landing.read_payloads(spark, path, views.AS_OF)
 
-    product = landing.priced_by(read(landed["products"]))
     flatten = {
         "generation": flat.flatten_generation,
         "weather": flat.flatten_weather,
         "carbon": flat.flatten_regional,
-        "prices": lambda p: flat.flatten_prices(p, product),
         "carbon_national": flat.flatten_national,
     }
     sources = [
@@ -213,18 +211,44 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda name=name: read(landed[name]),
             how,
             f"{bronze}/{name}",
-            unit="rates" if name == "prices" else "rows",
-            note=(lambda: product) if name == "prices" else None,
         )
         for name, how in flatten.items()
     ]
+    sources.append(
+        landing.priced_source(
+            "prices",
+            lambda: read(landed["prices"]),
+            lambda: read(landed["products"]),
+            f"{bronze}/prices",
+        )
+    )
+    no_products = landing.priced_source(
+        "unpriced",
+        lambda: read(landed["prices"]),
+        lambda: read(landed["products"]).filter("false"),
+        f"{bronze}/unpriced",
+    )
+    garbage = frames.events.select(
+        F.concat(F.lit("<html>"), F.col("event_id").cast("string")).alias("payload"),
+        at(views.AS_OF).alias("loaded_at"),
+    )
+    sources += [
+        no_products,
+        landing.Source("garbage", lambda: garbage, flat.flatten_national, f"{bronze}/garbage"),
+        landing.Source(
+            "partly_garbage",
+            lambda: garbage.filter("event_id % 3 = 0").unionByName(read(landed["carbon_national"])),
+            flat.flatten_national,
+            f"{bronze}/partly",
+        ),
+    ]
     broken = landing.Source(
         "unreachable", lambda: read(f"{bronze}/none"), flat.flatten_weather, f"{bronze}/none"
     )
     audit = landing.load_sources(spark, [*sources, broken])
-    return audit.withColumn(
-        "status", F.when(F.col("n_rows").isNull(), "ERROR").otherwise(F.col("status"))
-    )
+    # The text of a missing path names this run's folder.
+    path = F.col("source") == "unreachable"
+    return audit.withColumn("status", F.when(path, F.left("status", F.lit(5))).otherwise(F.col("status")))
 
 
 _register(
@@ -240,7 +264,12 @@ _register(
                     WHERE event_type IN ('signup', 'error')) || ')' FROM n
                 UNION ALL SELECT 'carbon_national', 2 * c, 'rows' FROM n)
        SELECT source, 'OK — ' || n_rows || ' ' || unit AS status, n_rows FROM counts
-       UNION ALL SELECT 'unreachable', 'ERROR', NULL""",
+       UNION ALL SELECT 'unreachable', 'ERROR', NULL
+       UNION ALL SELECT 'unpriced', 'ERROR — no eligible product found', NULL
+       UNION ALL SELECT 'garbage', 'ERROR — none of ' || c || ' payloads is JSON', NULL FROM n
+       UNION ALL SELECT 'partly_garbage', 'OK — ' || 2 * c || ' rows, ' || bad || ' of ' || (c + bad)
+                        || ' payloads are no JSON', 2 * c
+                 FROM n, (SELECT count(*) FILTER (event_id % 3 = 0) AS bad FROM events)""",
 )
 
 
@@ -274,7 +303,7 @@ _both("stg_prices", lambda f: f.prices, _select("SELECT * FROM stg_prices"))
 _both(
     "stg_carbon_national", lambda f: f.national, _select("SELECT * FROM stg_carbon_national")
 )
-_one("stg_carbon", lambda f: f.regional_snapshots, "SELECT * FROM stg_carbon")
+_both("stg_carbon", lambda f: f.regional_snapshots, _select("SELECT * FROM stg_carbon"))
 _one(
     "dedupe_latest",
     lambda f: newest_per_key(
@@ -347,7 +376,7 @@ _both("weather_indices", lambda f: f.solar_weather, _select("SELECT * FROM weath
 _both(
     "now_summary",
     lambda f: serve.now_summary(
-        f.price_carbon, f.renewable_mix, f.best_windows, views.AS_OF, f.keys
+        f.price_carbon_newest(1, views.AS_OF), f.renewable_mix, f.best_windows, views.AS_OF, f.keys
     ),
     oracle.now_summary,
 )
@@ -378,7 +407,7 @@ _both(
 )
 _both(
     "prices_carbon_recent",
-    lambda f: serve.prices_carbon_recent(f.price_carbon, 200, f.keys),
+    lambda f: serve.prices_carbon_recent(f.price_carbon_newest(200), 200, f.keys),
     _select(
         """SELECT {k}period_utc::VARCHAR AS period_utc, round(value_inc_vat, 2) AS price_p_kwh,
                   round(carbon_intensity, 0) AS carbon_intensity, intensity_index,
@@ -445,7 +474,7 @@ _both(
         f.temp_vs_demand,
         f.regional_latest,
         f.grid_stress,
-        f.price_carbon,
+        f.price_carbon_newest(1, views.AS_OF),
         views.AS_OF,
         f.keys,
     ),
@@ -478,26 +507,38 @@ _one(
 )
 
 
-def _ranked(spark: SparkSession, sf_dir: str, keys=(), **bounds) -> DataFrame:
-    events = Frames(spark, sf_dir).events.select("event_id", "zone", "value")
-    return spread_percent_rank(events, "value", "value_rank", keys, **bounds)
+def _ranked(spark: SparkSession, sf_dir: str, value: str = "value", keys=()) -> DataFrame:
+    events = Frames(spark, sf_dir).events
+    events = events.withColumns({"day": F.to_date("ts"), "kind": F.col("event_type")})
+    events = events.select("event_id", "zone", F.col(value).alias("value"))
+    return spread_percent_rank(events, "value", "value_rank", keys)
 
 
-_RANKED = """
-    SELECT event_id, zone, value, percent_rank() OVER ({part} ORDER BY value) AS value_rank
-    FROM ev"""
-_register("percent_rank_global", _ranked, oracle.statement(_RANKED))
-# The same with bounds small enough that ranges, frequent values and the shuffled join
-# are all used on test data.
+def _rank_sql(value: str) -> str:
+    return (
+        f"SELECT event_id, zone, {value} AS value, "
+        f"percent_rank() OVER ({{part}} ORDER BY {value} NULLS LAST) AS value_rank FROM ev"
+    )
+
+
+_register("percent_rank_global", _ranked, oracle.statement(_rank_sql("value")))
 _register(
     "percent_rank_ranges",
-    lambda spark, d: _ranked(spark, d, broadcast_rows=500, bucket_rows=400),
-    oracle.statement(_RANKED),
+    lambda spark, d: _ranked(spark, d, "event_id"),
+    oracle.statement(_rank_sql("event_id")),
 )
 _register(
     "percent_rank_ranges_by_zone",
-    lambda spark, d: _ranked(spark, d, ZONED, broadcast_rows=500, bucket_rows=400),
-    oracle.statement(_RANKED, keyed=True),
+    lambda spark, d: _ranked(spark, d, keys=ZONED),
+    oracle.statement(_rank_sql("value"), keyed=True),
+)
+_register(
+    "percent_rank_date", lambda spark, d: _ranked(spark, d, "day"), oracle.statement(_rank_sql("ts::DATE"))
+)
+_register(
+    "percent_rank_text",
+    lambda spark, d: _ranked(spark, d, "kind", ZONED),
+    oracle.statement(_rank_sql("event_type"), keyed=True),
 )
 
 # ---- sinks and the whole build ---------------------------------------------

@@ -1,5 +1,6 @@
 """The lake's frames over one folder of test tables, lazily planned."""
 
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,11 @@ class Frames:
     def price_carbon(self) -> DataFrame:
         return gold.mart_price_carbon(self.prices, self.national, self.totals, self.keys)
 
+    def price_carbon_newest(self, n: int, until: datetime | None = None) -> DataFrame:
+        return gold.price_carbon_newest(
+            self.prices, self.national, self.totals, n, self.keys, until
+        )
+
     @cached_property
     def price_carbon_ahead(self) -> DataFrame:
         return gold.price_carbon_ahead(
