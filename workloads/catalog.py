@@ -18,7 +18,7 @@ from voltlake.plans import serve, silver
 from voltlake.plans.lake import Lake
 from voltlake.session import configure, scratch_path
 from voltlake.sinks.files import is_directory
-from voltlake.sinks.tables import text_times, write_json
+from voltlake.sinks.tables import publish_view, text_times, write_json
 from voltlake.sources import landing, payloads as flat
 from voltlake.streaming import jobs
 from workloads import oracle, views
@@ -157,7 +157,7 @@ _one(
     f"""SELECT event_id, 'national' AS feed, from_time AS slot FROM ({_NATIONAL_ROWS})
         WHERE replace(from_time, 'Z', ':00')::TIMESTAMP {_WINDOW}
         UNION ALL SELECT event_id, 'prices', valid_from FROM ({_PRICE_ROWS})
-        WHERE valid_from::TIMESTAMP {_WINDOW}
+        WHERE timezone('UTC', valid_from::TIMESTAMPTZ) {_WINDOW}
         UNION ALL SELECT NULL, 'generation', settlement_date FROM raw_generation
         WHERE settlement_date IN ('2024-01-14', '2024-01-15')""",
 )
@@ -284,6 +284,40 @@ def _evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.read_bronze(spark, path, "raw_generation").drop(landing.LOAD_DATE)
 
 
+def _seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region names written as CSV with a header and read back as a seed."""
+    path = scratch_path(spark, "seed")
+    Frames(spark, sf_dir).lookup.write.csv(path, header=True)
+    return landing.region_lookup(spark, path)
+
+
+_register(
+    "region_seed",
+    _seed,
+    """SELECT n_nationkey::INTEGER AS regionid, n_name AS shortname, n_name AS full_name
+       FROM nation""",
+)
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest national slots behind a session view, asked with SQL."""
+    publish_view(Frames(spark, sf_dir).national, "stg_carbon_national_view")
+    return spark.sql(
+        "SELECT intensity_index, count(*) AS n_slots, max(intensity_best) AS highest "
+        "FROM stg_carbon_national_view GROUP BY intensity_index"
+    )
+
+
+_register(
+    "silver_view",
+    _view,
+    oracle.statement(
+        """SELECT intensity_index, count(*) AS n_slots, max(intensity_best) AS highest
+           FROM stg_carbon_national GROUP BY intensity_index"""
+    ),
+)
+
+
 _register(
     "schema_evolve",
     _evolved,
@@ -329,11 +363,7 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register(
     "incremental_upsert", _incremental, oracle.statement("SELECT * FROM stg_generation")
 )
-_register(
-    "dq_checks",
-    lambda spark, d: _checked(Frames(spark, d)),
-    oracle.checks(),
-)
+_both("dq_checks", lambda f: _checked(f), oracle.checks)
 
 
 def _checked(f: Frames) -> DataFrame:
@@ -347,7 +377,8 @@ def _checked(f: Frames) -> DataFrame:
             "mart_temp_vs_demand": f.temp_vs_demand,
             "mart_renewable_mix": f.renewable_mix,
             "mart_carbon_heatmap": f.carbon_heatmap,
-        }
+        },
+        keys=f.keys,
     )
 
 

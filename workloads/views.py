@@ -70,6 +70,15 @@ _SLOT = (
 )
 _ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 _ISO_MINUTE = "yyyy-MM-dd'T'HH:mm'Z'"
+_SUMMER = "yyyy-MM-dd'T'HH:mm:ss'+01:00'"
+
+
+def _iso_sql(slot: str) -> str:
+    """The slot as text; every seventh event writes summer time with its offset."""
+    return (
+        f'CASE WHEN event_id % 7 = 1 THEN date_format({slot} + INTERVAL 1 HOUR, "{_SUMMER}") '
+        f'ELSE date_format({slot}, "{_ISO}") END'
+    )
 _PERIOD = "hour(ts) * 2 + CASE WHEN minute(ts) >= 30 THEN 2 ELSE 1 END"
 
 
@@ -92,7 +101,7 @@ def raw_generation(ev: DataFrame, keys=()) -> DataFrame:
         "CAST(CAST(rint(value * 100) AS bigint) * CASE WHEN event_type = 'error'"
         " AND event_id % 3 = 0 THEN -1 ELSE 1 END AS string) AS generation",
         "ts AS loaded_at",
-        f'CASE WHEN event_id % 10 <> 0 THEN date_format({_SLOT}, "{_ISO}") END AS start_time',
+        f"CASE WHEN event_id % 10 <> 0 THEN {_iso_sql(_SLOT)} END AS start_time",
     )
 
 
@@ -117,8 +126,8 @@ def raw_weather(ev: DataFrame, keys=()) -> DataFrame:
 def raw_prices(ev: DataFrame, keys=()) -> DataFrame:
     return ev.selectExpr(
         *keys,
-        f'date_format({_SLOT}, "{_ISO}") AS valid_from',
-        f'date_format({_SLOT} + INTERVAL 30 MINUTES, "{_ISO}") AS valid_to',
+        f"{_iso_sql(_SLOT)} AS valid_from",
+        f"{_iso_sql(_SLOT + ' + INTERVAL 30 MINUTES')} AS valid_to",
         "floor(value * 4) / 4.0D - 10.0D AS value_inc_vat",
         "concat('AGILE-', event_type) AS product_code",
         "ts AS loaded_at",
