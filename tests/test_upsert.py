@@ -240,3 +240,47 @@ def test_increment_reads_only_the_days_from_the_mark_on(spark):
     table = up.KeyedTable(scratch_path(spark, "t"), **GENERATION_TABLE)
     up.load_increment(spark, table, bronze, silver.stg_generation)
     assert rows_of(up.read_table(spark, table), "generation_mw") == [(4.0,)]
+
+
+def test_a_second_writer_is_refused_and_a_dead_one_replaced(spark, table, monkeypatch):
+    raw = readings(spark, 50)
+    with up.held(spark, table):
+        with pytest.raises(RuntimeError, match="another run"):
+            up.load_increment(spark, table, raw, silver.stg_generation)
+        with pytest.raises(RuntimeError, match="another run"):
+            up.finish_pending(spark, table)
+        monkeypatch.setattr(up, "STALE_SECONDS", 0)
+        up.load_increment(spark, table, raw, silver.stg_generation)
+    assert state(spark, table) == expected(raw)
+
+
+def test_history_load_that_died_is_replaced_and_increments_add_up(spark):
+    raw = readings(spark, 60)
+    history = up.KeyedTable(
+        scratch_path(spark, "t"), ("settlement_key", "loaded_at"), dated_by="loaded_at"
+    )
+    raw.limit(3).withColumn("part_date", history.part_of()).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).partitionBy("part_date").parquet(history.path)
+    early = raw.filter(F.col("loaded_at") <= F.lit(T0 + timedelta(hours=6)))
+    for known in (early, raw, raw):
+        up.append_increment(spark, history, known, lambda df: df.withColumn(
+            "settlement_key", F.concat("settlement_date", "settlement_period", "fuel_type")))
+    assert up.read_table(spark, history).count() == 60
+
+
+def test_target_is_read_by_literal_dates(spark, table, monkeypatch):
+    raw = readings(spark, 80)
+    up.upsert(spark, table, silver.stg_generation(raw))
+    plans = []
+    written = up._written
+
+    def spy(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *rest)
+
+    monkeypatch.setattr(up, "_written", spy)
+    up.upsert(spark, table, silver.stg_generation(raw.filter("settlement_date = '2024-06-02'")))
+    (text,) = plans
+    assert "2024-06-02" in text and text.count("Scan parquet") == 2
+    assert "Join" not in text

@@ -1,18 +1,22 @@
 """Keyed incremental tables on plain Parquet: newest version of each key wins."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from voltlake.functions.timeparts import at
 from voltlake.operators.latest import newest_per_key
-from voltlake.sinks.files import delete, exists, list_names
+from voltlake.session import scratch_path
+from voltlake.sinks.files import age_seconds, create_new, delete, exists, list_names
 
 PART = "part_date"
 _NO_DATE = "1900-01-01"
+# A writer's mark older than this is one that a killed driver left.
+STALE_SECONDS = 6 * 3600
 
 
 @dataclass(frozen=True)
@@ -95,43 +99,77 @@ def newer_than(
     return fresh
 
 
+@contextmanager
+def held(spark: SparkSession, table: KeyedTable) -> Iterator[None]:
+    """Hold the table against other writers; a second one gets an error.
+
+    The holder is an empty file beside the table. One left by a driver that was killed is
+    taken over once it is older than ``STALE_SECONDS``.
+    """
+    holder = f"{table.path.rstrip('/')}__holder"
+    if not create_new(spark, holder):
+        if age_seconds(spark, holder) < STALE_SECONDS:
+            raise RuntimeError(f"another run is writing {table.path}")
+        delete(spark, holder)
+        if not create_new(spark, holder):
+            raise RuntimeError(f"another run is writing {table.path}")
+    try:
+        yield
+    finally:
+        delete(spark, holder)
+
+
 def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime | None:
     """Merge ``batch`` into the table and return the greatest version written.
 
-    Target rows of the touched dates and the batch are reduced together to the newest
-    row per key, so applying a batch twice, or batches out of order, gives the same
-    table. The merged dates are first written in full to a staging folder and then
-    replace the table's partitions: a run that dies in between leaves the staged copy,
-    which the next run applies before anything else. A first load has nothing to
-    protect and is written once.
+    The batch is reduced and stored once; its dates, few by the calendar, select the
+    target's partitions as literals. Their rows and the batch are reduced together to the
+    newest row per key, so applying a batch twice, or batches out of order, gives the same
+    table. The merged dates are first written in full to a staging folder and then replace
+    the table's partitions: a run that dies in between leaves the staged copy, which the
+    next run applies before anything else. A first load has nothing to protect and is
+    written once. Another run writing the table at the same time is an error.
     """
-    finish_pending(spark, table)
-    batch = batch.withColumn(PART, table.part_of())
+    with held(spark, table):
+        _finish_pending(spark, table)
+        return _merge(spark, table, batch)
+
+
+def _merge(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime | None:
+    newest = newest_per_key(batch, table.keys, table.version).withColumn(PART, table.part_of())
     if not is_loaded(spark, table):
-        first = newest_per_key(batch, table.keys, table.version)
-        _dated(first).mode("overwrite").parquet(table.path)
-        return _newest_in(spark, table, table.path)
-    current = _stored(spark, table)
-    touched = batch.select(PART).distinct()
-    both = current.join(touched, PART, "left_semi").unionByName(
-        batch, allowMissingColumns=True
-    )
+        return _written(newest, table, table.path)
+    path = scratch_path(spark, "batch")
+    _dated(newest).parquet(path)
+    if not _has_dates(spark, path):
+        delete(spark, path)
+        return None
+    stored = spark.read.schema(newest.schema).parquet(path)
+    dates = [r[0] for r in stored.select(PART).distinct().collect()]
+    current = _stored(spark, table).filter(F.col(PART).isin(dates))
+    both = current.unionByName(stored, allowMissingColumns=True)
     staged = f"{table.staging}/{datetime.now():%Y%m%d%H%M%S%f}"
-    _dated(newest_per_key(both, table.keys, table.version)).parquet(staged)
-    mark = _newest_in(spark, table, staged)
+    mark = _written(newest_per_key(both, table.keys, table.version), table, staged)
     _apply(spark, table, staged)
+    delete(spark, path)
     return mark
 
 
-def _newest_in(spark: SparkSession, table: KeyedTable, path: str) -> datetime | None:
-    """Greatest version in a folder just written; one narrow column is read."""
-    if not _has_dates(spark, path):
-        return None
-    return spark.read.parquet(path).agg(F.max(table.version)).first()[0]
+def _written(df: DataFrame, table: KeyedTable, path: str) -> datetime | None:
+    """Write rows by date and return their greatest version, which the write finds."""
+    seen = Observation("written")
+    versions = F.max(table.version).alias("mark")
+    _dated(df.observe(seen, versions)).mode("overwrite").parquet(path)
+    return seen.get["mark"]
 
 
 def finish_pending(spark: SparkSession, table: KeyedTable) -> None:
     """Apply the staged batch of a run that stopped before replacing partitions."""
+    with held(spark, table):
+        _finish_pending(spark, table)
+
+
+def _finish_pending(spark: SparkSession, table: KeyedTable) -> None:
     for name in sorted(list_names(spark, table.staging)):
         staged = f"{table.staging}/{name}"
         if exists(spark, f"{staged}/_SUCCESS"):
@@ -151,12 +189,13 @@ def load_increment(
     The new mark is noted after the merge. A run that dies in between takes the same
     rows again next time, which changes nothing.
     """
-    finish_pending(spark, table)
-    fresh = newer_than(source, high_water(spark, table), table.version)
-    mark = upsert(spark, table, clean(fresh))
-    if mark is not None:
-        noted = spark.range(1).select(at(mark).alias(table.version))
-        noted.write.mode("append").parquet(table.marks)
+    with held(spark, table):
+        _finish_pending(spark, table)
+        fresh = newer_than(source, high_water(spark, table), table.version)
+        mark = _merge(spark, table, clean(fresh))
+        if mark is not None:
+            noted = spark.range(1).select(at(mark).alias(table.version))
+            noted.coalesce(1).write.mode("overwrite").parquet(table.marks)
 
 
 def append_increment(
@@ -167,11 +206,14 @@ def append_increment(
 ) -> None:
     """Incremental load of a history table, whose key contains the version.
 
-    Rows after the high-water mark cannot share a key with stored ones, so nothing is
-    rewritten or de-duplicated.
+    Rows after the high-water mark cannot share a key with stored ones. They still go
+    through staging, which rewrites the newest load date only: a plain append that dies
+    leaves rows that would be taken for loaded, or loaded twice.
     """
-    fresh = clean(newer_than(source, high_water(spark, table), table.version))
-    _dated(fresh.withColumn(PART, table.part_of())).mode("append").parquet(table.path)
+    with held(spark, table):
+        _finish_pending(spark, table)
+        fresh = newer_than(source, high_water(spark, table), table.version)
+        _merge(spark, table, clean(fresh))
 
 
 def _has_dates(spark: SparkSession, path: str) -> bool:

@@ -26,8 +26,8 @@ CONCURRENT_WRITES = 8
 SILVER_KEYS = {
     "stg_generation": ("settlement_key", "settlement_date"),
     "stg_weather": ("hour_utc", "hour_utc"),
-    "stg_prices": ("price_key", "valid_from"),
-    "stg_carbon_national": ("period_key", "period_from"),
+    "stg_prices": ("valid_from", "valid_from"),
+    "stg_carbon_national": ("period_from", "period_from"),
     "stg_carbon": ("carbon_key", "loaded_at"),
 }
 # Keyed by load time, so loads only ever add rows.

@@ -1,5 +1,7 @@
 """The few file-system calls the table writers need, on whatever system the path names."""
 
+import time
+
 from pyspark.sql import SparkSession
 
 
@@ -18,6 +20,21 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return fs.exists(where) and fs.getFileStatus(where).isDirectory()
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it was there already. Only one caller gets True."""
+    fs, where = _resolve(spark, path)
+    fs.mkdirs(where.getParent())
+    return fs.createNewFile(where)
+
+
+def age_seconds(spark: SparkSession, path: str) -> float:
+    """Seconds since a file was written; 0 if it has gone meanwhile."""
+    fs, where = _resolve(spark, path)
+    if not fs.exists(where):
+        return 0.0
+    return time.time() - fs.getFileStatus(where).getModificationTime() / 1000
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     fs, where = _resolve(spark, path)
     return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []

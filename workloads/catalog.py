@@ -13,7 +13,12 @@ from voltlake.functions.timeparts import at, parse_utc, parse_utc_offset
 from voltlake.operators.latest import newest_per_key
 from voltlake.operators.quality import check_tables
 from voltlake.operators.ranking import spread_percent_rank
-from voltlake.operators.upsert import KeyedTable, load_increment, read_table
+from voltlake.operators.upsert import (
+    KeyedTable,
+    append_increment,
+    load_increment,
+    read_table,
+)
 from voltlake.plans import serve, silver
 from voltlake.plans.lake import Lake
 from voltlake.session import configure, scratch_path
@@ -360,6 +365,26 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, table)
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regional snapshots loaded twice; a first load that died left rows behind."""
+    frames = Frames(spark, sf_dir)
+    raw = frames.raw("raw_carbon")
+    path = scratch_path(spark, "stg_carbon")
+    table = KeyedTable(path, ("carbon_key",), "loaded_at")
+
+    def clean(rows: DataFrame) -> DataFrame:
+        return silver.stg_carbon(rows, frames.lookup)
+
+    dead = clean(raw.filter(F.col("loaded_at") > at(views.AS_OF)))
+    dead.withColumn("part_date", table.part_of()).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).partitionBy("part_date").parquet(path)
+    for known in (raw.filter(F.col("loaded_at") <= at(views.AS_OF)), raw):
+        append_increment(spark, table, known, clean)
+    return read_table(spark, table)
+
+
+_register("incremental_history", _history, oracle.statement("SELECT * FROM stg_carbon"))
 _register(
     "incremental_upsert", _incremental, oracle.statement("SELECT * FROM stg_generation")
 )
@@ -576,7 +601,8 @@ _register(
 
 
 def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store every table, loading silver in two increments; rows per stored table."""
+    """Store every table, loading silver in two increments; rows of each, and its measure
+    summed in quarters."""
     frames = Frames(spark, sf_dir)
     lake = Lake(spark, scratch_path(spark, "lake"))
     early = F.col("loaded_at") <= at(views.AS_OF)
@@ -586,8 +612,12 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = lake.build_gold(views.AS_OF)
     tables = {n: lake.silver_frame(n) for n in lake.silver_names} | stored
     counted = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+        df.agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.floor(F.col(_MEASURES[n]) * 4)).cast("bigint").alias("quarters"),
+        ).select(F.lit(n).alias("table_name"), "n_rows", "quarters")
         for n, df in tables.items()
+        if n in _STORED
     ]
     return reduce(DataFrame.unionByName, counted)
 
@@ -611,12 +641,30 @@ _STORED = {
     "mart_regional_carbon": "regional_latest",
     "mart_solar_weather": "weather_indices",
 }
+_MEASURES = {
+    "stg_generation": "generation_mw",
+    "stg_weather": "temp_c",
+    "stg_prices": "value_inc_vat",
+    "stg_carbon_national": "intensity_best",
+    "stg_carbon": "intensity_actual",
+    "mart_price_carbon": "total_mw",
+    "mart_best_windows": "window_score",
+    "mart_carbon_heatmap": "avg_intensity_gco2kwh",
+    "mart_price_heatmap": "avg_price_p_kwh",
+    "mart_fuel_mix": "generation_mw",
+    "mart_renewable_mix": "renewable_pct",
+    "mart_temp_vs_demand": "total_demand_mw",
+    "mart_grid_stress": "total_mw",
+    "mart_regional_carbon": "intensity_actual",
+    "mart_solar_weather": "windspeed_kmh",
+}
 _register(
     "lake_build",
     _build,
     oracle.statement(
         " UNION ALL ".join(
-            f"SELECT '{stored}' AS table_name, count(*) AS n_rows FROM {name}"
+            f"SELECT '{stored}' AS table_name, count(*) AS n_rows, "
+            f"sum(floor({_MEASURES[stored]} * 4))::BIGINT AS quarters FROM {name}"
             for stored, name in _STORED.items()
         )
     ),
