@@ -30,9 +30,10 @@ from voltlake.session import settle
 
 WORDS = 5
 PERCENT = 75
-HALF_KEYS = 24  # in each of the two collections
-MINHASHES = 3  # in a half key
-QUIET_ROUNDS = 1
+HALF_KEYS = 16  # in each of the two collections
+MINHASHES = 2  # in a half key
+QUIET_ROUNDS = 2
+DRAWS = 4  # of leaders in a round
 SEED = 20_240_601
 # Ids of candidates that are broadcast to find their texts; more of them are joined.
 FEW = 1_000_000
@@ -42,7 +43,7 @@ RUN = 4_096
 
 # Bits of each minhash that go along with a class, and how many standard deviations below
 # their mean at the threshold the agreeing ones of a pair may be.
-MARK_BITS, DEVIATIONS = 4, 4.5
+MARK_BITS, DEVIATIONS = 4, 4.0
 
 
 def least_hashes(found: np.ndarray, n: int) -> np.ndarray:
@@ -152,7 +153,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _cells(classes: DataFrame, half: int) -> DataFrame:
-    """(key, cls, n, marks) of every table cell that more than one class falls into."""
+    """(key, cls) of every table cell that more than one class falls into."""
     rows = classes.select("cls", F.posexplode("keys").alias("at", "half"))
     shared = rows.groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
     sides = (
@@ -162,14 +163,11 @@ def _cells(classes: DataFrame, half: int) -> DataFrame:
             F.collect_list(F.when(F.col("at") < half, F.col("half"))).alias("us"),
             F.collect_list(F.when(F.col("at") >= half, F.col("half"))).alias("vs"),
         )
-        .filter("size(us) > 0 AND size(vs) > 0")
-        .join(classes.select("cls", "n", "marks"), "cls")
     )
-    own = ("cls", "n", "marks")
-    pairs = sides.select(*own, "vs", F.explode("us").alias("u")).select(
-        *own, F.explode("vs").alias("v"), "u"
+    pairs = sides.select("cls", "vs", F.explode("us").alias("u")).select(
+        "cls", F.explode("vs").alias("v"), "u"
     )
-    cells = settle(pairs.select(F.xxhash64("u", "v").alias("key"), *own), "cells")
+    cells = settle(pairs.select(F.xxhash64("u", "v").alias("key"), "cls"), "cells")
     several = cells.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     return cells.join(several, "key")
 
@@ -188,34 +186,42 @@ def _alike(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _draw(members: DataFrame, turn: int, percent: int, marked: int) -> tuple[DataFrame, DataFrame]:
+def _draw(
+    members: DataFrame, labels: DataFrame, turn: int, percent: int, marked: int
+) -> tuple[DataFrame, DataFrame]:
     """The open cells with a new leader marked, and the pairs to compare (a < b)."""
-    luck = F.xxhash64("key", "cls", F.lit(turn)) if turn else F.lit(0)
+    known = members.join(labels, "cls")
+    # Cells that share a draw mostly share their leaders, which saves comparisons.
+    drawn = F.pmod("key", F.lit(DRAWS))
+    luck = F.xxhash64(drawn, "cls", F.lit(turn)) if turn else F.lit(0)
+    lead = F.struct("led", luck.alias("luck"), "cls", "n", "marks", "component")
     leaders = (
-        members.groupBy("key")
+        known.groupBy("key")
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
             F.sum((~F.col("led")).cast("int")).alias("waiting"),
-            F.min(F.struct("led", luck.alias("luck"), "cls", "n", "marks", "component")).alias("lead"),
+            F.min(lead).alias("lead"),
         )
         # With one member left to lead, all its pairs have been compared.
         .filter("low <> high AND waiting > 1")
         .select("key", "lead")
     )
-    now = members.join(leaders, "key").withColumn(
-        "led", F.col("led") | (F.col("cls") == F.col("lead.cls"))
+    close = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    agreeing = _agreeing(F.col("marks"), F.col("lead.marks"), marked)
+    asked = (F.col("component") != F.col("lead.component")) & close
+    asked = asked & (agreeing >= least_agreement(marked, percent))
+    now = known.join(leaders, "key").select(
+        "key",
+        "cls",
+        (F.col("led") | (F.col("cls") == F.col("lead.cls"))).alias("led"),
+        F.when(asked, F.col("lead.cls")).alias("ask"),
     )
     now = settle(now, "cells")
-    close = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    pairs = (
-        now.filter(F.col("component") != F.col("lead.component"))
-        .filter(close)
-        .filter(_agreeing(F.col("marks"), F.col("lead.marks"), marked) >= least_agreement(marked, percent))
-        .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b"))
-        .distinct()
+    pairs = now.filter("ask IS NOT NULL").select(
+        F.least("cls", "ask").alias("a"), F.greatest("cls", "ask").alias("b")
     )
-    return now.drop("lead", "component"), pairs
+    return now.drop("ask"), pairs.distinct()
 
 
 def _link(
@@ -224,15 +230,13 @@ def _link(
     """(cls, component) of the classes that share cells with others."""
     members = settle(_cells(classes, half), "cells").withColumn("led", F.lit(False))
     own = members.select("cls").distinct()
-    wanted = settle(classes.join(own, "cls").select("cls", "digest"), "wanted")
-    sets = settle(_sets(docs, wanted, words), "sets")
-    labels = wanted.select("cls", F.col("cls").alias("component"))
+    wanted = settle(classes.join(own, "cls").select("cls", "digest", "n", "marks"), "wanted")
+    sets = settle(_sets(docs, wanted.select("cls", "digest"), words), "sets")
+    labels = wanted.select("cls", F.col("cls").alias("component"), "n", "marks")
     tested = None
     turn = quiet = 0
     while quiet < QUIET_ROUNDS:
-        members, pairs = _draw(
-            members.join(labels, "cls"), turn, percent, 2 * half * minhashes
-        )
+        members, pairs = _draw(members, labels, turn, percent, 2 * half * minhashes)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
@@ -246,7 +250,7 @@ def _link(
         else:
             quiet += 1
         turn += 1
-    return labels
+    return labels.select("cls", "component")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -256,9 +260,8 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     merged = components(links.join(u, "a").join(v, "b").select("u", "v"))
     merged = merged.select(F.col("node").alias("component"), F.col("component").alias("joined"))
     joined = labels.join(merged, "component", "left")
-    return settle(
-        joined.select("cls", F.coalesce("joined", "component").alias("component")), "labels"
-    )
+    component = F.coalesce("joined", "component").alias("component")
+    return settle(joined.select("cls", component, "n", "marks"), "labels")
 
 
 def near_dedup(
