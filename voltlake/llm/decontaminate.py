@@ -11,6 +11,7 @@ built-in functions are used.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlake.llm.text import LOWER, UPPER
+from voltlake.session import settle
 
 WINDOW = 8  # a power of two
 LEAST_LITERALS = 4  # of a window
@@ -58,16 +59,21 @@ def plain_words(text: Column) -> Column:
     return _words(_bare(text))
 
 
-def _windows(words: Column, size: int) -> Column:
-    """The hash of every window, made by doubling its length."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _windows(df: DataFrame, size: int) -> DataFrame:
+    """``df`` with the hash of every window of its ``shape``, made by doubling its length.
+
+    Every step is a column of its own: within one expression Spark would work out the
+    shorter hashes anew for both halves of the longer ones.
+    """
+    df = df.withColumn("hashes", F.transform("shape", lambda w: F.xxhash64(w)))
     width = 1
     while width < size:
         # The last ones run over the end; the slice below leaves them out.
-        later = F.slice(hashes, F.lit(width + 1), F.size(hashes))
-        hashes = F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b))
+        later = F.slice("hashes", F.lit(width + 1), F.size("hashes"))
+        df = df.withColumn("hashes", F.zip_with("hashes", later, lambda a, b: F.xxhash64(a, b)))
         width *= 2
-    return F.slice(hashes, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+    n = F.greatest(F.size("hashes") - (size - 1), F.lit(0))
+    return df.withColumn("hashes", F.slice("hashes", F.lit(1), n))
 
 
 def _is_slot(word: Column) -> Column:
@@ -99,14 +105,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         F.filter(F.slice("shape", F.col("place") + 1, window), lambda w: ~_is_slot(w))
     )
     asked = (
-        items.select("item_id", "shape", F.posexplode(_windows(F.col("shape"), window)).alias("place", "hash"))
+        _windows(items, window)
+        .select("item_id", "shape", F.posexplode("hashes").alias("place", "hash"))
         .filter(literals >= min(LEAST_LITERALS, window))
         .select("item_id", "place", "hash")
     )
     if asked.count() <= SMALL:
         asked = F.broadcast(asked)
     said = _keyed(docs).select("row", "doc_id", template_words(F.col("text")).alias("shape"))
-    said = said.select("row", "doc_id", F.posexplode(_windows(F.col("shape"), window)).alias("at", "hash"))
+    # The outer form, because the plain one makes Spark filter texts without windows first,
+    # for which it would work out all their windows a second time. Nulls join nothing.
+    said = _windows(said, window).select(
+        "row", "doc_id", F.posexplode_outer("hashes").alias("at", "hash")
+    )
     found = said.join(asked, "hash").select(
         "row", "doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"), "place"
     )
@@ -143,7 +154,7 @@ def contaminated(
     spread = F.array_distinct(
         F.flatten(F.transform("places", lambda p: F.sequence(p, p + (window - 1))))
     )
-    hits = hits.withColumn("covered", F.sort_array(spread))
+    hits = settle(hits.withColumn("covered", F.sort_array(spread)), "hits")
     found = hits.select("row").distinct()
     texts = _keyed(docs).join(found, "row", "left_semi").dropDuplicates(["row", "doc_id"])
     texts = texts.select(

@@ -116,6 +116,8 @@ def passages(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     blocks = F.split("text", "\\n[ \\t\\r\\n]*\\n")
+    # Exploded in the outer form below: the plain one makes Spark split each text twice, to
+    # leave out those without parts. The null parts of those have no text to match.
     several = F.filter(
         F.transform(blocks, lambda b, i: F.struct(i.alias("place"), b.alias("text"))),
         lambda b: F.contains(b["text"], F.lit("\n")),
@@ -124,7 +126,7 @@ def passages(docs: DataFrame) -> DataFrame:
     whole = F.when(F.size(blocks) > 1, F.array(F.struct(F.lit(0).alias("place"), F.col("text"))))
     kinds = (("line", lines), ("block", several), ("text", whole))
     parts = [
-        base.select("row", "doc_id", F.lit(kind).alias("kind"), F.explode(column).alias("p")).select(
+        base.select("row", "doc_id", F.lit(kind).alias("kind"), F.explode_outer(column).alias("p")).select(
             "row", "doc_id", "kind", F.col("p.place").cast("bigint").alias("place"), F.col("p.text").alias("text")
         )
         for kind, column in kinds
