@@ -166,9 +166,14 @@ def license_scan(
     found = passages(docs)
     # A passage of m distinct bigrams has more than 2 * m characters.
     found = found.filter(F.length("text") >= 2 * low)
-    words = found.withColumn("words", F.split(normalised(F.col("text")), " ")).filter("words[0] <> ''")
-    paired = words.select("row", "doc_id", "kind", "place", bigrams(F.col("words")).alias("pairs"))
-    sized = paired.withColumn("n", F.size("pairs").cast("bigint")).filter(F.col("n").between(low, high))
+    # Spark moves filters below the columns they test and works those out once more for each
+    # filter. It leaves them above a column that is not deterministic and is used.
+    own = ("row", "doc_id", "kind", "place")
+    stay = F.monotonically_increasing_id().alias("_stay")
+    words = found.select(*own, F.split(normalised(F.col("text")), " ").alias("words"), stay)
+    paired = words.filter("_stay >= 0 AND words[0] <> ''").select(*own, bigrams(F.col("words")).alias("pairs"), stay)
+    sized = paired.withColumn("n", F.size("pairs").cast("bigint"))
+    sized = sized.filter((F.col("_stay") >= 0) & F.col("n").between(low, high))
     candidates = sized.filter(F.exists("pairs", lambda p: p.isin(telling)))
     shared = (
         candidates.select("row", "doc_id", "kind", "place", "n", F.explode("pairs").alias("pair"))
