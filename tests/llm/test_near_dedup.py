@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from voltlake.llm import near_dedup as module
 from voltlake.llm.components import components
 from voltlake.llm.near_dedup import near_dedup
 from voltlake.llm.text import LOWER, UPPER
@@ -103,3 +104,12 @@ def test_components_without_edges(spark):
     assert components(none).collect() == []
     loops = spark.range(3).select(F.col("id").alias("u"), F.col("id").alias("v"))
     assert components(loops).collect() == []
+
+
+def test_the_exact_finish_finds_the_same_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(module, "QUIET_ROUNDS", 0)  # no leader rounds at all
+    monkeypatch.setattr(module, "BLOCK", 16, raising=False)
+    docs = corpus()
+    out = near_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    out = out.fillna(-1, ["doc_id", "component_id"]).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)

@@ -12,15 +12,19 @@ members are compared with a leader, never with each other: first with the smalle
 as long as the cell holds several components, with leaders drawn anew; a cell whose members
 have all led or are joined is done. Every link is confirmed on the whole shingle sets.
 
-With the defaults a pair at similarity 0.75 is lost with probability 5e-6: it shares no
-cell (4e-6) or its bits mislead (1e-6). Cells are worked off until none is open or
-``QUIET_ROUNDS`` rounds in a row find no new link. Cells open at that point may hold pairs
-that were never compared; each round draws every open cell a leader of its own, so a link
-that alone joins two components goes unseen in a round with a small chance only, not none.
+Leaders go on until no cell is open or ``QUIET_ROUNDS`` rounds in a row find no new link.
+A link between two of many members that have not led is missed by such rounds more often
+than not, so the classes of cells still open are then joined exactly, without cells, leaders
+or marks: by the rarest of their shared shingles (a prefix filter), with bounds on size,
+place and a bitmap of the whole set that no link exceeds.
+
+With the defaults a pair at similarity 0.75 is lost with probability 5e-6 if it is not in
+that join: it shares no cell (4e-6) or its marks mislead (1e-6). In the join none is lost.
 """
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,8 @@ SEED = 20_240_601
 FEW = 1_000_000
 # Shingles hashed at a time.
 RUN = 4_096
+# Bits of the map of a whole set, and classes with a prefix shingle compared in one task.
+MAP_BITS, BLOCK = 1_024, 1_024
 
 
 # Bits of each minhash that go along with a class, and how many standard deviations below
@@ -250,9 +256,112 @@ def _link(
         else:
             quiet += 1
         turn += 1
+    open_ = settle(_open(members, labels), "open")
+    if not open_.isEmpty():
+        pairs = settle(_candidates(open_, sets, percent), "pairs")
+        links = settle(_alike(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            labels = _joined(labels, links)
     return labels.select("cls", "component")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cls, n, component) of the classes in cells with pairs that were never compared."""
+    known = members.join(labels, "cls")
+    cells = known.groupBy("key").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        F.sum((~F.col("led")).cast("int")).alias("waiting"),
+    )
+    cells = cells.filter("low <> high AND waiting > 1").select("key")
+    return known.join(cells, "key").select("cls", "n", "component").distinct()
+
+
+def bit_map(found: np.ndarray) -> np.ndarray:
+    """``MAP_BITS`` bits, those set that a member falls on.
+
+    Each bit in which two maps differ stands for a shingle that one of the sets lacks.
+    """
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[found.view(np.uint64) % np.uint64(MAP_BITS)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def _maps(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("set").values.to_numpy(zero_copy_only=False)
+            cuts = batch.column("set").offsets.to_numpy()
+            maps = [bit_map(flat[a:b]) for a, b in pairwise(cuts)]
+            yield pa.record_batch([batch.column("cls"), long_lists(maps)], names=["cls", "map"])
+
+    return small_batches(sets).select("cls", "set").mapInArrow(run, "cls bigint, map array<bigint>")
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, cls, n, component, at) of the shingles a link cannot do without.
+
+    Shingles that only one component has come first in the order, then the rarest; ``at``
+    is the place in it. A link has its first common shingle in the prefix of both classes.
+    """
+    rows = sets.join(open_, "cls").select("cls", "n", "component", F.explode("set").alias("shingle"))
+    rows = settle(rows, "shingles")
+    shared = (
+        rows.groupBy("shingle")
+        .agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("shingle", "k")
+    )
+    ranked = rows.join(shared, "shingle").groupBy("cls", "n", "component").agg(
+        F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("order")
+    )
+    own = F.col("n") - F.size("order")
+    # Places with 100 * (n - at) >= percent * n, less those of the shingles that come first.
+    last = F.floor(F.col("n") * (100 - percent) / 100) + 1 - own
+    placed = ranked.withColumn("own", own).withColumn("last", last).filter("last > 0")
+    cut = F.slice("order", F.lit(1), F.col("last").cast("int"))
+    return placed.select("cls", "n", "component", "own", F.posexplode(cut).alias("place", "one")).select(
+        F.col("one.shingle").alias("shingle"), "cls", "n", "component", (F.col("own") + F.col("place")).alias("at")
+    )
+
+
+def _candidates(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of open classes of different components; no link is left out."""
+    rows = settle(_prefixes(open_, sets, percent), "prefixes")
+    hot = (
+        rows.groupBy("shingle")
+        .agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
+        .select("shingle", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    )
+    rows = rows.join(hot, "shingle").join(_maps(sets.join(open_.select("cls"), "cls")), "cls")
+    # Every block of a shingle's classes meets every other in a task of its own.
+    rows = settle(rows.withColumn("home", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "blocks")
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>")
+
+    def side(name: str, u: Column, v: Column) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}_{name}") for c in ("cls", "n", "component", "at", "map")]
+        return rows.select("shingle", u.alias("u"), v.alias("v"), *columns)
+
+    a = side("a", F.col("home"), F.explode(blocks))
+    b = side("b", F.explode(blocks), F.col("home"))
+    # The smaller set's first common shingle lies still earlier.
+    a = a.filter((F.col("n_a") - F.col("at_a")) * (100 + percent) >= 2 * percent * F.col("n_a"))
+    sizes = F.col("n_a") + F.col("n_b")
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    differing = F.lit(0)
+    for k in range(MAP_BITS // 64):
+        differing += F.bit_count(F.get("map_a", F.lit(k)).bitwiseXOR(F.get("map_b", F.lit(k))))
+    near = (
+        (F.struct("n_a", "cls_a") < F.struct(F.col("n_b").alias("n_a"), F.col("cls_b").alias("cls_a")))
+        & (F.col("component_a") != F.col("component_b"))
+        & (left * (100 + percent) >= percent * sizes)
+        & (differing * (100 + percent) <= (100 - percent) * sizes)
+    )
+    same = (a.shingle == b.shingle) & (a.u == b.u) & (a.v == b.v)
+    return a.join(b, same & near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the components at both ends of every link have become one."""
     u = labels.select(F.col("cls").alias("a"), F.col("component").alias("u"))
