@@ -113,3 +113,29 @@ def test_empty_tables(frames):
     docs, bench = frames
     assert contaminated(docs.filter("false"), bench).collect() == []
     assert contaminated(docs, bench.filter("false")).collect() == []
+
+
+def ids_found(spark, docs, bench):
+    found = contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(bench, "item_id bigint, text string"),
+    )
+    return {(r.doc_id, r.item_id): r for r in found.collect()}
+
+
+def test_edited_copies_and_copies_in_other_case_are_found(spark):
+    train = BENCH[0][1]
+    # Two words put in: no diagonal alone has half the words or 13 in a row.
+    parted = " ".join(f"part{i}" for i in range(24))
+    cut = parted.split()
+    docs = [
+        (1, f"{LEAD} {train[:-2]}5."),  # one of two nines
+        (2, f"{LEAD} {train.lower()}"),
+        (3, train.upper()),
+        (4, "A train leaves Rome at 7 and travels 80 miles to Milan, then from Milan back to Rome at 5."),
+        (5, " ".join(["x", *cut[:9], "so", "to", *cut[9:18]])),
+    ]
+    found = ids_found(spark, docs, [(1, train), (2, parted)])
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+    assert (found[1, 1].n_changed, found[2, 1].share, found[2, 1].n_words) == (0, 1.0, 20)
+    assert (found[5, 2].n_words, found[5, 2].first_word) == (18, 1)
