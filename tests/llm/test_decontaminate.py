@@ -139,3 +139,12 @@ def test_edited_copies_and_copies_in_other_case_are_found(spark):
     assert set(found) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
     assert (found[1, 1].n_changed, found[2, 1].share, found[2, 1].n_words) == (0, 1.0, 20)
     assert (found[5, 2].n_words, found[5, 2].first_word) == (18, 1)
+
+
+def test_short_items_items_of_numbers_and_all_texts_of_an_id_are_searched(spark):
+    sums = "What is 12 + 7 , 13 + 8 , 19 - 4 and 25 + 6 ?"
+    bench = [(1, sums), (2, "Who wrote the Iliad first?"), (3, "first " * 9 + "text"), (3, "zebras " * 9 + "run")]
+    bench += [(None, " ".join(f"nameless{i}" for i in range(9)))]
+    docs = [(1, f"{LEAD} {sums}"), (2, "so who wrote THE iliad first, then"), (3, bench[2][1]), (4, bench[3][1])]
+    docs += [(5, bench[4][1]), (6, "who wrote the iliad"), (7, sums.replace("12", "13").replace("25", "24"))]
+    assert set(ids_found(spark, docs, bench)) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, None)}

@@ -15,6 +15,7 @@ from voltlake.llm.text import LOWER, UPPER
 from voltlake.session import settle
 
 WINDOW = 8
+LEAST_WORDS = 5  # of an item; shorter than a window, it is searched as a whole
 DRIFT = 8  # words put in or left out between two windows of one match
 LEAST_LITERALS = 4  # of a window
 LEAST_SHARE = 0.5  # of an item's words
@@ -91,11 +92,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """Each item's template and words; null texts and ids are left out."""
-    known = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL")
-    known = known.groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(
-        F.min("text").alias("text")
-    )
+    """Template and words of each id's every text; null texts are left out."""
+    known = benchmark.filter("text IS NOT NULL")
+    known = known.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     return known.select(
         F.xxhash64("item_id", "text").alias("item"),
         "item_id",
@@ -139,7 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     words = items.select("item", F.col("said").alias("shape"))
     sizes = words.select(F.least(F.size("shape"), F.lit(window)).alias("size")).distinct()
     for size in sorted(r["size"] for r in sizes.collect()):
-        if size == window:
+        if size >= min(LEAST_WORDS, window):
             some = words.filter(F.least(F.size("shape"), F.lit(window)) == size)
             asked = _windows(some, size).select("item", F.posexplode("hashes").alias("place", "hash"))
             met = _met(verbatim, asked, size)
@@ -181,11 +180,13 @@ def contaminated(
     windows of ``window`` words match and cover ``least_share`` of its words or
     ``least_run`` in a row, on one diagonal and those at most ``DRIFT`` words from it.
     Windows match as plain words, or as templates whose slots hold values that stand for
-    one value of the item all along the diagonal. Of several places the one with most words is
+    one value of the item all along the diagonal. Items shorter than ``window`` are
+    searched as a whole, as plain words. Of several places the one with most words is
     reported.
 
-    Null texts are empty and have no windows; so have items and documents of fewer than
-    ``window`` words. Items with the same id count as the one with the smallest text. Rows that share doc_id and text give one
+    Null texts are empty and have no windows; items of fewer than ``LEAST_WORDS`` words are
+    not searched. Every text under an item_id is searched, and the one with most words is
+    reported; a null item_id is an id like others. Rows that share doc_id and text give one
     result; a null doc_id is reported as null. Other columns are not read. No documents or
     no items give no rows.
     """
