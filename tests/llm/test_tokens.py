@@ -169,3 +169,19 @@ def test_sequences_join_their_pieces(spark):
     assert sum(len(numbers(r.ids)) for r in rows) == sum(r.length for r in packed.collect())
     for r in rows:
         assert len(r.ids) <= 4 * 32 and r.documents[0].offset == 0
+
+
+def test_added_tokens_get_the_ids_of_a_default_tokenizer(spark, tmp_path):
+    default = Tokenizer.from_file(tokenizer_path())
+    rng, own = random.Random(4), Encoder(tokenizer_path(), 1_000, added=True)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 12))) for _ in range(4_000)]
+    for text in ["a <|endoftext|> b", "<|endoftext|>", *texts]:
+        want = default.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want, repr(text)
+    path, text = str(tmp_path / "tokens"), "no id <|endoftext|> here"
+    rows = frame(spark, [(1, text)])
+    want = [*default.encode(text, add_special_tokens=False).ids, END_ID]
+    write_tokens(rows, path, added=True)
+    assert read_tokens(spark, path).first().ids == want
+    packed = packing.pack(rows, added=True).first()
+    assert np.frombuffer(packed.ids, "<u4").tolist() == want

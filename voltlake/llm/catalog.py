@@ -76,7 +76,7 @@ _register("op4_decontamination", _decontamination)
 
 def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    token_files.write_tokens(_documents(spark, sf_dir), path)
+    token_files.write_tokens(_documents(spark, sf_dir), path, added=True)
     rows = token_files.with_starts(spark, path, token_files.read_tokens(spark, path))
     return id_checksums(rows, "doc_id", "start", "n_tokens")
 
@@ -99,7 +99,7 @@ _register("op6_quality", _quality)
 
 
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_documents(spark, sf_dir))
+    packed = packing.pack(_documents(spark, sf_dir), added=True)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

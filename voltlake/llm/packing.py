@@ -192,7 +192,11 @@ PIECES = (
 
 
 def token_pieces(
-    docs: DataFrame, capacity: int, tokenizer: str | None = None, end_id: int = END_ID
+    docs: DataFrame,
+    capacity: int,
+    tokenizer: str | None = None,
+    end_id: int = END_ID,
+    added: bool = False,
 ) -> DataFrame:
     """Each document's ids in pieces; ``nth`` counts the part's pieces of that length.
 
@@ -205,7 +209,7 @@ def token_pieces(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for rows, ids in token_batches(batches, model, end_id):
+        for rows, ids in token_batches(batches, model, end_id, added):
             columns = [[], [], [], [], [], [], []]
             for doc, tokens in zip(rows.column("doc_id").to_pylist(), ids, strict=True):
                 at, length = 0, len(tokens) % capacity or capacity
@@ -240,9 +244,12 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = END_ID,
     nodes: int = NODES,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece: its ids, its sequence and its place there.
 
+    With ``added``, the tokenizer file's added tokens in a text become their own ids.
+
     Columns: doc_id, piece, start, length, ids (little-endian 32-bit numbers), sequence_id,
     offset. Null text is empty: a
     piece of the end id alone. Rows with equal or null doc_id are packed as documents of
@@ -250,7 +257,7 @@ def pack(
     from offset 0 on.
     """
     spark = docs.sparkSession
-    pieces = settle(token_pieces(docs, capacity, tokenizer, end_id), "pieces")
+    pieces = settle(token_pieces(docs, capacity, tokenizer, end_id, added), "pieces")
     per_part = settle(
         pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts"
     )

@@ -49,9 +49,12 @@ def write_tokens(
     tokenizer: str | None = None,
     end_id: int = END_ID,
     layout: Layout = Layout(),  # noqa: B008
+    added: bool = False,
 ) -> None:
     """Encode every whole text and write one row per row of ``docs``.
 
+    With ``added``, the tokenizer file's added tokens in a text become their own ids.
+
     Null text is empty and gets the end id alone. Rows tied on doc_id stand in order of
     their text; a null doc_id comes first. Other columns are not read. No rows make an
     empty table. Texts are moved to their place in the order before they are encoded, and
@@ -61,7 +64,7 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for rows, ids in token_batches(batches, model, end_id):
+        for rows, ids in token_batches(batches, model, end_id, added):
             sizes = np.array([len(i) for i in ids], np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())

@@ -121,10 +121,17 @@ class _AfterBlank(_Remembered):
 
 
 class Encoder:
-    """Ids of texts, remembering those of pieces up to a bound."""
+    """Ids of texts, remembering those of pieces up to a bound.
 
-    def __init__(self, path: str, pieces_kept: int = PIECES_KEPT):
+    With ``added``, a text that holds one of the file's added tokens is left to the
+    library, which makes one id of it; without, such a token is text like other.
+    """
+
+    def __init__(self, path: str, pieces_kept: int = PIECES_KEPT, added: bool = False):
         self.pieces_kept = pieces_kept
+        self.whole = Tokenizer.from_file(path) if added else None
+        tokens = self.whole.get_added_tokens_decoder().values() if added else ()
+        self.added = [t.content for t in tokens]
         self.pieces = _Pieces(_Words(path))
         self.after_blank = _AfterBlank(self.pieces)
 
@@ -133,6 +140,8 @@ class Encoder:
         for known in (self.pieces.words, self.pieces, self.after_blank):
             known.age(self.pieces_kept)
         has = text.__contains__
+        if any(map(has, self.added)):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if any(map(has, _RUNS)) or any(map(has, OTHER_SPACE)):
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
         # Single blanks and line ends only: cut at blanks and before line ends.
@@ -142,9 +151,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and tokenizer file."""
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder per Python worker, tokenizer file and way with added tokens."""
+    return Encoder(path, added=added)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -152,11 +161,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def token_batches(
-    batches: Iterator[pa.RecordBatch], path: str, end_id: int
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, added: bool = False
 ) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Rows with a ``text`` column, with each row's ids and the end id; null is empty."""
     end = np.array([end_id], "<u4").tobytes()
-    encode = encoder(path).encode
+    encode = encoder(path, added).encode
     for rows in sliced(batches):
         texts = rows.column("text").to_pylist()
         yield rows, [np.frombuffer(encode(t or "") + end, "<u4") for t in texts]
