@@ -13,7 +13,10 @@ from voltlake.llm import (
     near_dedup as near,
     oracle,
     packing,
+    periodic,
     quality,
+    quality_rules as rules,
+    spelling,
     substring_dedup as substrings,
     token_files,
     warc,
@@ -125,4 +128,25 @@ def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("op10_substring_dedup", _substring_dedup)
+
+
+def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_documents(spark, sf_dir)).drop("chars_distance", "words_distance")
+
+
+_register("op11_quality_rules", _quality_rules, oracle.QUALITY_RULES)
+
+
+def _spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_documents(spark, sf_dir), slips=199)
+
+
+_register("op12_spelling_groups", _spelling_groups, oracle.SPELLING_GROUPS)
+
+
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_run_report(_documents(spark, sf_dir), planted=True))
+
+
+_register("op13_periodic_runs", _periodic_runs, oracle.PERIODIC_RUNS)
 _register("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-from voltlake.llm import warc
+from voltlake.llm import quality_rules as rules, spelling, warc
 from voltlake.llm.licenses import LEAST_DICE, TEMPLATES
 from voltlake.llm.text import LOWER, UPPER
 
@@ -166,3 +166,208 @@ SELECT doc_id, kind, place, license_id, dice, n AS n_bigrams FROM scored
 WHERE dice >= {LEAST_DICE}
 QUALIFY row_number() OVER (PARTITION BY row, kind, place ORDER BY dice DESC, license_id) = 1
 """
+
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+# The checksum of the bytes of a text, from a table of what each byte does.
+_CRC_TABLE = """
+  SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)
+"""
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32; a column t with the table has to be at hand."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || {digits}[2 * i - 1:2 * i])::UBIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INTEGER + 1])), 4294967295::UBIGINT)::BIGINT"
+    )
+
+
+_MARKS = "".join("\\" + c for c in rules.SENTENCE_MARKS).replace("'", "''")
+# Characters of each class: what is left of the words without all others.
+_CLASS_PATTERNS = (
+    "\\p{Lu}",
+    "\\p{Ll}",
+    "\\p{Lt}\\p{Lo}\\p{Lm}\\p{M}",
+    "\\p{N}",
+    _MARKS,
+)
+
+
+def _divergence(of: str, other: str) -> str:
+    """One cell's share of the divergence, in bits."""
+    return f"CASE WHEN {of} > 0 THEN {of} * log2({of} / (({of} + {other}) / 2)) ELSE 0 END"
+
+
+def _near(largest: float, cells: str, n: str) -> str:
+    return f"sqrt(pow({largest}, 2) + {rules.CHANCE} * ({cells} - 1) / (8 * {n} * ln(2)))"
+
+
+QUALITY_RULES = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w
+  FROM documents
+), words AS (
+  SELECT row, unnest(w) AS word, unnest(range(len(w))) AS pos, unnest(list_transform(
+    range(1, len(w) + 1), lambda i: CASE WHEN i + 7 <= len(w) THEN w[i:i + 7] END)) AS win
+  FROM docs
+), found AS (
+  SELECT row, pos, win IS NOT NULL AND count(*) OVER (PARTITION BY row, win) > 1 AS again FROM words
+), covered AS (
+  SELECT row, bool_or(again) OVER (
+    PARTITION BY row ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS inside
+  FROM found
+), repeats AS (
+  SELECT row, count(*) FILTER (inside) AS n_repeat_words FROM covered GROUP BY row
+), lines AS (
+  SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs
+), dups AS (
+  SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+  WHERE trim(line, {_SPACES}) <> '' GROUP BY row
+), plain AS (
+  SELECT docs.*, len(w) AS n_words,
+    length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs LEFT JOIN dups USING (row) LEFT JOIN repeats USING (row)
+), judged AS (
+  SELECT *, n_words < {rules.LEAST_WORDS}
+    OR 100 * n_repeat_words > {rules.MOST_REPEATED} * n_words AS base_failed
+  FROM plain
+), classes AS (
+  SELECT row, lang, base_failed, word_chars, k, n FROM (
+    SELECT row, lang, base_failed, word_chars,
+      unnest([{", ".join(f"length(regexp_replace(text, '[^{p}]', '', 'g'))" for p in _CLASS_PATTERNS)},
+        word_chars - length(regexp_replace(text, '[^{"".join(_CLASS_PATTERNS)}]', '', 'g'))]) AS n,
+      unnest(range({len(rules.CLASSES)})) AS k
+    FROM judged)
+), class_refs AS (
+  SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q
+  FROM classes WHERE NOT base_failed GROUP BY lang, k
+), by_class AS (
+  SELECT row, sqrt(greatest(0, sum({_divergence("p", "q")}) + sum({_divergence("q", "p")})) / 2) AS d
+  FROM (SELECT row, n / word_chars AS p, q FROM classes c JOIN class_refs r
+        ON c.lang IS NOT DISTINCT FROM r.lang AND c.k = r.k WHERE word_chars > 0)
+  GROUP BY row
+), tokens AS (
+  SELECT row, lang, base_failed, n_words,
+    unnest(list_transform(w, lambda x: translate(x, '{UPPER}', '{LOWER}'))) AS word
+  FROM judged
+), sizes AS (
+  SELECT lang, sum(n_words) AS n_lang FROM judged WHERE NOT base_failed GROUP BY lang
+), common AS (
+  SELECT lang, word, count(*) AS n FROM tokens WHERE NOT base_failed GROUP BY lang, word
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {rules.COMMON_WORDS}
+), word_refs AS (
+  SELECT common.lang, word, n / n_lang AS q FROM common JOIN sizes ON common.lang IS NOT DISTINCT FROM sizes.lang
+  UNION ALL
+  SELECT s.lang, NULL, (any_value(n_lang) - coalesce(sum(n), 0)) / any_value(n_lang)
+  FROM sizes s LEFT JOIN common c ON s.lang IS NOT DISTINCT FROM c.lang GROUP BY s.lang
+), uses AS (
+  SELECT row, c.word, count(*) AS n FROM tokens t LEFT JOIN common c
+    ON t.lang IS NOT DISTINCT FROM c.lang AND t.word = c.word GROUP BY row, c.word
+), by_word AS (
+  SELECT row, count(*) AS cells,
+    sqrt(greatest(0, sum({_divergence("p", "q")}) + sum({_divergence("q", "p")})) / 2) AS d
+  FROM (
+    SELECT j.row, coalesce(n, 0) / n_words AS p, q
+    FROM judged j JOIN word_refs r ON j.lang IS NOT DISTINCT FROM r.lang
+    LEFT JOIN uses u ON u.row = j.row AND u.word IS NOT DISTINCT FROM r.word
+    WHERE n_words > 0)
+  GROUP BY row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (coalesce(n_lang, 0) < {rules.LEAST_LANGUAGE} OR (
+    (word_chars < {rules.LEAST_CHARS} OR by_class.d <= {_near(rules.CHARS_LIMIT, str(len(rules.CLASSES)), "word_chars")})
+    AND (n_words < {rules.LEAST_COUNTED} OR by_word.d <= {_near(rules.WORDS_LIMIT, "cells", "n_words")})
+  )) AS kept
+FROM judged LEFT JOIN sizes ON judged.lang IS NOT DISTINCT FROM sizes.lang
+LEFT JOIN by_class USING (row) LEFT JOIN by_word USING (row)
+"""
+
+# Pairs one edit apart are found by the texts that words leave without one letter.
+SPELLING_GROUPS = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(
+    coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n FROM runs GROUP BY id, run HAVING length(run) >= {spelling.LEAST_CHARS}
+), hashed AS (
+  SELECT run, n, {_crc32("id || ':' || run")} AS h FROM counted, crc
+), slips AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END
+    AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM slips WHERE length(word) >= {spelling.LEAST_CHARS}
+  GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}
+), without AS (
+  SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word AS a, b.word AS b FROM without a JOIN without b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT without.word, words.word FROM without JOIN words ON rest = words.word
+  UNION SELECT words.word, without.word FROM without JOIN words ON rest = words.word
+), best AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n
+  FROM near JOIN words ON b = words.word GROUP BY a
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN form_n >= {spelling.RATIO} * n THEN form END AS form,
+    CASE WHEN form_n >= {spelling.RATIO} * n THEN form_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT followed.word, form FROM followed JOIN forms ON root = forms.word WHERE form IS NOT NULL
+), last AS (
+  SELECT followed.word, root FROM followed JOIN forms ON root = forms.word WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN last USING (word)
+"""
+
+# Every period is tried at every place.
+PERIODIC_RUNS = f"""
+WITH crc AS ({_CRC_TABLE}), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents
+), hashed AS (
+  SELECT row, doc_id, w, len(w) AS n, {_crc32("doc_id::VARCHAR")} AS h FROM docs, crc
+), planned AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM hashed
+), stretched AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM planned
+), changed AS (
+  SELECT row, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+    w[1:a] || list_transform(range(n - a), lambda i: w[a + i % p + 1]) END AS w
+  FROM stretched
+), tried AS (
+  SELECT row, n, w, unnest(range(1, n // 4 + 1)) AS q FROM changed
+), equal AS (
+  SELECT row, q, unnest(list_filter(range(1, n - q + 1), lambda i: w[i] = w[i + q])) - 1 AS i FROM tried
+), grouped AS (
+  SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS part FROM equal
+), stretches AS (
+  SELECT row, q, min(i) AS start, count(*) + q AS length FROM grouped GROUP BY row, q, part
+), runs AS (
+  SELECT row, start, length, min(q) AS period FROM stretches
+  WHERE length >= 6 AND length >= 4 * q GROUP BY row, start, length
+), listed AS (
+  SELECT row, count(*) AS n_runs,
+    arg_min((start, length, period), (-length, start, period)) AS top,
+    string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY row
+), gone AS (
+  SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs
+), rest AS (
+  SELECT c.row, string_agg(c.word, ' ' ORDER BY c.i) AS words
+  FROM (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS i FROM changed) c
+  ANTI JOIN gone g ON c.row = g.row AND c.i = g.i GROUP BY c.row
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top[1] AS start, top[2] AS length, top[3] AS period,
+  1000 * top[2] // top[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(words, '')) AS collapsed_sha256
+FROM changed LEFT JOIN listed USING (row) LEFT JOIN rest USING (row)
+"""
