@@ -86,6 +86,27 @@ def test_local_time_across_both_clock_changes(spark):
     ]
 
 
+@pytest.mark.parametrize("text, slot", [
+    ("2024-06-03T12:00:00Z", "2024-06-03 12:00"),
+    ("2024-06-03T12:00:00+01:00", "2024-06-03 11:00"),
+    ("2024-06-03 12:00:00 +01:00", "2024-06-03 11:00"),
+    ("2024-06-03T12:00:00 Europe/London", "2024-06-03 11:00"),
+    ("2024-01-03T12:00:00 Europe/London", "2024-01-03 12:00"),
+    ("2024-06-03T12:00:00-0230", "2024-06-03 14:30"),
+    ("2024-06-03T12:00:00-02:30", "2024-06-03 14:30"),
+    ("2024-06-03T12:00", "2024-06-03 12:00"),
+    ("2024-06-03", "2024-06-03 00:00"),
+    ("2024-03-31T01:30:00", "2024-03-31 01:30"),
+    ("2024-06-03T12:00:00 Nowhere/Town", None),
+    ("noon", None),
+    ("", None),
+    (None, None),
+])
+def test_any_zone_the_cast_reads_is_applied(spark, text, slot):
+    got = frame(spark, "t string", (text,)).select(timeparts.parse_utc(F.col("t")))
+    assert rows_of(got) == [(slot and ts(slot),)]
+
+
 def test_offsets_are_shifted_to_utc(spark):
     df = frame(
         spark, "t string", ("2024-06-01T00:00Z",), ("2024-06-01T00:00+01:00",), ("soon",)

@@ -34,6 +34,11 @@ def test_no_python_in_the_plan_and_no_cartesian_product(spark, name):
     assert not re.search(r"Python|CartesianProduct|MapInPandas|ArrowEval", text)
 
 
+@pytest.mark.parametrize("name", LAZY)
+def test_times_are_parsed_without_patterns(spark, name):
+    assert "regexp_extract" not in plan(catalog.QUERIES[name](spark, SF))
+
+
 def test_newest_wins_reduces_before_the_shuffle(spark):
     newest = silver.stg_generation(frame(spark, RAW_GENERATION))
     tree = newest._jdf.queryExecution().executedPlan().toString()

@@ -12,21 +12,15 @@ def at(moment: datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast(NTZ)
 
 
-# Sign, hours and minutes of a zone offset after a time of day.
-_OFFSET = r":[0-9:.]*([+-])([0-9]{1,2}):?([0-9]{2})?$"
-
-
 def parse_utc(text: Column) -> Column:
     """ISO text to a slot timestamp in UTC; bad text is NULL.
 
-    A zone offset is applied; ``Z`` or no zone is UTC. The session zone does not matter.
+    Whatever zone the engine's own cast reads is applied: ``Z``, an offset with or without
+    a blank before it, or a zone's name. Text without one is in the session's zone, which
+    the jobs set to UTC.
     """
-    sign, hours, minutes = (F.regexp_extract(text, _OFFSET, k) for k in (1, 2, 3))
-    ahead = F.when(sign == "-", -1).otherwise(1) * (
-        hours.try_cast("int") * 60 + F.coalesce(minutes.try_cast("int"), F.lit(0))
-    )
-    # The plain cast takes the wall-clock time and leaves the offset out.
-    return text.try_cast(NTZ) - F.make_dt_interval(mins=F.coalesce(ahead, F.lit(0)))
+    local = text.try_cast("timestamp").cast(NTZ)
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 
 def parse_utc_offset(text: Column) -> Column:
