@@ -1,4 +1,6 @@
 import random
+import time
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +11,15 @@ from voltlake.operators import upsert as up
 from voltlake.plans import silver
 from voltlake.plans.lake import HISTORY_TABLES, SILVER_KEYS, Lake
 from voltlake.session import scratch_path
+from voltlake.sinks import snapshots
+from voltlake.sinks.files import (
+    age_seconds,
+    create_new,
+    delete,
+    list_names,
+    read_text,
+    write_text,
+)
 from voltlake.sources import landing, schemas
 
 GENERATION_TABLE = dict(keys=("settlement_key",), dated_by="settlement_date")
@@ -109,23 +120,31 @@ def test_an_empty_batch_changes_nothing(spark, table):
     assert state(spark, table) == expected(raw)
 
 
-def test_a_run_that_died_before_replacing_partitions_is_finished(spark, table, monkeypatch):
+@pytest.mark.parametrize("step", ["_days", "_publish", "move_new", "_clean"])
+def test_a_run_that_died_at_any_step_leaves_old_or_new_rows(spark, table, monkeypatch, step):
     raw = readings(spark)
     first = raw.filter(F.col("loaded_at") <= F.lit(T0 + timedelta(hours=5)))
+    table = replace(table, touches="period_utc")
     up.load_increment(spark, table, first, silver.stg_generation)
 
     def die(*_):
         raise RuntimeError("driver lost")
 
+    reader = up.read_table(spark, table)  # resolved before the second load
     with monkeypatch.context() as patched:
-        patched.setattr(up, "_apply", die)
-        with pytest.raises(RuntimeError):
+        patched.setattr(snapshots, step, die)
+        with pytest.raises(RuntimeError, match="driver lost"):
             up.load_increment(spark, table, raw, silver.stg_generation)
-    up.finish_pending(spark, table)
-    assert state(spark, table) == expected(raw)
-    # its mark was never noted, so the rows come again and change nothing
+    assert state(spark, table) == expected(raw if step == "_clean" else first)
+    assert sorted(rows_of(reader), key=repr) == expected(first)
     up.load_increment(spark, table, raw, silver.stg_generation)
     assert state(spark, table) == expected(raw)
+    known = snapshots.current(spark, table.path)
+    versions = {n.split("=")[1] for n in list_names(spark, table.path) if n.startswith("version=")}
+    kept = snapshots._named(spark, table.path)
+    named = {v for n in kept for v in snapshots._load(spark, table.path, n).parts.values()}
+    assert set(known.parts.values()) <= versions == named
+    assert sorted(rows_of(reader), key=repr) == expected(first)
 
 
 def test_a_first_load_that_died_is_replaced(spark, table):
@@ -244,11 +263,9 @@ def test_increment_reads_only_the_days_from_the_mark_on(spark):
 
 def test_a_second_writer_is_refused_and_a_dead_one_replaced(spark, table, monkeypatch):
     raw = readings(spark, 50)
-    with up.held(spark, table):
+    with up.held(spark, table.path):
         with pytest.raises(RuntimeError, match="another run"):
             up.load_increment(spark, table, raw, silver.stg_generation)
-        with pytest.raises(RuntimeError, match="another run"):
-            up.finish_pending(spark, table)
         monkeypatch.setattr(up, "STALE_SECONDS", 0)
         up.load_increment(spark, table, raw, silver.stg_generation)
     assert state(spark, table) == expected(raw)
@@ -269,18 +286,38 @@ def test_history_load_that_died_is_replaced_and_increments_add_up(spark):
     assert up.read_table(spark, history).count() == 60
 
 
-def test_target_is_read_by_literal_dates(spark, table, monkeypatch):
+def test_a_holder_is_renewed_and_only_its_owner_removes_it(spark, table, monkeypatch):
+    holder = f"{table.path}__holder"
+    monkeypatch.setattr(up, "RENEW_SECONDS", 0.2)
+    with up.held(spark, table.path):
+        first = read_text(spark, holder)
+        time.sleep(1.5)
+        assert age_seconds(spark, holder) < 1.4 and read_text(spark, holder) == first
+        monkeypatch.setattr(up, "STALE_SECONDS", -1)
+        with up.held(spark, table.path):
+            second = read_text(spark, holder)
+            assert second != first
+            time.sleep(0.6)
+            assert read_text(spark, holder) == second
+        delete(spark, holder)
+        create_new(spark, holder)
+        write_text(spark, holder, "somebody else")
+    assert read_text(spark, holder) == "somebody else"
+
+
+def test_only_dates_of_the_batch_are_read(spark, table, monkeypatch):
     raw = readings(spark, 80)
     up.upsert(spark, table, silver.stg_generation(raw))
-    plans = []
-    written = up._written
+    written, read = [], []
+    write = up._written
 
     def spy(df, *rest):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return written(df, *rest)
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        read.extend(f for f in df.inputFiles() if "version=" in f)
+        return write(df, *rest)
 
     monkeypatch.setattr(up, "_written", spy)
     up.upsert(spark, table, silver.stg_generation(raw.filter("settlement_date = '2024-06-02'")))
-    (text,) = plans
-    assert "2024-06-02" in text and text.count("Scan parquet") == 2
-    assert "Join" not in text
+    (text,) = written
+    assert text.count("Scan parquet") == 2 and "Join" not in text
+    assert read and all("part_date=2024-06-02" in f for f in read)

@@ -4,83 +4,60 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
+from threading import Event, Thread
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voltlake.functions.timeparts import at
 from voltlake.operators.latest import newest_per_key
 from voltlake.session import scratch_path
-from voltlake.sinks.files import age_seconds, create_new, delete, exists, list_names
-
-PART = "part_date"
-_NO_DATE = "1900-01-01"
-# A writer's mark older than this is one that a killed driver left.
-STALE_SECONDS = 6 * 3600
+from voltlake.sinks import snapshots
+from voltlake.sinks.files import (
+    age_seconds,
+    create_new,
+    delete,
+    exists,
+    list_names,
+    read_text,
+    write_text,
+)
+from voltlake.sinks.snapshots import PART, Pointer, dated
+
+# A writer renews its mark this often; one that was not renewed for the longer time is a
+# mark that a killed driver left.
+RENEW_SECONDS, STALE_SECONDS = 30, 15 * 60
 
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """A Parquet table with one row per key.
+    """A snapshot table with one row per key.
 
     ``dated_by`` names a date or timestamp column that is a function of the key: it
     places the row in a date partition, so a new version of a row lands where the old
-    one is and only the dates present in a batch are rewritten.
-
-    A declared ``schema`` spares reading every file's footer to merge theirs.
+    one is and only the dates present in a batch are rewritten. ``touches`` names the time
+    column that tables made from this one are dated by, if that is another.
     """
 
     path: str
     keys: tuple[str, ...]
     dated_by: str
     version: str = "loaded_at"
-    schema: StructType | None = None
+    touches: str | None = None
 
     def part_of(self) -> Column:
-        return F.coalesce(F.to_date(self.dated_by), F.lit(_NO_DATE).cast("date"))
-
-    @property
-    def staging(self) -> str:
-        return f"{self.path.rstrip('/')}__staging"
-
-    @property
-    def marks(self) -> str:
-        return f"{self.path.rstrip('/')}__marks"
-
-
-def _stored(spark: SparkSession, table: KeyedTable) -> DataFrame:
-    if table.schema is None:
-        return spark.read.option("mergeSchema", "true").parquet(table.path)
-    dated = StructType([*table.schema.fields, StructField(PART, DateType())])
-    return spark.read.schema(dated).parquet(table.path)
+        return dated(self.dated_by)
 
 
 def read_table(spark: SparkSession, table: KeyedTable) -> DataFrame:
     """Current rows. Columns added later are NULL in older files."""
-    return _stored(spark, table).drop(PART)
-
-
-def is_loaded(spark: SparkSession, table: KeyedTable) -> bool:
-    """Whether a completed write left rows in the table."""
-    return exists(spark, f"{table.path}/_SUCCESS") and _has_dates(spark, table.path)
+    return snapshots.read(spark, table.path).drop(PART)
 
 
 def high_water(spark: SparkSession, table: KeyedTable) -> datetime | None:
-    """Greatest version loaded so far; None for a missing or empty table.
-
-    Loads note it down, and a table dated by its version has it in the last partition.
-    Only without either is the version column read in full.
-    """
-    if not is_loaded(spark, table):
-        return None
-    if table.dated_by == table.version:
-        last = max(n for n in list_names(spark, table.path) if n.startswith(f"{PART}="))
-        versions = spark.read.parquet(f"{table.path}/{last}")
-    elif exists(spark, f"{table.marks}/_SUCCESS"):
-        versions = spark.read.parquet(table.marks)
-    else:
-        versions = read_table(spark, table)
-    return versions.agg(F.max(table.version)).first()[0]
+    """Greatest version loaded so far; None for a missing or empty table."""
+    mark = snapshots.current(spark, table.path).mark
+    return None if mark is None else datetime.fromisoformat(mark)
 
 
 def newer_than(
@@ -100,82 +77,86 @@ def newer_than(
 
 
 @contextmanager
-def held(spark: SparkSession, table: KeyedTable) -> Iterator[None]:
-    """Hold the table against other writers; a second one gets an error.
+def held(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold the table at ``path`` against other writers; a second one gets an error.
 
-    The holder is an empty file beside the table. One left by a driver that was killed is
-    taken over once it is older than ``STALE_SECONDS``.
+    The holder is a file beside the table with the writer's own name in it, written anew
+    every ``RENEW_SECONDS`` for as long as the writer lives. One that a killed driver left
+    is taken over when it was not renewed for ``STALE_SECONDS``. Nobody removes a holder
+    that has another name in it.
     """
-    holder = f"{table.path.rstrip('/')}__holder"
+    holder, name = f"{path.rstrip('/')}__holder", uuid4().hex
     if not create_new(spark, holder):
         if age_seconds(spark, holder) < STALE_SECONDS:
-            raise RuntimeError(f"another run is writing {table.path}")
+            raise RuntimeError(f"another run is writing {path}")
         delete(spark, holder)
         if not create_new(spark, holder):
-            raise RuntimeError(f"another run is writing {table.path}")
+            raise RuntimeError(f"another run is writing {path}")
+    write_text(spark, holder, name)
+
+    def own() -> bool:
+        return exists(spark, holder) and read_text(spark, holder) == name
+
+    ended = Event()
+
+    def renew() -> None:
+        while not ended.wait(RENEW_SECONDS):
+            if own():
+                write_text(spark, holder, name)
+
+    renewing = Thread(target=renew, daemon=True)
+    renewing.start()
     try:
         yield
     finally:
-        delete(spark, holder)
+        ended.set()
+        renewing.join()
+        if own():
+            delete(spark, holder)
 
 
-def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime | None:
-    """Merge ``batch`` into the table and return the greatest version written.
+def upsert(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> Pointer:
+    """Merge ``batch`` into the table and return what is current then.
 
     The batch is reduced and stored once; its dates, few by the calendar, select the
-    target's partitions as literals. Their rows and the batch are reduced together to the
-    newest row per key, so applying a batch twice, or batches out of order, gives the same
-    table. The merged dates are first written in full to a staging folder and then replace
-    the table's partitions: a run that dies in between leaves the staged copy, which the
-    next run applies before anything else. A first load has nothing to protect and is
-    written once. Another run writing the table at the same time is an error.
+    target's partitions. Their rows and the batch are reduced together to the newest row
+    per key, so applying a batch twice, or batches out of order, gives the same table. The
+    merged dates are written once, as a new version that becomes current in one step: a
+    reader gets the old rows or the new ones, and a run that dies in between changes
+    nothing. Another run writing the table at the same time is an error.
     """
-    with held(spark, table):
-        _finish_pending(spark, table)
+    with held(spark, table.path):
         return _merge(spark, table, batch)
 
 
-def _merge(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> datetime | None:
+def _merge(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> Pointer:
+    before = snapshots.current(spark, table.path)
     newest = newest_per_key(batch, table.keys, table.version).withColumn(PART, table.part_of())
-    if not is_loaded(spark, table):
-        return _written(newest, table, table.path)
+    if not before.parts:
+        return _written(newest, table)
     path = scratch_path(spark, "batch")
-    _dated(newest).parquet(path)
-    if not _has_dates(spark, path):
+    newest.hint("rebalance", PART).write.partitionBy(PART).parquet(path)
+    prefix = f"{PART}="
+    dates = [n.removeprefix(prefix) for n in list_names(spark, path) if n.startswith(prefix)]
+    if not dates:
         delete(spark, path)
-        return None
+        return before
     stored = spark.read.schema(newest.schema).parquet(path)
-    dates = [r[0] for r in stored.select(PART).distinct().collect()]
-    current = _stored(spark, table).filter(F.col(PART).isin(dates))
-    both = current.unionByName(stored, allowMissingColumns=True)
-    staged = f"{table.staging}/{datetime.now():%Y%m%d%H%M%S%f}"
-    mark = _written(newest_per_key(both, table.keys, table.version), table, staged)
-    _apply(spark, table, staged)
+    there = [d for d in dates if d in before.parts]
+    both = stored
+    if there:
+        known = snapshots.read(spark, table.path, before, there)
+        both = known.unionByName(stored, allowMissingColumns=True)
+    after = _written(newest_per_key(both, table.keys, table.version), table)
     delete(spark, path)
-    return mark
-
+    return after
 
-def _written(df: DataFrame, table: KeyedTable, path: str) -> datetime | None:
-    """Write rows by date and return their greatest version, which the write finds."""
-    seen = Observation("written")
-    versions = F.max(table.version).alias("mark")
-    _dated(df.observe(seen, versions)).mode("overwrite").parquet(path)
-    return seen.get["mark"]
 
-
-def finish_pending(spark: SparkSession, table: KeyedTable) -> None:
-    """Apply the staged batch of a run that stopped before replacing partitions."""
-    with held(spark, table):
-        _finish_pending(spark, table)
-
-
-def _finish_pending(spark: SparkSession, table: KeyedTable) -> None:
-    for name in sorted(list_names(spark, table.staging)):
-        staged = f"{table.staging}/{name}"
-        if exists(spark, f"{staged}/_SUCCESS"):
-            _apply(spark, table, staged)
-        else:
-            delete(spark, staged)
+def _written(df: DataFrame, table: KeyedTable) -> Pointer:
+    """Write rows by date; the write finds their greatest version."""
+    return snapshots.write(
+        df.sparkSession, table.path, df, touches=table.touches, version_column=table.version
+    )
 
 
 def load_increment(
@@ -183,55 +164,17 @@ def load_increment(
     table: KeyedTable,
     source: DataFrame,
     clean: Callable[[DataFrame], DataFrame],
-) -> None:
+) -> Pointer:
     """Incremental load: rows of ``source`` after the high-water mark, cleaned, merged.
 
-    The new mark is noted after the merge. A run that dies in between takes the same
-    rows again next time, which changes nothing.
-    """
-    with held(spark, table):
-        _finish_pending(spark, table)
-        fresh = newer_than(source, high_water(spark, table), table.version)
-        mark = _merge(spark, table, clean(fresh))
-        if mark is not None:
-            noted = spark.range(1).select(at(mark).alias(table.version))
-            noted.coalesce(1).write.mode("overwrite").parquet(table.marks)
-
-
-def append_increment(
-    spark: SparkSession,
-    table: KeyedTable,
-    source: DataFrame,
-    clean: Callable[[DataFrame], DataFrame],
-) -> None:
-    """Incremental load of a history table, whose key contains the version.
-
-    Rows after the high-water mark cannot share a key with stored ones. They still go
-    through staging, which rewrites the newest load date only: a plain append that dies
-    leaves rows that would be taken for loaded, or loaded twice.
+    The new mark becomes current together with the rows. A run that dies before takes the
+    same rows again next time.
     """
-    with held(spark, table):
-        _finish_pending(spark, table)
+    with held(spark, table.path):
         fresh = newer_than(source, high_water(spark, table), table.version)
-        _merge(spark, table, clean(fresh))
-
-
-def _has_dates(spark: SparkSession, path: str) -> bool:
-    return any(name.startswith(f"{PART}=") for name in list_names(spark, path))
-
-
-def _dated(df: DataFrame):
-    # Rebalancing splits a date that holds most of the batch and merges tiny ones.
-    return df.hint("rebalance", PART).write.partitionBy(PART)
+        return _merge(spark, table, clean(fresh))
 
 
-def _apply(spark: SparkSession, table: KeyedTable, staged: str) -> None:
-    if _has_dates(spark, staged):
-        (
-            spark.read.parquet(staged)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(PART)
-            .parquet(table.path)
-        )
-    delete(spark, staged)
+# A history table, whose key contains the version, loads the same way: rows after the mark
+# cannot share a key with stored ones, and only the newest load date is rewritten.
+append_increment = load_increment

@@ -23,9 +23,10 @@ from voltlake.functions.timeparts import (
     weekday_name,
     weekday_number,
 )
-from voltlake.operators.latest import top_n
+from voltlake.operators.latest import attach, top_n
 from voltlake.operators.ranking import percent_rank
 from voltlake.operators.runs import trailing_mean
+from voltlake.sinks.snapshots import dated
 
 
 def slot_totals(
@@ -204,6 +205,151 @@ def mart_price_heatmap(
     )
 
 
+def month_of(slot: str | Column) -> Column:
+    """First day of a time's month; no time has a month of its own."""
+    return F.trunc(dated(slot), "month")
+
+
+_PARTIALS = {"n_rows": F.sum, "n_known": F.sum, "total": F.sum, "least": F.min, "greatest": F.max}
+
+
+def _partials(value: str) -> list[Column]:
+    """What readings of a cell add up to, so that parts of it can be put together later."""
+    return [
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(value).alias("n_known"),
+        F.sum(value).alias("total"),
+        F.min(value).alias("least"),
+        F.max(value).alias("greatest"),
+    ]
+
+
+def _together(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cells of all months put together, with their mean."""
+    whole = cells.groupBy(*by).agg(*[f(c).alias(c) for c, f in _PARTIALS.items()])
+    return whole.withColumn("mean", safe_ratio(F.col("total"), F.col("n_known")))
+
+
+_CELL = ("hour_of_day", "day_of_week", "day_name")
+
+
+def carbon_cells(
+    carbon: DataFrame, keys: Sequence[str] = (), zone: str = settings.LOCAL_ZONE
+) -> DataFrame:
+    """Partial aggregates of the carbon heatmap: 168 rows a month and series."""
+    known = carbon.filter(F.col("intensity_best").isNotNull())
+    known = known.withColumn("month", month_of("period_from"))
+    return _local_cells(known, "period_from", zone, (*keys, "month")).agg(*_partials("intensity_best"))
+
+
+def price_cells(
+    prices: DataFrame, keys: Sequence[str] = (), zone: str = settings.LOCAL_ZONE
+) -> DataFrame:
+    """Partial aggregates of the price heatmap: 168 rows a month and series."""
+    known = prices.filter(F.col("valid_from").isNotNull()).withColumn("month", month_of("valid_from"))
+    return _local_cells(known, "valid_from", zone, (*keys, "month")).agg(*_partials("value_inc_vat"))
+
+
+def carbon_heatmap_of(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``mart_carbon_heatmap`` from its partial aggregates."""
+    by = (*keys, *_CELL)
+    return _together(cells, by).select(
+        *by,
+        round_half_away(F.col("mean"), 1).alias("avg_intensity_gco2kwh"),
+        F.col("n_rows").alias("n_readings"),
+    )
+
+
+def price_heatmap_of(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``mart_price_heatmap`` from its partial aggregates."""
+    by = (*keys, *_CELL)
+    return _together(cells, by).select(
+        *by,
+        round_half_away(F.col("mean"), 2).alias("avg_price_p_kwh"),
+        round_half_away(F.col("least"), 2).alias("min_price_p_kwh"),
+        round_half_away(F.col("greatest"), 2).alias("max_price_p_kwh"),
+        F.col("n_rows").alias("n_periods"),
+    )
+
+
+def demand_cells(temp_vs_demand: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Partial aggregates of the demand profile: 48 rows a month and series."""
+    known = temp_vs_demand.filter(F.col("total_demand_mw").isNotNull())
+    by = (*keys, month_of("hour_utc").alias("month"), "hour_of_day", "day_type")
+    return known.groupBy(*by).agg(*_partials("total_demand_mw"))
+
+
+def demand_profile_of(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``serve.demand_profile`` from its partial aggregates."""
+    by = (*keys, "hour_of_day", "day_type")
+    return (
+        _together(cells, by)
+        .filter("n_known >= 2")
+        .select(
+            *by,
+            round_half_away(F.col("mean") / 1000, 2).alias("avg_gw"),
+            round_half_away(F.col("least") / 1000, 2).alias("min_gw"),
+            round_half_away(F.col("greatest") / 1000, 2).alias("max_gw"),
+        )
+        .orderBy(*by)
+    )
+
+
+def regression_moments(temp_vs_demand: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Moments of weekday demand over temperature: one row a month and series.
+
+    Squares are taken around the month's own means, so that putting months together loses
+    no digits to large sums.
+    """
+    demand, temp = "total_demand_mw", "temp_c"
+    usable = temp_vs_demand.filter(
+        (F.col("day_type") == "weekday") & F.col(temp).isNotNull() & F.col(demand).isNotNull()
+    )
+    n = F.count(F.lit(1))
+    return usable.groupBy(*keys, month_of("hour_utc").alias("month")).agg(
+        n.alias("n_hours"),
+        F.avg(temp).alias("mean_x"),
+        F.avg(demand).alias("mean_y"),
+        (F.var_pop(temp) * n).alias("xx"),
+        (F.var_pop(demand) * n).alias("yy"),
+        (F.covar_pop(temp, demand) * n).alias("xy"),
+    )
+
+
+def temp_regression_of(moments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``serve.temp_regression`` from its moments.
+
+    Every month adds its own squares and those of the distance of its means from the
+    series' means, which are worked out first; only one row a month and series is joined.
+    """
+    n = F.col("n_hours")
+    whole = moments.groupBy(*keys).agg(
+        F.sum("n_hours").alias("n"),
+        (F.sum(n * F.col("mean_x")) / F.sum("n_hours")).alias("x"),
+        (F.sum(n * F.col("mean_y")) / F.sum("n_hours")).alias("y"),
+    )
+    dx, dy = F.col("mean_x") - F.col("x"), F.col("mean_y") - F.col("y")
+    sums = (
+        attach(moments, whole, keys, "inner")
+        .groupBy(*keys)
+        .agg(
+            F.sum("n_hours").alias("n_hours"),
+            F.sum(F.col("xx") + n * dx * dx).alias("xx"),
+            F.sum(F.col("yy") + n * dy * dy).alias("yy"),
+            F.sum(F.col("xy") + n * dx * dy).alias("xy"),
+        )
+    )
+    xx, yy, xy = (F.col(c) for c in ("xx", "yy", "xy"))
+    # A demand that never varies is explained in full, as the engine's own aggregate has it.
+    explained = F.when(yy == 0, 1.0).otherwise(xy * xy / (xx * yy))
+    return sums.select(
+        *keys,
+        F.when(xx > 0, xy / xx).alias("mw_per_degree_c"),
+        F.when(xx > 0, explained).alias("r_squared"),
+        F.coalesce("n_hours", F.lit(0)).cast("bigint").alias("n_hours"),
+    )
+
+
 def mart_fuel_mix(generation: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Hourly mean of the half-hour readings per fuel: power, not energy."""
     return generation.groupBy(
@@ -215,8 +361,15 @@ def mart_renewable_mix(
     totals: DataFrame, keys: Sequence[str] = (), rows: int = settings.ROLLING_HOURS
 ) -> DataFrame:
     """Renewable share per hour and its mean over the last ``rows`` hours on record."""
+    return renewable_shares(hourly_totals(totals, keys), keys, rows)
+
+
+def renewable_shares(
+    hourly: DataFrame, keys: Sequence[str] = (), rows: int = settings.ROLLING_HOURS
+) -> DataFrame:
+    """The same from hourly totals."""
     share = safe_ratio(F.col("renewable_mw"), F.col("total_mw")) * 100
-    return hourly_totals(totals, keys).select(
+    return hourly.select(
         *keys,
         "hour_utc",
         "renewable_mw",

@@ -43,3 +43,30 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _resolve(spark, path)
     fs.delete(where, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, replacing one that is there."""
+    fs, where = _resolve(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, where = _resolve(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def move_new(spark: SparkSession, path: str, target: str) -> bool:
+    """Give a file a name; False if the name is taken or the move fails."""
+    fs, where = _resolve(spark, path)
+    to = _resolve(spark, target)[1]
+    return not fs.exists(to) and fs.rename(where, to)
