@@ -23,7 +23,7 @@ def sets_of(docs, size=5):
     return out
 
 
-def brute(docs, percent=75):
+def brute(docs, percent=75):  # ids that repeat do so with one text
     sets = sets_of(docs)
     root = {i: i for i, _ in docs if i is not None}
 
@@ -106,10 +106,23 @@ def test_components_without_edges(spark):
     assert components(loops).collect() == []
 
 
-def test_the_exact_finish_finds_the_same_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(module, "QUIET_ROUNDS", 0)  # no leader rounds at all
+def test_linked_classes_with_one_smallest_id_stay_apart(spark):
+    rng = random.Random(8)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    a_, b_ = edited(rng, a, 1), edited(rng, b, 1)
+    rows = [(5, a), (5, b), (7, a_), (8, b_), (5, a), (9, a_)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs).collect())
+    assert out == [(5, 76, 5, True)] * 3 + [(i, 76, 5, False) for i in (7, 8, 9)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_the_exact_finish_finds_the_same_as_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(module, "LEADER_ROUNDS", rounds)
     monkeypatch.setattr(module, "BLOCK", 16, raising=False)
     docs = corpus()
+    # Rows alike in id and text must not count twice in the exact join.
+    docs += [docs[40], docs[41], docs[200]]
     out = near_dedup(spark.createDataFrame(docs, "doc_id bigint, text string"))
     out = out.fillna(-1, ["doc_id", "component_id"]).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(docs)

@@ -22,6 +22,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # Of an executor, for all its stores; the rest of the state is on disk.
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    # Stores that a finished query leaves open are closed that soon.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     # Else every partition's store sets aside megabytes of disk for its logs.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

@@ -8,15 +8,16 @@ many equal minhashes as in plain banding.
 
 Documents with equal shingle sets form one class. Only half keys that several classes have
 can make a shared table key, so table rows are made for those alone. In a table cell the
-members are compared with a leader, never with each other: first with the smallest, then,
-as long as the cell holds several components, with leaders drawn anew; a cell whose members
-have all led or are joined is done. Every link is confirmed on the whole shingle sets.
+members are compared with a leader, never with each other, for ``LEADER_ROUNDS`` rounds:
+first with the smallest, then with leaders drawn anew. That joins what lies close together
+with one comparison a member. Every link is confirmed on the whole shingle sets.
 
-Leaders go on until no cell is open or ``QUIET_ROUNDS`` rounds in a row find no new link.
-A link between two of many members that have not led is missed by such rounds more often
-than not, so the classes of cells still open are then joined exactly, without cells, leaders
-or marks: by the rarest of their shared shingles (a prefix filter), with bounds on size,
-place and a bitmap of the whole set that no link exceeds.
+The classes of cells that still hold several components with members that have not led are
+then joined exactly, without cells, leaders or marks: by the rarest of their shared
+shingles (a prefix filter), with bounds on size, place and a bitmap of the whole set that
+no link exceeds. Classes of one component are not compared there. A shingle in the prefixes
+of k classes costs k * k / 2 tests of these bounds, in blocks that are tasks of their own;
+few of them lead to a comparison.
 
 With the defaults a pair at similarity 0.75 is lost with probability 5e-6 if it is not in
 that join: it shares no cell (4e-6) or its marks mislead (1e-6). In the join none is lost.
@@ -39,7 +40,7 @@ WORDS = 5
 PERCENT = 75
 HALF_KEYS = 16  # in each of the two collections
 MINHASHES = 2  # in a half key
-QUIET_ROUNDS = 2
+LEADER_ROUNDS = 1
 SEED = 20_240_601
 # Ids of candidates that are broadcast to find their texts; more of them are joined.
 FEW = 1_000_000
@@ -139,11 +140,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the wanted classes (cls, digest), made again from their texts."""
-    if wanted.count() <= FEW:
-        wanted = F.broadcast(wanted)
+    """The shingle sets of the wanted classes (cls, digest, low), made again from their texts."""
+    n = wanted.count()
     texts = _texts(docs)
-    texts = texts.join(wanted, texts.doc_id == wanted.cls).select("cls", "digest", "text")
+    found = F.broadcast(wanted) if n <= FEW else wanted
+    texts = texts.join(found, texts.doc_id == found.low).select("cls", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -151,13 +152,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             for cls, digest, text in rows:
                 found = shingles(text or b"", words)
-                # Another text under the same doc_id is another class.
+                # Another text under the same doc_id is of another class.
                 if xxhash.xxh3_128_digest(found.tobytes()) == digest:
                     ids.append(cls)
                     sets.append(found)
             yield pa.record_batch([pa.array(ids, pa.int64()), long_lists(sets)], names=["cls", "set"])
 
-    return texts.mapInArrow(run, "cls bigint, set array<bigint>")
+    sets = settle(texts.mapInArrow(run, "cls bigint, set array<bigint>"), "sets")
+    # Rows that are alike in doc_id and text give a class's set again.
+    return sets if sets.count() == n else settle(sets.dropDuplicates(["cls"]), "sets")
 
 
 def _cells(classes: DataFrame, half: int) -> DataFrame:
@@ -236,12 +239,11 @@ def _link(
     """(cls, component) of the classes that share cells with others."""
     members = settle(_cells(classes, half), "cells").withColumn("led", F.lit(False))
     own = members.select("cls").distinct()
-    wanted = settle(classes.join(own, "cls").select("cls", "digest", "n", "marks"), "wanted")
-    sets = settle(_sets(docs, wanted.select("cls", "digest"), words), "sets")
+    wanted = settle(classes.join(own, "cls").select("cls", "digest", "low", "n", "marks"), "wanted")
+    sets = _sets(docs, wanted.select("cls", "digest", "low"), words)
     labels = wanted.select("cls", F.col("cls").alias("component"), "n", "marks")
     tested = None
-    turn = quiet = 0
-    while quiet < QUIET_ROUNDS:
+    for turn in range(LEADER_ROUNDS):
         members, pairs = _draw(members, labels, turn, percent, 2 * half * minhashes)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -249,13 +251,9 @@ def _link(
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = settle(_alike(pairs, sets, percent), "links")
         if not links.isEmpty():
-            quiet = 0
             labels = _joined(labels, links)
-        elif members.isEmpty():
+        if members.isEmpty():
             break
-        else:
-            quiet += 1
-        turn += 1
     open_ = settle(_open(members, labels), "open")
     if not open_.isEmpty():
         pairs = settle(_candidates(open_, sets, percent), "pairs")
@@ -389,19 +387,23 @@ def near_dedup(
     ``component_id`` is the smallest doc_id that can be reached, its own included; the row
     with that doc_id is kept. Null or empty texts, or texts of white space, are linked with
     nothing and kept. A row with a null doc_id is linked with nothing, has no component_id
-    and is kept. Rows that share a doc_id are documents of their own, except that different
-    texts whose smallest doc_id is the same make one node. Shingles are compared by 64-bit hashes. Other columns are not read. No rows give none.
+    and is kept. Rows that share a doc_id are documents of their own. Shingles are compared
+    by 64-bit hashes. Other columns are not read. No rows give none.
     """
     drawn = settle(sketches(docs, words, half, minhashes), "sketches")
     usable = drawn.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = usable.groupBy("digest").agg(
-        F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"),
+        F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"),
         F.first("keys").alias("keys"), F.first("marks").alias("marks"),
     )
-    classes = settle(classes, "classes")
+    # Numbers name classes: different texts may have one smallest doc_id.
+    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     labels = _link(docs, classes, half, minhashes, words, percent)
-    placed = classes.select("digest", "cls").join(labels, "cls", "left")
-    placed = placed.select("digest", F.coalesce("component", "cls").alias("component_id"))
+    placed = classes.select("digest", "cls", "low").join(labels, "cls", "left")
+    placed = placed.select("digest", "low", F.coalesce("component", "cls").alias("component"))
+    placed = settle(placed, "placed")
+    least = settle(placed.groupBy("component").agg(F.min("low").alias("component_id")), "least")
+    placed = placed.join(least, "component").select("digest", "component_id")
     rest = drawn.filter("doc_id IS NULL OR n_shingles = 0")
     out = (
         usable.join(placed, "digest")

@@ -1,6 +1,6 @@
 """Text rules the corpus operators share: ASCII lower-casing, words, 64-bit hashes."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -78,15 +78,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+# What forgets things that a Python worker remembers from task to task.
+FORGET: list[Callable[[], None]] = []
+
+
 # Bytes of text that a task turns into Python objects at a time.
 SLICE_BYTES = 2 << 20
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def sliced(
+    batches: Iterator[pa.RecordBatch], column: str = "text", *, forget: bool = True
+) -> Iterator[pa.RecordBatch]:
     """The rows in runs of about ``SLICE_BYTES`` of text; a longer text makes its own run.
 
-    Lists of Python objects take several times the memory of a batch.
+    Lists of Python objects take several times the memory of a batch. Workers go from one
+    operator to the next, so what another one remembers there goes first.
     """
+    for clear in FORGET if forget else ():
+        clear()
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
         run = np.cumsum(size, dtype=np.int64) // SLICE_BYTES

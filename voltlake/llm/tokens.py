@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
-from voltlake.llm.text import sliced
+from voltlake.llm.text import FORGET, sliced
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -156,6 +156,9 @@ def encoder(path: str, added: bool = False) -> Encoder:
     return Encoder(path, added=added)
 
 
+FORGET.append(encoder.cache_clear)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
@@ -166,7 +169,7 @@ def token_batches(
     """Rows with a ``text`` column, with each row's ids and the end id; null is empty."""
     end = np.array([end_id], "<u4").tobytes()
     encode = encoder(path, added).encode
-    for rows in sliced(batches):
+    for rows in sliced(batches, forget=False):
         texts = rows.column("text").to_pylist()
         yield rows, [np.frombuffer(encode(t or "") + end, "<u4") for t in texts]
 
