@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from voltlake.llm import substring_dedup as module
 from voltlake.llm.substring_dedup import chunk_ends, repeated_passages, without_passages
 
 N = 50
@@ -29,13 +30,14 @@ def corpus():
 
 
 def brute(docs):
-    words = {i: (t or "").lower().split() for i, t in docs if i is not None}
+    """Spans per distinct text of a doc_id; what one doc_id alone has does not repeat."""
+    words = {(i, t): (t or "").lower().split() for i, t in docs if i is not None}
     holders = defaultdict(set)
-    for i, w in words.items():
+    for (i, _), w in words.items():
         for k in range(len(w) - N + 1):
             holders[tuple(w[k : k + N])].add(i)
     out = []
-    for i, w in words.items():
+    for (i, _), w in words.items():
         for kept in (True, False):
             at = [
                 k
@@ -51,6 +53,10 @@ def brute(docs):
     return sorted(out)
 
 
+def spans(df):
+    return sorted(tuple(r) for r in df.drop("text_hash").collect())
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rows = [(i, t, "x", 0) for i, t in corpus()]
@@ -58,12 +64,42 @@ def frame(spark):
 
 
 def test_spans_match_brute_force(frame):
-    got = sorted(tuple(r) for r in repeated_passages(frame).collect())
+    got = spans(repeated_passages(frame))
     want = brute(corpus())
-    # Each passage of 50 words and more; those of equal words all the way are one chunk.
     assert got == want and len(want) > 20
 
 
+def test_passages_without_a_chunk_of_their_own_are_found(spark):
+    rng = random.Random(11)
+    letters = lambda n: [rng.choice("abcdefghij") for _ in range(n)]
+    short = lambda n: ["".join(letters(rng.randint(1, 3))) for _ in range(n)]
+    passages = [["click", "here"] * 30, ["home", "news", "mail"] * 20]
+    passages += [make(n) for n in (50, 51, 55) for make in (letters, short) for _ in range(6)]
+    docs = []
+    for i, p in enumerate(passages):
+        for k in range(2):
+            docs.append((2 * i + k, " ".join(prose(rng, rng.randrange(90)) + p + prose(rng, 40))))
+    docs += [(900, " ".join(letters(49))), (901, "a " * 49)]
+    got = spans(repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    assert got == brute(docs) and len(got) >= 2 * len(passages)
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_repeated_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(module, "BROADCAST_BYTES", broadcast)
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 90) for _ in range(3))
+    own = lambda: prose(rng, 20)
+    docs = [(1, own() + a), (1, b + own() + a), (2, own() + a + own() + b), (3, c + own()), (3, own() + c)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    docs += [docs[0], docs[0], (4, None), (4, "tiny"), (5, docs[2][1])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = repeated_passages(frame)
+    assert spans(found) == brute(docs) and not [s for s in spans(found) if s[0] in (3, 4)]
+    rows = [(r.doc_id, r.text) for r in without_passages(frame, found).collect()]
+    assert len(rows) == len(docs) and [s for s in brute(rows) if not s[3]] == []
+
+
 def test_nothing_repeats_once_spans_are_cut(spark, frame):
     kept = without_passages(frame, repeated_passages(frame))
     assert kept.columns == frame.columns and kept.count() == frame.count()

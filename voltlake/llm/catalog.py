@@ -124,7 +124,7 @@ _register("op9_license_scan", _license_scan, oracle.LICENSES)
 
 
 def _substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(_documents(spark, sf_dir))
+    return substrings.repeated_passages(_documents(spark, sf_dir)).drop("text_hash")
 
 
 _register("op10_substring_dedup", _substring_dedup)
