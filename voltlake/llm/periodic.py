@@ -12,7 +12,6 @@ The arrays of many texts are made together by doubling prefixes, where only suff
 are not yet told apart are sorted again. Texts never share a prefix.
 """
 
-import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
