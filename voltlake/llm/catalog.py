@@ -110,7 +110,8 @@ _register("op7_best_fit_packing", _packing)
 
 
 def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    # The pages table has no further source headers.
+    return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages"))).drop("headers")
 
 
 _register("op8_warc_derivatives", _warc, oracle.WARC)

@@ -69,16 +69,14 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _without(sql: str, *patterns: str) -> str:
-    for pattern in patterns:
-        sql = f"regexp_replace({sql}, {_text(pattern)}, '', 'g')"
-    return sql
+def _without(sql: str, pattern: str) -> str:
+    return f"regexp_replace({sql}, {_text(pattern)}, '', 'g')"
 
 
-def _decoded(sql: str) -> str:
-    for reference, character in (*warc.ENTITIES, ("&amp;", "&")):
-        sql = f"replace({sql}, {_text(reference)}, {_text(character)})"
-    return sql
+_NAMES = "[" + ", ".join(_text(name) for name in warc.NAMED) + "]"
+_CHARACTERS = "[" + ", ".join(_text(c) for c in warc.NAMED.values()) + "]"
+_CODES = list(warc.WINDOWS)
+_MEANT = "[" + ", ".join(_text(c) for c in warc.WINDOWS.values()) + "]"
 
 
 def _uuid(*parts: str) -> str:
@@ -88,39 +86,67 @@ def _uuid(*parts: str) -> str:
 
 
 _RUN = "'[ \\t\\r\\n\\f]+'"
-_SHOWN = f"regexp_replace({_without('html', *warc.HIDDEN, warc.HEAD)}, {_RUN}, ' ', 'g')"
-_LINED = _decoded(
-    _without(f"regexp_replace({_SHOWN}, {_text(warc.BREAK)}, chr(10), 'g')", warc.TAG)
-)
-_PLAIN = (
-    f"trim(regexp_replace(regexp_replace({_LINED}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), "
-    "' ' || chr(10))"
-)
-_TITLE = (
-    f"trim(regexp_replace({_decoded(f'regexp_extract(html, {_text(warc.TITLE)}, 1)')}, {_RUN}, ' ', 'g'), ' ')"
-)
+_BODY = f"regexp_replace({_without('shown', warc.HEAD)}, {_RUN}, ' ', 'g')"
+_LINED = _without(f"regexp_replace({_BODY}, {_text(warc.BREAK)}, chr(10), 'g')", warc.TAG)
 _LINE_ENDS = "'[\\r\\n]', '', 'g'"
 _CRLF = "chr(13) || chr(10)"
 
+# Texts are cut at ampersands; what follows one begins with a reference or does not.
 WARC = f"""
 WITH pages_ AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html
+  FROM pages
 ), responses AS (
-  SELECT page_id, html, regexp_replace(url, {_LINE_ENDS}) AS target_uri,
-         'sha256:' || sha256(html) AS payload_digest,
+  SELECT r, page_id, strlen(html) AS size, {_without("html", warc.HIDDEN)} AS shown,
+         regexp_replace(url, {_LINE_ENDS}) AS target_uri, 'sha256:' || sha256(html) AS payload_digest,
          {_uuid("'response'", "coalesce(page_id::VARCHAR, 'null')", "url", "sha256(html)")} AS id
   FROM pages_
+), links AS (
+  SELECT r, regexp_extract_all(shown, {_text(warc.LINK)}, 1) AS found FROM responses
+), attributes AS (
+  SELECT r, 'lang' AS kind, 0 AS n, regexp_extract(shown, {_text(warc.LANG)}, 1) AS x FROM responses
+  UNION ALL SELECT r, 'link', generate_subscripts(found, 1), unnest(found) FROM links
+), written AS (
+  SELECT r, 'title' AS kind, 0 AS n, regexp_extract(shown, {_text(warc.TITLE)}, 1) AS x FROM responses
+  UNION ALL SELECT r, 'text', 0, {_LINED} FROM responses
+  UNION ALL SELECT r, kind, n, CASE WHEN x[1] IN (chr(34), chr(39)) THEN x[2:length(x) - 1] ELSE x END
+  FROM attributes
+), parts AS (
+  SELECT r, kind, n, unnest(string_split(x, '&')) AS part,
+         generate_subscripts(string_split(x, '&'), 1) AS i FROM written
+), named AS (
+  SELECT *, string_split(part, ';')[1] AS name FROM parts
+), numbered AS (
+  SELECT *, CASE WHEN regexp_matches(name, '{warc.DECIMAL}') THEN name[2:]::INTEGER
+    WHEN regexp_matches(name, '{warc.HEXADECIMAL}') THEN ('0x' || name[3:])::INTEGER END AS code
+  FROM named
+), known AS (
+  SELECT *, CASE WHEN code IS NULL THEN {_CHARACTERS}[list_position({_NAMES}, name)]
+    WHEN code BETWEEN 1 AND 32 OR code = 160 THEN ' '
+    WHEN code BETWEEN 128 AND 159 THEN {_MEANT}[list_position({_CODES}, code)]
+    WHEN code BETWEEN 33 AND 55295 OR code BETWEEN 57344 AND 1114111 THEN chr(code) END AS c
+  FROM numbered
+), decoded AS (
+  SELECT r, kind, n, string_agg(CASE WHEN i = 1 THEN part
+    WHEN contains(part, ';') AND length(name) <= 10 AND c IS NOT NULL THEN c || part[length(name) + 2:]
+    ELSE '&' || part END, '' ORDER BY i) AS x
+  FROM known GROUP BY r, kind, n
+), read AS (
+  SELECT r, max(x) FILTER (kind = 'title') AS title, max(x) FILTER (kind = 'text') AS text,
+    regexp_replace(max(x) FILTER (kind = 'lang'), {_LINE_ENDS}) AS lang,
+    coalesce(string_agg('outlink: ' || regexp_replace(x, {_LINE_ENDS}) || {_CRLF}, '' ORDER BY n)
+      FILTER (kind = 'link'), '') AS outlinks
+  FROM decoded GROUP BY r
 ), blocks AS (
-  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || {_TITLE} || {_CRLF} || 'languages-declared: ' ||
-    regexp_replace(regexp_extract(html, {_text(warc.LANG)}, 1), {_LINE_ENDS}) || {_CRLF} ||
-    'sourceLength: ' || strlen(html) || {_CRLF} || 'sourceDigest: ' || payload_digest ||
-    {_CRLF} || coalesce(list_aggregate(list_transform(
-      regexp_extract_all({_without("html", *warc.HIDDEN)}, {_text(warc.LINK)}, 1),
-      lambda x: 'outlink: ' || regexp_replace(x, {_LINE_ENDS}) || {_CRLF}), 'string_agg', ''), '')
-    AS block FROM responses
+  SELECT responses.*, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'title: ' || trim(regexp_replace(title, {_RUN}, ' ', 'g'), ' ') || {_CRLF} ||
+    'languages-declared: ' || lang || {_CRLF} || 'sourceLength: ' || size || {_CRLF} ||
+    'sourceDigest: ' || payload_digest || {_CRLF} || outlinks AS block
+  FROM responses JOIN read USING (r)
   UNION ALL
-  SELECT *, 'conversion', 'text/plain', {_PLAIN} FROM responses
+  SELECT responses.*, 'conversion', 'text/plain',
+    trim(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))
+  FROM responses JOIN read USING (r)
 )
 SELECT page_id, warc_type, {_uuid("warc_type", "id")} AS record_id, id AS refers_to, target_uri,
        '{warc.FETCHED}' AS warc_date, content_type, payload_digest,
