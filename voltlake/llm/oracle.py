@@ -157,40 +157,67 @@ FROM blocks
 _TEMPLATES = ", ".join(f"({i}, {_text(n)}, {_text(t)})" for i, (n, t) in enumerate(TEMPLATES))
 
 
-def _pairs(sql: str) -> str:
-    """Words and distinct bigrams of a text column, as columns w and p."""
-    plain = f"regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
-    return f"""
-      SELECT *, list_distinct(CASE WHEN len(w) > 1 THEN
-        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS p
-      FROM (SELECT *, string_split(trim({plain}, ' '), ' ') AS w FROM {sql}) WHERE w[1] <> ''
-    """
+def _word_list(sql: str) -> str:
+    plain = f"regexp_replace(translate({sql}, '{UPPER}', '{LOWER}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    return f"string_split(trim({plain}, ' '), ' ')"
 
 
-# Every passage against every template, without bounds.
+def _bigrams(words: str) -> str:
+    return (
+        f"CASE WHEN len({words}) > 1 THEN list_transform(range(1, len({words})), "
+        f"lambda i: {words}[i] || ' ' || {words}[i + 1]) ELSE {words} END"
+    )
+
+
+_LEAST_SIZE = f"ceil(n * {LEAST_DICE} / {2 - LEAST_DICE} - 1e-9)"
+
+def _best_in_turn(found: str, name: str, keys: str) -> str:
+    """Best rows of stretches in which each middle lies before the end of an earlier one."""
+    order = f"PARTITION BY {keys} ORDER BY start, n_words DESC, id ROWS"
+    return f"""{name}_opened AS (
+  SELECT *, coalesce(start + n_words // 2 >= max(start + n_words) OVER (
+    {order} BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE)::INTEGER AS opens FROM {found}
+), {name}_stretches AS (
+  SELECT *, sum(opens) OVER ({order} UNBOUNDED PRECEDING) AS stretch FROM {name}_opened
+), {name} AS (
+  SELECT * EXCLUDE (opens, stretch) FROM {name}_stretches QUALIFY row_number() OVER (
+    PARTITION BY {keys}, stretch ORDER BY common DESC, dice DESC, license_id, start, n_words, id) = 1
+)"""
+
+
+# Every place of a template's telling bigrams gives a window; no bound on sizes.
 LICENSES = f"""
 WITH templates(id, license_id, text) AS (VALUES {_TEMPLATES}),
-known AS (SELECT id, license_id, len(p) AS nt, unnest(p) AS pair FROM ({_pairs("templates")})),
-docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (
-  SELECT *, string_split_regex(text, '\\n[ \\t\\r\\n]*\\n') AS blocks,
-         string_split(text, chr(10)) AS lines FROM docs
-), units AS (
-  SELECT row, doc_id, 'line' AS kind, unnest(range(len(lines))) AS place, unnest(lines) AS text
-  FROM cut
-  UNION ALL SELECT * FROM (
-    SELECT row, doc_id, 'block', unnest(range(len(blocks))), unnest(blocks) AS text FROM cut)
-    WHERE contains(text, chr(10))
-  UNION ALL SELECT row, doc_id, 'text', 0, text FROM cut WHERE len(blocks) > 1
+worded AS (SELECT id, license_id, {_word_list("text")} AS w FROM templates),
+listed AS (SELECT *, len(w) AS width, {_bigrams("w")} AS p FROM worded),
+known AS (SELECT *, list_distinct(p) AS own, len(list_distinct(p)) AS n FROM listed),
+ranked AS (
+  SELECT id, n, pair, row_number() OVER (PARTITION BY id ORDER BY common, -length(pair), pair) AS k
+  FROM (SELECT id, n, unnest(own) AS pair FROM known)
+  JOIN (SELECT unnest(own) AS pair, count(*) AS common FROM known GROUP BY 1) USING (pair)
+), telling AS (
+  SELECT id, pair FROM ranked WHERE k <= n - ceil({LEAST_DICE} * (n + {_LEAST_SIZE}) / 2 - 1e-9) + 1
+), places AS (
+  SELECT id, pair, off FROM (
+    SELECT id, unnest(p) AS pair, unnest(range(len(p))) AS off FROM known) JOIN telling USING (id, pair)
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_word_list("coalesce(text, '')")} AS w FROM documents
 ), pairs AS (
-  SELECT row, doc_id, kind, place, len(p) AS n, unnest(p) AS pair FROM ({_pairs("units")})
-), scored AS (
-  SELECT row, doc_id, kind, place, license_id, n, 2e0 * count(*) / (n + nt) AS dice
-  FROM pairs JOIN known USING (pair) GROUP BY row, doc_id, kind, place, id, license_id, n, nt
-)
-SELECT doc_id, kind, place, license_id, dice, n AS n_bigrams FROM scored
-WHERE dice >= {LEAST_DICE}
-QUALIFY row_number() OVER (PARTITION BY row, kind, place ORDER BY dice DESC, license_id) = 1
+  SELECT row, unnest({_bigrams("w")}) AS pair, unnest(range(greatest(len(w) - 1, 1))) AS i FROM docs
+), begun AS (
+  SELECT DISTINCT row, id, i - off AS s FROM pairs JOIN places USING (pair)
+), placed AS (
+  SELECT row, doc_id, id, license_id, own, n AS nt, greatest(s, 0) AS start,
+         least(s + width, len(docs.w)) - greatest(s, 0) AS n_words, docs.w[greatest(s, 0) + 1:s + width] AS x
+  FROM begun JOIN known USING (id) JOIN docs USING (row)
+), compared AS (
+  SELECT DISTINCT * EXCLUDE (x), list_distinct({_bigrams("x")}) AS p FROM placed
+), alike AS (
+  SELECT row, doc_id, id, license_id, start, n_words, len(p) AS n, len(list_intersect(p, own)) AS common,
+         2e0 * common / (len(p) + nt) AS dice
+  FROM compared WHERE dice >= {LEAST_DICE}
+), {_best_in_turn("alike", "per_template", "row, id")}, {_best_in_turn("per_template", "notices", "row")}
+SELECT doc_id, start, n_words, license_id, dice, n AS n_bigrams FROM notices
 """
 
 
