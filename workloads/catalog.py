@@ -10,6 +10,7 @@ from voltlake import settings
 from voltlake.functions.numbers import round_half_away
 from voltlake.functions.scoring import amplify_weight
 from voltlake.functions.timeparts import at, parse_utc, parse_utc_offset
+from voltlake.operators.asof import as_of
 from voltlake.operators.latest import newest_per_key
 from voltlake.operators.quality import check_tables
 from voltlake.operators.ranking import spread_percent_rank
@@ -353,6 +354,32 @@ _one(
 )
 
 
+def _as_of_by_user(f: Frames) -> DataFrame:
+    """Every click with what its user had last viewed by then."""
+    events = f.events.select("event_id", "user_id", "ts", "value", "event_type")
+    return as_of(
+        events.filter("event_type = 'click'").drop("event_type"),
+        events.filter("event_type = 'view'"),
+        keys=("user_id",),
+        moment="ts",
+        at="ts",
+        take={"viewed_at": "ts", "viewed_event": "event_id", "viewed_value": "value"},
+    )
+
+
+_one(
+    "as_of_by_user",
+    _as_of_by_user,
+    """SELECT c.event_id, c.user_id, c.ts, c.value, v.ts AS viewed_at, v.event_id AS viewed_event,
+              v.value AS viewed_value
+       FROM (SELECT * FROM events WHERE event_type = 'click') c
+       ASOF LEFT JOIN (
+         SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value
+         FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v
+       ON c.user_id = v.user_id AND c.ts >= v.ts""",
+)
+
+
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same bronze table loaded twice, half of it known the first time."""
     frames = Frames(spark, sf_dir)
