@@ -2,6 +2,8 @@ import json
 import random
 from datetime import timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests.helpers import RAW_GENERATION, T0, frame, rows_of
@@ -16,6 +18,50 @@ def stream_of(spark, path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def test_audited_ingest_notes_every_batch_and_replays_nothing_twice(spark):
+    landed, target, audit, aside, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "au", "bad", "cp"))
+    reading = {
+        "settlementDate": "2024-06-03", "settlementPeriod": 1, "fuelType": "WIND",
+        "generation": 1, "startTime": "2024-06-02T23:00:00Z",
+    }
+    fail = []
+
+    def land(*lines):
+        frame(spark, "value string", *[(x,) for x in lines]).coalesce(1).write.mode("append").text(landed)
+
+    def flatten(payloads):
+        if fail:
+            raise ValueError("feed is down")
+        return flat.flatten_generation(payloads)
+
+    def run(when):
+        stream = jobs.stream_payloads(spark, landed, loaded_at=when)
+        jobs.ingest_audited(
+            stream, "generation", flatten, target, audit=audit, quarantine=aside, checkpoint=checkpoint
+        ).awaitTermination()
+
+    def notes():
+        noted = jobs.read_audit(spark, audit).select("batch_id", "status", "n_read", "unreadable", "n_rows")
+        return sorted(rows_of(noted))
+
+    land(json.dumps([reading, reading]), "<html>busy</html>", json.dumps({"data": [reading]}))
+    run(T0)
+    assert notes() == [(0, "OK", 3, 1, 3)]
+    run(T0)
+    assert notes() == [(0, "OK", 3, 1, 3)]
+    land(json.dumps({"data": [reading]}))
+    fail.append(True)
+    with pytest.raises(StreamingQueryException):
+        run(T0 + timedelta(hours=1))
+    assert notes()[1][:2] == (1, "ERROR — feed is down")
+    fail.clear()
+    run(T0 + timedelta(hours=2))
+    assert notes() == [(0, "OK", 3, 1, 3), (1, "OK", 1, 0, 1)]
+    stamps = rows_of(landing.read_bronze(spark, target, "raw_generation"), "loaded_at")
+    assert sorted(stamps) == [(T0,)] * 3 + [(T0 + timedelta(hours=2),)]
+    assert rows_of(jobs.quarantined(spark, aside), "payload", "batch_id") == [("<html>busy</html>", 0)]
+
+
 def test_ingest_takes_each_file_once(spark):
     landed, target, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
     reading = {

@@ -148,10 +148,14 @@ def latest_product(payloads: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     )
 
 
+def is_unreadable() -> Column:
+    """True for a payload text that is no JSON."""
+    return F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
+
+
 def readability() -> tuple[Column, Column]:
     """Aggregates over payload texts: how many there are, and how many are no JSON."""
-    bad = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
-    return F.count("payload").alias("n_read"), F.count_if(bad).alias("unreadable")
+    return F.count("payload").alias("n_read"), F.count_if(is_unreadable()).alias("unreadable")
 
 
 def unreadable(payloads: DataFrame) -> DataFrame:

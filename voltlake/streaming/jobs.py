@@ -5,29 +5,104 @@ so a plain schedule drives them and the checkpoint remembers what was taken.
 """
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voltlake.functions.timeparts import NTZ
+from voltlake.functions.timeparts import NTZ, at
 from voltlake.operators.upsert import KeyedTable, upsert
+from voltlake.sources import landing, payloads as flat
 
 
 def stream_payloads(
-    spark: SparkSession, path: str, *, whole_files: bool = False, files_per_batch: int = 10_000
+    spark: SparkSession,
+    path: str,
+    *,
+    whole_files: bool = False,
+    files_per_batch: int = 10_000,
+    loaded_at: datetime | None = None,
 ) -> DataFrame:
-    """New landed files as payload texts; the load time is when the batch ran."""
+    """New landed files as payload texts, stamped with the run's load time.
+
+    Without ``loaded_at`` the load time is when the batch ran.
+    """
     text = (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .option("wholetext", str(whole_files).lower())
         .text(path)
     )
-    return text.select(
-        F.col("value").alias("payload"), F.current_timestamp().cast(NTZ).alias("loaded_at")
+    stamp = at(loaded_at) if loaded_at else F.current_timestamp().cast(NTZ)
+    return text.select(F.col("value").alias("payload"), stamp.alias("loaded_at"))
+
+
+BATCH = "batch_id"
+AUDIT = f"source string, status string, n_read long, unreadable long, n_rows long, {BATCH} long"
+
+
+def ingest_audited(
+    payloads: DataFrame,
+    source: str,
+    flatten: Callable[[DataFrame], DataFrame],
+    target: str,
+    *,
+    audit: str,
+    quarantine: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Append flattened payloads; every micro-batch leaves an audit row.
+
+    The write itself counts payloads, those that are no JSON, and rows. Payloads that are
+    no JSON yield no rows and are kept, with their load time, in the quarantine folder,
+    which costs a second read of the batches that have any. All three folders have a part
+    per batch that a replay of the batch writes anew, so nothing is counted or stored
+    twice. A batch that fails leaves a row that says how, stops the stream, and is taken
+    again by the next run.
+    """
+
+    def part(folder: str, batch_id: int) -> str:
+        return f"{folder}/{BATCH}={batch_id}"
+
+    def note(spark: SparkSession, batch_id: int, *row: object) -> None:
+        line = spark.createDataFrame([(source, *row, batch_id)], AUDIT).drop(BATCH)
+        line.coalesce(1).write.mode("overwrite").parquet(part(audit, batch_id))
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            read, seen = Observation(f"read_{batch_id}"), Observation(f"rows_{batch_id}")
+            rows = flatten(batch.observe(read, *flat.readability()))
+            rows = rows.observe(seen, F.count(F.lit(1)).alias("n_rows"))
+            stored = landing.dated(rows).write.mode("overwrite").partitionBy(landing.LOAD_DATE)
+            stored.parquet(part(target, batch_id))
+            n_read, n_bad, n_rows = read.get["n_read"], read.get["unreadable"], seen.get["n_rows"]
+            if n_bad:
+                bad = batch.filter(flat.is_unreadable())
+                bad.write.mode("overwrite").parquet(part(quarantine, batch_id))
+            note(spark, batch_id, "OK", n_read, n_bad, n_rows)
+        except Exception as error:
+            said = str(error).strip().splitlines()
+            note(spark, batch_id, f"ERROR — {said[0] if said else type(error).__name__}", None, None, None)
+            raise
+
+    return (
+        payloads.writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
+def read_audit(spark: SparkSession, audit: str) -> DataFrame:
+    """One row per micro-batch so far."""
+    return spark.read.schema(AUDIT).parquet(audit)
+
+
+def quarantined(spark: SparkSession, quarantine: str) -> DataFrame:
+    """Payloads kept aside, to be mended and flattened again."""
+    return spark.read.schema(f"payload string, loaded_at timestamp_ntz, {BATCH} long").parquet(quarantine)
+
+
 def upsert_stream(
     raw: DataFrame,
     clean: Callable[[DataFrame], DataFrame],
