@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import T0, frame, rows_of
 from voltlake.operators import latest, quality, runs
-from voltlake.operators.ranking import percent_rank, spread_percent_rank
+from voltlake.operators.ranking import percent_rank, spread_percent_rank, spread_row_number
 
 def sql_ranks(rows, kind, part=""):
     con = duckdb.connect()
@@ -58,6 +58,34 @@ def test_spread_percent_rank_of_next_to_nothing(spark, rows):
     assert got == sql_ranks(rows, "DOUBLE")
 
 
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_spread_row_numbers_with_ties_nulls_and_a_hot_series(spark, keys):
+    rng = random.Random(23)
+    rows = [(i, rng.choice("aaaab"), 1.0 if i % 3 == 0 else rng.randrange(40) / 4, i % 50) for i in range(900)]
+    rows += [(900, "a", None, 1), (901, None, 2.0, 1), (902, None, 2.0, None), (903, "c", None, None)]
+    df = frame(spark, "id int, g string, v double, w int", *rows).repartition(6)
+    numbered = spread_row_number(df, ("v", "w"), "n", keys)
+    assert numbered.columns == [*df.columns, "n"]
+    got = rows_of(numbered)
+    assert sorted(map(str, (r[:4] for r in got))) == sorted(map(str, rows))
+    series = {}
+    for _, g, v, w, n in got:
+        series.setdefault(g if keys else "all", []).append((n, v is None, v or 0, w is None, w or 0))
+    for members in series.values():
+        members.sort()
+        assert [m[0] for m in members] == list(range(1, len(members) + 1))
+        assert [m[1:] for m in members] == sorted(m[1:] for m in members)
+
+
+def test_spread_row_numbers_spread_full_ties_and_take_empty_frames(spark):
+    same = spark.range(4000).select(F.lit(1).alias("v"))
+    numbered = spread_row_number(same, ("v",), "n")
+    assert sorted(n for _, n in rows_of(numbered)) == list(range(1, 4001))
+    assert rows_of(spread_row_number(same.limit(0), ("v",), "n")) == []
+    plan = numbered._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "_part" in plan  # sorted before, by parts
+
+
 def test_newest_per_key_is_repeatable_on_equal_versions(spark):
     rows = [("k", T0, i) for i in range(50)] + [("j", T0 - timedelta(1), 1), ("j", None, 2)]
     for parts in (1, 3, 7):

@@ -24,8 +24,9 @@ from voltlake.functions.timeparts import (
     weekday_number,
 )
 from voltlake.operators.latest import attach, top_n
-from voltlake.operators.ranking import percent_rank
+from voltlake.operators.ranking import percent_rank, spread_percent_rank, spread_row_number
 from voltlake.operators.runs import trailing_mean
+from voltlake.session import settle
 from voltlake.sinks.snapshots import dated
 
 
@@ -150,19 +151,39 @@ def mart_best_windows(
     remain after the filter, which is what the ranking windows run over.
     """
     slot = F.col("period_utc")
-    ahead = price_carbon.filter(
-        (slot > at(as_of - settings.SLOT))
-        & (slot <= at(as_of + settings.BEST_WINDOW_HORIZON))
-        & F.col("value_inc_vat").isNotNull()
-        & F.col("carbon_intensity").isNotNull()
+    ahead = _priced(price_carbon).filter(
+        (slot > at(as_of - settings.SLOT)) & (slot <= at(as_of + settings.BEST_WINDOW_HORIZON))
     )
     both = percent_rank("value_inc_vat", keys) + percent_rank("carbon_intensity", keys)
     order = W.partitionBy(*keys).orderBy("_ranks", "period_utc")
-    return ahead.withColumn("_ranks", both).select(
+    ranked = ahead.withColumn("_ranks", both)
+    return _windows(ranked.withColumn("rank", F.row_number().over(order).cast("long")), keys)
+
+
+def best_windows_all(price_carbon: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``mart_best_windows`` over any horizon, such as all slots there are.
+
+    Percent ranks and row numbers are spread, so no series is sorted in one task.
+    """
+    known = settle(_priced(price_carbon), "priced")
+    ranked = spread_percent_rank(known, "value_inc_vat", "_by_price", keys)
+    ranked = spread_percent_rank(ranked, "carbon_intensity", "_by_carbon", keys)
+    ranked = ranked.withColumn("_ranks", F.col("_by_price") + F.col("_by_carbon"))
+    return _windows(spread_row_number(ranked, ("_ranks", "period_utc"), "rank", keys), keys)
+
+
+def _priced(price_carbon: DataFrame) -> DataFrame:
+    """Slots with both a price and a carbon intensity."""
+    return price_carbon.dropna(subset=["value_inc_vat", "carbon_intensity"])
+
+
+def _windows(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What readers see of ranked slots; ``_ranks`` is the sum of both percent ranks."""
+    return ranked.select(
         *keys,
-        F.row_number().over(order).cast("long").alias("rank"),
+        "rank",
         "period_utc",
-        plus(slot, settings.SLOT).alias("period_to"),
+        plus(F.col("period_utc"), settings.SLOT).alias("period_to"),
         round_half_away(F.col("value_inc_vat"), 2).alias("price_p_kwh"),
         round_half_away(F.col("carbon_intensity"), 0).alias("carbon_gco2_kwh"),
         "intensity_index",
