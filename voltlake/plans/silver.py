@@ -46,8 +46,8 @@ def unreadable(raw: DataFrame, columns: dict[str, Column]) -> DataFrame:
     )
 
 
-def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Half-hourly MW per fuel.
+def typed_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every reading with its types, slot and key, revisions included. Streams, too.
 
     Rows without a start time fall back to date and period number, which is an hour
     late while clocks are on summer time.
@@ -70,7 +70,12 @@ def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         )
     )
     key = F.concat("settlement_date", F.lit("_"), "settlement_period", F.lit("_"), "fuel_type")
-    return newest_per_key(typed.withColumn("settlement_key", key), [*keys, "settlement_key"])
+    return typed.withColumn("settlement_key", key)
+
+
+def stg_generation(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Half-hourly MW per fuel, the newest reading of each key."""
+    return newest_per_key(typed_generation(raw, keys), [*keys, "settlement_key"])
 
 
 def stg_weather(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

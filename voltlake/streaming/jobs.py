@@ -131,7 +131,7 @@ def hourly_fuel_means(
 ) -> DataFrame:
     """Mean MW per hour and fuel, emitted once the hour is closed.
 
-    Every reading counts, also a revised one; use ``upsert_stream`` where the newest
+    Every reading counts, also a revised one; use ``hourly_newest_means`` where the newest
     revision has to win. State is one partial mean per open hour, fuel and series.
     """
     # Watermarks need a zoned timestamp; the session zone is UTC.
@@ -149,6 +149,38 @@ def hourly_fuel_means(
     )
 
 
+def hourly_newest_means(
+    readings: DataFrame,
+    keys: tuple[str, ...] = (),
+    late_by: timedelta = timedelta(hours=1),
+    reading: str = "settlement_key",
+) -> DataFrame:
+    """Mean MW per hour and fuel over the newest revision of each reading, once the hour is
+    closed.
+
+    ``readings`` are ``silver.typed_generation`` rows: of a ``reading``'s revisions in an
+    hour the greatest (loaded_at, generation_mw) counts. Two stateful operators follow one
+    watermark: the first keeps one revision per reading of the open hours and hands them on
+    when the hour closes, the second averages them. A revision may come any number of runs
+    later, as long as its hour is open; afterwards it is dropped, so ``late_by`` has to
+    cover how late revisions come (``upsert_stream`` takes them without end). Readings
+    without a slot belong to no hour. All revisions of a reading need the same hour and
+    fuel: a reading that moves to another hour counts in both.
+    """
+    timed = readings.withColumn("_at", F.col("period_utc").cast("timestamp"))
+    newest = (
+        timed.withWatermark("_at", f"{int(late_by.total_seconds())} seconds")
+        .groupBy(*keys, F.window("_at", "1 hour").alias("_hour"), "fuel_type", reading)
+        .agg(F.max(F.struct("loaded_at", "generation_mw")).alias("_newest"))
+    )
+    closed = newest.groupBy(*keys, F.window("_hour", "1 hour"), "fuel_type").agg(
+        F.avg("_newest.generation_mw").alias("generation_mw")
+    )
+    return closed.select(
+        *keys, F.col("window.start").cast(NTZ).alias("hour_utc"), "fuel_type", "generation_mw"
+    )
+
+
 def append_stream(
     df: DataFrame, target: str, checkpoint: str, partition_by: tuple[str, ...] = ()
 ) -> StreamingQuery:

@@ -20,7 +20,7 @@ from voltlake.operators.upsert import (
     load_increment,
     read_table,
 )
-from voltlake.plans import serve, silver
+from voltlake.plans import gold, serve, silver
 from voltlake.plans.lake import Lake
 from voltlake.session import configure, scratch_path
 from voltlake.sinks.files import is_directory
@@ -445,6 +445,11 @@ def _steady(df: DataFrame) -> DataFrame:
 
 _both("price_carbon", lambda f: f.price_carbon, _select("SELECT * FROM price_carbon"))
 _both("best_windows", lambda f: f.best_windows, _select("SELECT * FROM best_windows"))
+_both(
+    "best_windows_all",
+    lambda f: gold.best_windows_all(f.price_carbon, f.keys),
+    _select(oracle.BEST_WINDOWS_ALL),
+)
 _both("carbon_heatmap", lambda f: f.carbon_heatmap, _select("SELECT * FROM carbon_heatmap"))
 _both("price_heatmap", lambda f: f.price_heatmap, _select("SELECT * FROM price_heatmap"))
 _both("fuel_mix_hourly", lambda f: f.fuel_mix, _select("SELECT * FROM fuel_mix"))
@@ -879,6 +884,30 @@ _register(
 )
 
 
+def _stream_newest_mix(f: Frames) -> DataFrame:
+    """Hourly means of newest revisions, in two runs of one stream."""
+    raw = views.raw_generation(_event_stream(f.spark, f.sf_dir), f.keys)
+    means = jobs.hourly_newest_means(silver.typed_generation(raw, f.keys), f.keys, timedelta(hours=6))
+    target, checkpoint = scratch_path(f.spark, "newest-mix"), scratch_path(f.spark, "checkpoint")
+    for _ in range(2):
+        jobs.append_stream(means, target, checkpoint).awaitTermination()
+    return f.spark.read.schema(means.schema).parquet(target)
+
+
+_both(
+    "stream_newest_mix",
+    _stream_newest_mix,
+    _select(
+        """SELECT {k}hour_utc, fuel_type, avg(generation_mw) AS generation_mw
+           FROM (SELECT *, date_trunc('hour', period_utc) AS hour_utc,
+                        max(period_utc) OVER () - INTERVAL '6 hours' AS closed_before
+                 FROM stg_generation)
+           WHERE hour_utc + INTERVAL '1 hour' <= closed_before
+           GROUP BY ALL"""
+    ),
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best half hours of the next two days."""
     return QUERIES["best_windows_top5"](spark, sf_dir)
