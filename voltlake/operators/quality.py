@@ -4,7 +4,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,31 @@ CONTRACTS = (
 )
 
 
+def tallies(contract: Contract) -> list[tuple[str, str, Column]]:
+    """(column, check, count of violations) of the checks that look at one row at a time."""
+    return [
+        (column, "not_null", F.count_if(F.col(column).isNull())) for column in contract.not_null
+    ] + [
+        (column, "accepted_values", F.count_if(~F.col(column).isin(*values)))
+        for column, values in contract.accepted
+    ]
+
+
+def check_rows(contract: Contract, results: Iterable[tuple[str, str, Column]]) -> Column:
+    """(table_name, column_name, check_name, violations) of some checks as an array."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(contract.table).alias("table_name"),
+                F.lit(column).alias("column_name"),
+                F.lit(check).alias("check_name"),
+                count.alias("violations"),
+            )
+            for column, check, count in results
+        ]
+    )
+
+
 def check_table(df: DataFrame, contract: Contract, keys: Iterable[str] = ()) -> DataFrame:
     """(table_name, column_name, check_name, violations) for one table.
 
@@ -51,16 +76,10 @@ def check_table(df: DataFrame, contract: Contract, keys: Iterable[str] = ()) ->
     reuses the partitioning of a table that was just de-duplicated by that column.
     ``violations`` counts rows, for ``unique`` the keys that occur more than once.
     """
-    tallies = [
-        (column, "not_null", F.count_if(F.col(column).isNull()))
-        for column in contract.not_null
-    ] + [
-        (column, "accepted_values", F.count_if(~F.col(column).isin(*values)))
-        for column, values in contract.accepted
-    ]
-    names = [f"_t{i}" for i in range(len(tallies))]
-    counted = [tally.alias(name) for name, (_, _, tally) in zip(names, tallies)]
-    results = [(column, check, F.col(name)) for name, (column, check, _) in zip(names, tallies)]
+    rowwise = tallies(contract)
+    names = [f"_t{i}" for i in range(len(rowwise))]
+    counted = [tally.alias(name) for name, (_, _, tally) in zip(names, rowwise)]
+    results = [(column, check, F.col(name)) for name, (column, check, _) in zip(names, rowwise)]
 
     if len(contract.unique) > 1:
         raise ValueError("one unique column per contract")
@@ -75,19 +94,7 @@ def check_table(df: DataFrame, contract: Contract, keys: Iterable[str] = ()) ->
         results.append((column, "unique", F.col("_dup")))
     else:
         totals = df.agg(*counted)
-
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(contract.table).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.lit(check).alias("check_name"),
-                count.alias("violations"),
-            )
-            for column, check, count in results
-        ]
-    )
-    return totals.select(F.inline(rows))
+    return totals.select(F.inline(check_rows(contract, results)))
 
 
 def check_tables(

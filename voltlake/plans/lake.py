@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltlake import settings
-from voltlake.operators.quality import check_tables
+from voltlake.operators.quality import CONTRACTS, Contract, check_table, check_tables
 from voltlake.operators.runs import trailing_reach
 from voltlake.operators.upsert import (
     KeyedTable,
@@ -23,7 +24,7 @@ from voltlake.operators.upsert import (
     load_increment,
     read_table,
 )
-from voltlake.plans import gold, silver
+from voltlake.plans import checks, gold, silver
 from voltlake.sinks import snapshots
 from voltlake.sinks.snapshots import PART, Pointer, dated, on_days
 
@@ -132,6 +133,9 @@ TEN_MARTS = (
     "mart_renewable_mix mart_temp_vs_demand mart_grid_stress mart_regional_carbon mart_solar_weather"
 ).split()
 
+# Marts that are stored as partial aggregates.
+PUT_TOGETHER = ("mart_carbon_heatmap", "mart_price_heatmap")
+
 
 @dataclass
 class Lake:
@@ -146,6 +150,8 @@ class Lake:
     keys: Sequence[str] = ()
     # What the last build did: mart -> days that were made again, None for all.
     rebuilt: dict[str, set[str] | None] = field(default_factory=dict)
+    # What the last ``check_changes`` did: table -> days that were read.
+    checked: dict[str, set[str]] = field(default_factory=dict)
 
     def silver_table(self, name: str) -> KeyedTable:
         key, dated_by = SILVER_KEYS[name]
@@ -334,8 +340,33 @@ class Lake:
         self.rebuilt["mart_best_windows"] = days
         self._write("mart_best_windows", rows, (), now, (), True)
 
+    def check_changes(self) -> DataFrame:
+        """Data checks of all tables, reading only the days written since the last time.
+
+        A mart that is put together on reading has a bounded number of rows and is checked
+        as a whole.
+        """
+
+        def place(contract: Contract) -> tuple[str, str]:
+            return self._path(contract.table), f"{self.root}/checks/{contract.table}"
+
+        def refresh(contract: Contract) -> None:
+            name = contract.table
+            filed_by = SILVER_KEYS[name][1] if name in SILVER_KEYS else "hour_utc"
+            self.checked[name] = checks.refresh(
+                self.spark, *place(contract), contract, self.keys, filed_by
+            )
+
+        stored = [c for c in CONTRACTS if c.table not in PUT_TOGETHER]
+        with held(self.spark, f"{self.root}/checks"):
+            _together(refresh, stored)
+            parts = [checks.results(self.spark, place(c)[1], c) for c in stored]
+        marts = self.marts()
+        parts += [check_table(marts[c.table], c, self.keys) for c in CONTRACTS if c.table in PUT_TOGETHER]
+        return reduce(DataFrame.unionByName, parts)
+
     def check(self) -> DataFrame:
-        """Data checks over the stored tables."""
+        """Data checks over the stored tables, all of them read."""
         tables = {name: self.silver_frame(name) for name in SILVER_KEYS}
         return check_tables({**tables, **self.marts()}, keys=self.keys)
 

@@ -56,6 +56,10 @@ class Pointer:
         """Days with rows that were added, replaced or removed after a pointer."""
         return {day for day, n in self.changed.items() if n > number}
 
+    def parts_written_since(self, number: int) -> set[str]:
+        """Dates whose rows were written after a pointer."""
+        return {p for p, v in self.parts.items() if int(v.split("-")[0]) > number}
+
     def parts_touching(self, days: set[str]) -> list[str]:
         """The parts with rows of some days."""
         return [p for p in self.parts if not days.isdisjoint(self.days(p))]

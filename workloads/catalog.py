@@ -723,6 +723,7 @@ def _followed(spark: SparkSession, sf_dir: str) -> Lake:
             known = F.lit(True) if until is None else F.col("loaded_at") <= at(until)
             lake.load_silver({n: df.filter(known) for n, df in bronze.items()}, frames.lookup)
             lake.build_gold(until or views.AS_OF)
+            lake.check_changes()
         _LAKES[place] = lake
     return _LAKES[place]
 
@@ -749,6 +750,11 @@ for _name, _ask, _sql in (
         lambda spark, d, ask=_ask: ask(_followed(spark, d)),
         oracle.statement(_sql),
     )
+_register(
+    "dq_checks_incremental",
+    lambda spark, d: _followed(spark, d).check_changes(),
+    oracle.checks(),
+)
 _register(
     "temp_regression_incremental",
     lambda spark, d: _rounded_fit(_followed(spark, d).temp_regression()),
