@@ -83,6 +83,20 @@ def test_frame_without_files_and_empty_frame(spark):
 def test_kept_rows_have_the_columns_of_the_input(spark, tmp_path):
     docs = addressable(rows(spark, tmp_path))
     stay = kept_rows(docs, exact_dedup(docs))
-    assert stay.columns == ["doc_id", "text", "digest", "kept"]
+    assert stay.columns == docs.columns
     assert stay.count() == len({norm(t) for _, t in TEXTS})
     assert {r.digest for r in stay.collect()} == {"x"}
+
+
+def test_names_of_locators_and_of_hidden_columns_may_be_taken(spark, tmp_path):
+    docs = rows(spark, tmp_path).withColumns(
+        {"_FILE": F.lit("mine"), "__row": F.lit(7), "_metadata": F.lit("m"), "a.b": F.lit("dot")}
+    )
+    for frame in (docs, spark.createDataFrame(docs.collect(), docs.schema)):
+        frame = addressable(frame)
+        got = exact_dedup(frame)
+        check(got)
+        stay = kept_rows(frame, got)
+        assert stay.columns == docs.columns
+        mine = {(r["_FILE"], r["__row"], r["_metadata"], r["a.b"]) for r in stay.collect()}
+        assert mine == {("mine", 7, "m", "dot")}

@@ -51,31 +51,38 @@ class Sightings:
 
 def addressable(docs: DataFrame) -> DataFrame:
     """``docs`` as rows of Parquet files; other frames are written to the shared folder."""
-    docs = docs.drop("_file", "_row")
     try:
-        docs.select("_metadata.row_index")
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
     except AnalysisException:
         return settle(docs, "documents")
     return docs
 
 
+def _locator(docs: DataFrame) -> tuple[str, str]:
+    """Names for file and row that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    lead = "_"
+    while {f"{lead}file", f"{lead}row"} & taken:
+        lead += "_"
+    return f"{lead}file", f"{lead}row"
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """Addressable ``docs`` with the locator of each row's content."""
-    return docs.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
-    )
+    """Addressable ``docs`` with the locator of each row's content, as ``_locator`` names it."""
+    file, row = _locator(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs.select("*", place["file_path"].alias(file), place["row_index"].alias(row))
 
 
 def signatures(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One narrow row per document: identifier, digest of its normalised text, locator."""
     text = ascii_lower(text_of())
+    file, row = _locator(docs)
     return located(docs).select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         digest(text).cast("binary").alias("digest"),
-        "_file",
-        "_row",
+        F.col(file).alias("_file"),
+        F.col(row).alias("_row"),
     )
 
 
@@ -130,7 +137,10 @@ def _differing(docs: DataFrame, signed: DataFrame, repeated: DataFrame) -> DataF
         "doc_id",
         F.struct("doc_id", "_file", "_row").eqNullSafe(F.col("keep")).alias("is_keep"),
     )
-    texts = located(docs).select("_file", "_row", ascii_lower(text_of()).alias("norm"))
+    file, row = _locator(docs)
+    texts = located(docs).select(
+        F.col(file).alias("_file"), F.col(row).alias("_row"), ascii_lower(text_of()).alias("norm")
+    )
     found = texts.join(hits, ["_file", "_row"])
     found = settle(found, "hits")  # both sides of the comparison come from it
     kept = found.filter("is_keep").select("digest", F.col("norm").alias("kept_norm"))
@@ -169,7 +179,8 @@ def exact_dedup(
     if not is_directory(spark, state.table):  # a stream without rows writes no state
         current = spark.createDataFrame([], _STATE_SCHEMA).drop("batch")
     else:
-        current = states(spark, state)
+        # Stored, so that the joins with it have a shuffle of their own on both sides.
+        current = settle(states(spark, state), "states")
     odd = settle(_differing(docs, signed, current.filter("seen > 1")), "differing")
     classes = signed.join(current, "digest")
     if not odd.isEmpty():
@@ -207,5 +218,7 @@ def _split(classes: DataFrame, odd: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of addressable ``docs`` that stay, with the columns they had."""
-    stay = verdicts.filter("kept").select("_file", "_row")
-    return located(docs).join(stay, ["_file", "_row"], "left_semi").select(*docs.columns)
+    file, row = _locator(docs)
+    stay = verdicts.filter("kept").select(F.col("_file").alias(file), F.col("_row").alias(row))
+    found = located(docs).join(stay, [file, row], "left_semi")
+    return found.drop(file, row)
