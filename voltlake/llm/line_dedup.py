@@ -154,6 +154,8 @@ def repeated_lines(
         .filter(F.col("n") >= min_docs)
         .drop("n")
     )
+    # Stored first, so that the join has a shuffle of its own on both sides, or none.
+    repeats = settle(repeats, "repeats")
     return found.join(repeats, "key").filter("NOT doc_id <=> keep_id").select("doc_id", "key")
 
 
