@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from voltlake.llm.text import sliced, small_batches
+from voltlake.session import settle
 
 BLOCK = 512
 LEVEL = 3
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     ]
     drawn = drawn[0].unionByName(drawn[1])
     first_half = F.pmod(F.shiftright(_luck(), 7), F.lit(2)) == 0  # of at most 2 * rows_a_label
-    texts = _texts(docs).join(F.broadcast(drawn), "doc_id")
+    # At most 2 * rows_a_label texts, read three times below.
+    texts = settle(_texts(docs).join(F.broadcast(drawn), "doc_id"), "drawn")
     parts = [
         _blocks(texts.filter(first_half & (F.col("quality") == q)), sample.blocks_a_label)
         for q in (1, 0)
