@@ -72,6 +72,15 @@ def test_clean_rows_are_left_alone(frames):
     assert sorted(r.doc_id for r in kept.collect()) == [12, 15, 16, 18, 19, 23]
 
 
+def test_columns_of_any_name_stay(frames):
+    docs, bench = frames
+    docs = docs.withColumns({"_row": F.lit("r"), "dirty_row": F.lit(1), "dirty_id": F.lit(2), "row": F.lit(3)})
+    kept = clean_rows(docs, contaminated(docs, bench))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [12, 15, 16, 18, 19, 23]
+    assert {(r._row, r.dirty_row, r.dirty_id, r.row) for r in kept.collect()} == {("r", 1, 2, 3)}
+
+
 def test_random_documents_against_brute_force(spark):
     rng = random.Random(8)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]

@@ -279,8 +279,7 @@ def contaminated(
 
 def clean_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which nothing was found, with the columns they had."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), text))
-    dirty = found.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
-    same = (marked["_row"] == dirty["_row"]) & marked.doc_id.eqNullSafe(dirty["_id"])
-    return marked.join(dirty, same, "left_anti").drop("_row")
+    row = F.xxhash64(docs["doc_id"].cast("bigint"), F.coalesce(docs["text"], F.lit("")))
+    dirty = found.select(F.col("row").alias("dirty_row"), F.col("doc_id").alias("dirty_id"))
+    same = (row == dirty["dirty_row"]) & docs["doc_id"].eqNullSafe(dirty["dirty_id"])
+    return docs.join(dirty, same, "left_anti")
