@@ -47,7 +47,7 @@ def test_ids_equal_those_of_the_whole_text(kept):
 
 def test_files_round_trip_in_id_order(spark, tmp_path):
     path = str(tmp_path / "tokens")
-    write_tokens(frame(spark), path, layout=Layout(row_group_bytes=4096, page_rows=1))
+    write_tokens(frame(spark), path, added=False, layout=Layout(row_group_bytes=4096, page_rows=1))
     rows = id_checksums(with_starts(spark, path, read_tokens(spark, path)), "doc_id", "start", "n_tokens")
     got = sorted(tuple(r) for r in rows.fillna(-1, ["doc_id"]).collect())
     encode, want, before = plain(), [], 0
@@ -139,7 +139,7 @@ def numbers(raw):
 
 def test_packed_pieces_cover_every_document_without_gaps(spark):
     capacity, encode = 64, plain()
-    rows = packing.pack(frame(spark).repartition(3), capacity=capacity).collect()
+    rows = packing.pack(frame(spark).repartition(3), capacity=capacity, added=False).collect()
     wanted = Counter((i, tuple([*encode(t), END_ID])) for i, t in DOCS)
     for i, ids in wanted:
         if i == 9:
@@ -164,7 +164,7 @@ def test_packed_pieces_cover_every_document_without_gaps(spark):
 
 
 def test_sequences_join_their_pieces(spark):
-    packed = packing.pack(frame(spark), capacity=32)
+    packed = packing.pack(frame(spark), capacity=32, added=False)
     rows = packing.sequences(packed).collect()
     assert sum(len(numbers(r.ids)) for r in rows) == sum(r.length for r in packed.collect())
     for r in rows:
@@ -181,7 +181,7 @@ def test_added_tokens_get_the_ids_of_a_default_tokenizer(spark, tmp_path):
     path, text = str(tmp_path / "tokens"), "no id <|endoftext|> here"
     rows = frame(spark, [(1, text)])
     want = [*default.encode(text, add_special_tokens=False).ids, END_ID]
-    write_tokens(rows, path, added=True)
+    write_tokens(rows, path)
     assert read_tokens(spark, path).first().ids == want
-    packed = packing.pack(rows, added=True).first()
+    packed = packing.pack(rows).first()
     assert np.frombuffer(packed.ids, "<u4").tolist() == want

@@ -196,7 +196,7 @@ def token_pieces(
     capacity: int,
     tokenizer: str | None = None,
     end_id: int = END_ID,
-    added: bool = False,
+    added: bool = True,
 ) -> DataFrame:
     """Each document's ids in pieces; ``nth`` counts the part's pieces of that length.
 
@@ -244,11 +244,12 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = END_ID,
     nodes: int = NODES,
-    added: bool = False,
+    added: bool = True,
 ) -> DataFrame:
     """One row per piece: its ids, its sequence and its place there.
 
-    With ``added``, the tokenizer file's added tokens in a text become their own ids.
+    The tokenizer file's added tokens in a text become their own ids, unless ``added`` is
+    false: then they are text like other.
 
     Columns: doc_id, piece, start, length, ids (little-endian 32-bit numbers), sequence_id,
     offset. Null text is empty: a

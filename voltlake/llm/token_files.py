@@ -49,11 +49,12 @@ def write_tokens(
     tokenizer: str | None = None,
     end_id: int = END_ID,
     layout: Layout = Layout(),  # noqa: B008
-    added: bool = False,
+    added: bool = True,
 ) -> None:
     """Encode every whole text and write one row per row of ``docs``.
 
-    With ``added``, the tokenizer file's added tokens in a text become their own ids.
+    The tokenizer file's added tokens in a text become their own ids, unless ``added`` is
+    false: then they are text like other.
 
     Null text is empty and gets the end id alone. Rows tied on doc_id stand in order of
     their text; a null doc_id comes first. Other columns are not read. No rows make an
