@@ -1,5 +1,6 @@
 import json
 from datetime import date, datetime
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,33 @@ def test_one_failing_feed_of_any_kind_stops_no_other(spark, tmp_path):
         ("garbage", "ERROR — none of 1 payloads is JSON"),
         ("prices", "ERROR — RuntimeError"),
     ]
+
+
+def test_sources_are_loaded_side_by_side(spark, tmp_path):
+    """Each of two sources waits for the other; loaded in turn, neither would end well."""
+    both = Barrier(2)
+
+    def payloads():
+        both.wait(timeout=60)
+        return texts(spark, {"data": []})
+
+    sources = [
+        landing.Source(name, payloads, flat.flatten_national, f"{tmp_path}/{name}") for name in ("b", "a")
+    ]
+    rows = landing.load_sources(spark, sources).collect()
+    assert [(r.source, r.status) for r in rows] == [("b", "OK — 0 rows"), ("a", "OK — 0 rows")]
+
+
+def test_sources_of_one_target_are_loaded_in_turn(spark, tmp_path):
+    begun = []
+
+    def source(name):
+        def payloads():
+            begun.append(name)
+            raise ValueError(name)
+
+        return landing.Source(name, payloads, flat.flatten_national, f"{tmp_path}/one")
+
+    names = [f"s{n}" for n in range(6)]
+    rows = landing.load_sources(spark, [source(n) for n in names]).collect()
+    assert begun == names == [r.source for r in rows]

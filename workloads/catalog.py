@@ -1,6 +1,7 @@
 """Every registered query beside the SQL that must give the same rows."""
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 from functools import reduce
 
@@ -191,8 +192,9 @@ def _landed(frames: Frames) -> dict[str, str]:
         "prices": views.price_payloads,
         "carbon_national": views.national_payloads,
     }
-    for name, make in feeds.items():
-        make(frames.events).select("payload").write.text(f"{root}/{name}")
+    payloads = {name: make(frames.events).select("payload") for name, make in feeds.items()}
+    with ThreadPoolExecutor(landing.CONCURRENT_LOADS) as pool:  # feeds land independently
+        list(pool.map(lambda name: payloads[name].write.text(f"{root}/{name}"), payloads))
     return {name: f"{root}/{name}" for name in feeds}
 
 
