@@ -3,13 +3,21 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
 from voltlake.llm import packing
 from voltlake.llm.token_files import Layout, read_tokens, with_starts, write_tokens
-from voltlake.llm.tokens import END_ID, Encoder, id_checksums, tokenizer_path
+from voltlake.llm.tokens import (
+    END_ID,
+    Encoder,
+    encoder,
+    id_checksums,
+    token_batches,
+    tokenizer_path,
+)
 
 BITS = [" ", "  ", "\n", "\n\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", "a", "foo"]
 BITS += ["'s", "'", "12", "!", "%%", "é", "漢", "🙂", "<|endoftext|>", "<|", "|>", "　", "\r\n"]
@@ -185,3 +193,10 @@ def test_added_tokens_get_the_ids_of_a_default_tokenizer(spark, tmp_path):
     assert read_tokens(spark, path).first().ids == want
     packed = packing.pack(rows).first()
     assert np.frombuffer(packed.ids, "<u4").tolist() == want
+
+
+def test_words_with_a_mark_are_put_together_once():
+    own = Encoder(tokenizer_path())
+    first = own.encode("a word, a word.\nNext word.")
+    assert {"word,", "word.", "\nNext"} <= set(own.after_blank)
+    assert own.encode("a word, a word.\nNext word.") == first
