@@ -200,3 +200,14 @@ def test_words_with_a_mark_are_put_together_once():
     first = own.encode("a word, a word.\nNext word.")
     assert {"word,", "word.", "\nNext"} <= set(own.after_blank)
     assert own.encode("a word, a word.\nNext word.") == first
+
+
+def test_a_worker_remembers_as_many_pieces_as_it_is_told():
+    texts = [" ".join(f"w{n}x{k} n{n}k{k}." for k in range(10)) for n in range(300)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    (_, ids), = token_batches(iter([batch]), tokenizer_path(), END_ID, pieces_kept=100)
+    assert [i.tolist()[:-1] for i in ids] == [plain()(t) for t in texts]
+    own = encoder(tokenizer_path(), False, 100)
+    for known in (own.pieces, own.pieces.words, own.after_blank):
+        # Half the bound and one text's pieces each, new and old.
+        assert 0 < len(known) + len(known.old) <= 100 + 2 * 60
