@@ -135,27 +135,32 @@ def _merge(spark: SparkSession, table: KeyedTable, batch: DataFrame) -> Pointer:
     if not before.parts:
         return _written(newest, table)
     path = scratch_path(spark, "batch")
-    newest.hint("rebalance", PART).write.partitionBy(PART).parquet(path)
-    prefix = f"{PART}="
-    dates = [n.removeprefix(prefix) for n in list_names(spark, path) if n.startswith(prefix)]
+    newest.write.parquet(path)
+    stored = spark.read.schema(newest.schema).parquet(path)
+    found = stored.select(F.col(PART).cast("string")).distinct().collect()  # by the calendar
+    dates = sorted(r[0] for r in found)
     if not dates:
         delete(spark, path)
         return before
-    stored = spark.read.schema(newest.schema).parquet(path)
     there = [d for d in dates if d in before.parts]
     both = stored
     if there:
         known = snapshots.read(spark, table.path, before, there)
         both = known.unionByName(stored, allowMissingColumns=True)
-    after = _written(newest_per_key(both, table.keys, table.version), table)
+    after = _written(newest_per_key(both, table.keys, table.version), table, len(dates))
     delete(spark, path)
     return after
 
 
-def _written(df: DataFrame, table: KeyedTable) -> Pointer:
+def _written(df: DataFrame, table: KeyedTable, n_dates: int = 0) -> Pointer:
     """Write rows by date; the write finds their greatest version."""
     return snapshots.write(
-        df.sparkSession, table.path, df, touches=table.touches, version_column=table.version
+        df.sparkSession,
+        table.path,
+        df,
+        touches=table.touches,
+        version_column=table.version,
+        n_dates=n_dates,
     )
 
 

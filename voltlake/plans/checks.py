@@ -59,7 +59,7 @@ def refresh(
             rows = rows.groupBy(PART, _digest(keys, column).alias("digest")).agg(n_rows, *counted)
         else:
             rows = snapshots.read(spark, at, parts=())
-        written = snapshots.write(spark, at, rows, replaced=fresh | gone)
+        written = snapshots.write(spark, at, rows, replaced=fresh | gone, n_dates=len(fresh))
         touched = snapshots.read(spark, at, written, sorted(fresh))
         _note_repeated(spark, root, touched, written, fresh, alone=column == filed_by)
         sums = [F.sum(f"_t{i}").alias(f"_t{i}") for i in range(len(counted))]
@@ -74,7 +74,12 @@ def refresh(
     else:
         per_date = per_date.select(PART, F.inline(check_rows(contract, found)))
     snapshots.write(
-        spark, f"{root}/counts", per_date, replaced=fresh | gone, notes={SOURCE: now.number}
+        spark,
+        f"{root}/counts",
+        per_date,
+        replaced=fresh | gone,
+        notes={SOURCE: now.number},
+        n_dates=len(fresh),
     )
     return fresh
 
@@ -102,7 +107,8 @@ def _note_repeated(
     rows = rows.distinct()
     more = rows.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1").select("digest")
     repeated = rows.join(more, "digest", "left_semi")
-    snapshots.write(spark, f"{root}/repeated", repeated, everything=True)
+    n_dates = len(fresh) + len(kept)
+    snapshots.write(spark, f"{root}/repeated", repeated, everything=True, n_dates=n_dates)
 
 
 def results(spark: SparkSession, root: str, contract: Contract) -> DataFrame:

@@ -265,7 +265,12 @@ class Lake:
         rows = rows.withColumn(PART, dated(mart.slot))
         if mart.monthly:
             rows = rows.drop("month")
-        return self._write(name, rows, mart.follows, now, replaced, days is None)
+        n_dates = 0 if mart.monthly else len(self._dates(mart.reads, now) if days is None else days)
+        return self._write(name, rows, mart.follows, now, replaced, days is None, n_dates)
+
+    def _dates(self, tables: Iterable[str], now: dict[str, Pointer]) -> set[str]:
+        """The dates that rows of some tables are filed under."""
+        return {p for t in tables for p in now[t].parts}
 
     def _write(
         self,
@@ -275,6 +280,7 @@ class Lake:
         now: dict[str, Pointer],
         replaced: Iterable[str],
         everything: bool,
+        n_dates: int = 0,
     ) -> Pointer:
         return snapshots.write(
             self.spark,
@@ -283,6 +289,7 @@ class Lake:
             replaced=replaced,
             everything=everything,
             notes={s: now[s].number for s in follows},
+            n_dates=n_dates,
         )
 
     def _make_renewable_mix(self, now: dict[str, Pointer]) -> None:
@@ -296,23 +303,24 @@ class Lake:
         totals = self._on(_TOTALS, now[_TOTALS], days)
         if days is None:
             rows = gold.mart_renewable_mix(totals, self.keys, rolling)
-            self._write(name, rows.withColumn(PART, dated("hour_utc")), follows, now, (), True)
+            rows, n_dates = rows.withColumn(PART, dated("hour_utc")), len(now[_TOTALS].parts)
+            self._write(name, rows, follows, now, (), True, n_dates)
             return
         columns = [*self.keys, "hour_utc", "renewable_mw", "total_mw", PART]
         stored = snapshots.read(self.spark, self._path(name), before)
         hourly = gold.hourly_totals(totals, self.keys).withColumn(PART, dated("hour_utc"))
-        is_old = F.col(PART).cast("string").isin(sorted(days))
+        is_old = on_days(PART, days)
         hourly = stored.filter(~is_old).select(columns).unionByName(hourly.select(columns))
         # A changed day counts even if it has no rows any more.
         places = hourly.select(*self.keys, PART, F.lit(1).alias("n"))
         places = places.unionByName(stored.filter(is_old).select(*self.keys, PART, F.lit(0).alias("n")))
         counts = places.groupBy(*self.keys, PART).agg(F.sum("n").alias("n"))
         reach = trailing_reach(counts, PART, days, rolling, self.keys)
-        near = hourly.filter(F.col(PART).cast("string").isin(sorted(reach.read)))
+        near = hourly.filter(on_days(PART, reach.read))
         rows = gold.renewable_shares(near, self.keys, rolling).withColumn(PART, dated("hour_utc"))
-        rows = rows.filter(F.col(PART).cast("string").isin(sorted(reach.rewritten)))
+        rows = rows.filter(on_days(PART, reach.rewritten))
         self.rebuilt[name] = reach.rewritten
-        self._write(name, rows, follows, now, reach.rewritten, False)
+        self._write(name, rows, follows, now, reach.rewritten, False, len(reach.rewritten))
 
     def _make_regional(self, now: dict[str, Pointer]) -> None:
         """The newest snapshot of a region: of the stored one and of those that came."""

@@ -9,13 +9,18 @@ take as long as ``KEEP`` writes do.
 
 The pointer also says which row version was loaded last, and when each date changed, so
 that tables made from this one can follow. It grows with the calendar, not with the rows.
+
+A version has a folder per date, or, when the writer knows that its rows are of more than
+``APART`` dates, a folder per month whose files are sorted by date: a folder and a file take
+longer than a small date's rows. Such a folder goes when no date of its month is current.
 """
 
 import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
@@ -26,6 +31,10 @@ PART, VERSION = "part_date", "version"
 NO_DATE = "1900-01-01"
 # Pointers, and the versions they name, that stay for readers.
 KEEP = 3
+# Rows of more dates than this are filed by month, in versions with this ending.
+APART, BY_MONTH = 62, "-months"
+# The date of a row in a folder of a month.
+DAY = "_part_day"
 
 
 @dataclass(frozen=True)
@@ -70,6 +79,12 @@ def dated(column: str | Column) -> Column:
     return F.coalesce(F.to_date(column), F.lit(NO_DATE).cast("date"))
 
 
+def _folder(root: str, version: str, part: str) -> str:
+    """Where a version has the rows of a date."""
+    part = f"{part[:7]}-01" if version.endswith(BY_MONTH) else part
+    return f"{root}/{VERSION}={version}/{PART}={part}"
+
+
 def _pointers(root: str) -> str:
     return f"{root.rstrip('/')}/_pointers"
 
@@ -110,16 +125,30 @@ def read(
     by_version: dict[str, list[str]] = {}
     for part, version in sorted(wanted.items()):
         by_version.setdefault(version, []).append(part)
-    paths = []
+    root = root.rstrip("/")
+    paths, some, monthly = [], [], any(v.endswith(BY_MONTH) for v in by_version)
     for version, its in sorted(by_version.items()):
-        folder = f"{root.rstrip('/')}/{VERSION}={version}"
         whole = len(its) == pointer.written[version]
-        paths += [folder] if whole else [f"{folder}/{PART}={p}" for p in its]
+        if whole:
+            paths.append(f"{root}/{VERSION}={version}")
+        else:
+            paths += dict.fromkeys(_folder(root, version, p) for p in its)
+            if version.endswith(BY_MONTH):
+                some.append((version, its))
     columns = StructType.fromJson(pointer.schema).fields if pointer.schema else []
     if not paths:
         return spark.createDataFrame([], StructType([*columns, _FILED[1]]))
-    reader = spark.read.option("basePath", root).schema(StructType([*columns, *_FILED]))
-    return reader.parquet(*paths).drop(VERSION)
+    days = [StructField(DAY, DateType())] if monthly else []
+    reader = spark.read.option("basePath", root).schema(StructType([*columns, *days, *_FILED]))
+    rows = reader.parquet(*paths)
+    if some:
+        here = [(F.col(VERSION) == v) & _in_runs(F.col(DAY), its) for v, its in some]
+        rows = rows.filter(reduce(Column.__or__, here, ~F.col(VERSION).isin([v for v, _ in some])))
+        # The same without versions, which files can be searched by.
+        rows = rows.filter(F.col(DAY).isNull() | _in_runs(F.col(DAY), wanted))
+    if monthly:
+        rows = rows.withColumn(PART, F.coalesce(DAY, PART))
+    return rows.drop(VERSION, DAY)
 
 
 _FILED = [StructField(VERSION, StringType()), StructField(PART, DateType())]
@@ -146,29 +175,41 @@ def write(
     touches: str | None = None,
     version_column: str | None = None,
     notes: dict[str, int] | None = None,
+    n_dates: int = 0,
 ) -> Pointer:
     """Write ``rows``, filed by their ``part_date``, and make them current.
 
     The dates of ``rows`` are replaced, and so are those named in ``replaced``, which lose
     their rows if none come. With ``everything`` no other date stays. ``touches`` is a time
     column whose days are recorded per part, ``version_column`` the one whose greatest
-    value is the mark. One writer at a time: see ``upsert.held``.
+    value is the mark. ``n_dates`` is about how many dates the rows are of, if the writer
+    knows. One writer at a time: see ``upsert.held``.
     """
     root = root.rstrip("/")
     names = _named(spark, root)
     before = _load(spark, root, names[-1]) if names else Pointer()
     schema = _columns(None if everything else before.schema, rows)
     number = before.number + 1
-    version = f"{number:09d}-{uuid.uuid4().hex[:8]}"
+    monthly = n_dates > APART
+    version = f"{number:09d}-{uuid.uuid4().hex[:8]}{BY_MONTH if monthly else ''}"
     folder = f"{root}/{VERSION}={version}"
     seen = Observation("written")
     if version_column:
         rows = rows.observe(seen, F.max(version_column).alias("mark"))
     # Rebalancing splits a date that holds most of the rows and merges tiny ones.
-    rows.hint("rebalance", PART).write.partitionBy(PART).parquet(folder)
+    if monthly:
+        rows = rows.withColumn(DAY, F.col(PART)).withColumn(PART, F.trunc(PART, "month"))
+        rows = rows.hint("rebalance", PART).sortWithinPartitions(PART, DAY)
+    else:
+        rows = rows.hint("rebalance", PART)
+    rows.write.partitionBy(PART).parquet(folder)
     marks = [before.mark, _iso(seen.get["mark"])] if version_column else [before.mark]
     here = [n.removeprefix(f"{PART}=") for n in list_names(spark, folder) if n.startswith(f"{PART}=")]
-    days = _days(spark, folder, touches) if touches and here else {}
+    filed = DAY if monthly else PART
+    if monthly and here:
+        filed_on = spark.read.schema(f"{DAY} date").parquet(folder)
+        here = [str(r[0]) for r in filed_on.select(DAY).distinct().collect()]  # by the calendar
+    days = _days(spark, folder, filed, touches) if touches and here else {}
     gone = set(before.parts) if everything else set(replaced) | set(here)
     touched = {d for p in gone if p in before.parts for d in before.days(p)}
     touched |= {d for p in here for d in days.get(p, [p])} | set(replaced)
@@ -193,9 +234,9 @@ def _iso(moment: datetime | None) -> str | None:
     return None if moment is None else moment.isoformat(timespec="microseconds")
 
 
-def _days(spark: SparkSession, folder: str, touches: str) -> dict[str, list[str]]:
+def _days(spark: SparkSession, folder: str, filed: str, touches: str) -> dict[str, list[str]]:
     """The days that rows of each part touch, where they are not just the part's own."""
-    rows = spark.read.parquet(folder).select(F.col(PART).cast("string"), dated(touches).cast("string").alias("day"))
+    rows = spark.read.parquet(folder).select(F.col(filed).cast("string"), dated(touches).cast("string").alias("day"))
     found: dict[str, list[str]] = {}
     for part, day in rows.distinct().collect():  # days by the calendar
         found.setdefault(part, []).append(day)
@@ -219,10 +260,10 @@ def _clean(spark: SparkSession, root: str) -> None:
     kept = [_load(spark, root, n) for n in stay]
     named = {(v, p) for pointer in kept for p, v in pointer.parts.items()}
     versions = {v for v, _ in named}
-    for name in go:
-        for part, version in _load(spark, root, name).parts.items():
-            if version in versions and (version, part) not in named:
-                delete(spark, f"{root}/{VERSION}={version}/{PART}={part}")
+    used = {_folder(root, v, p) for v, p in named}
+    old = [(v, p) for n in go for p, v in _load(spark, root, n).parts.items()]
+    for folder in sorted({_folder(root, v, p) for v, p in old if v in versions} - used):
+        delete(spark, folder)
     for name in list_names(spark, root):
         if name.startswith(f"{VERSION}=") and name.removeprefix(f"{VERSION}=") not in versions:
             delete(spark, f"{root}/{name}")
@@ -235,4 +276,16 @@ def _clean(spark: SparkSession, root: str) -> None:
 
 def on_days(column: str | Column, days: Iterable[str]) -> Column:
     """Whether a time falls on one of some days, as literals; no time counts as its own day."""
-    return dated(column).isin([date.fromisoformat(d) for d in sorted(days)])
+    return _in_runs(dated(column), days)
+
+
+def _in_runs(column: Column, days: Iterable[str]) -> Column:
+    """Whether a date is one of some days, by runs of days that follow each other."""
+    runs: list[list[date]] = []
+    for day in map(date.fromisoformat, sorted(set(days))):
+        if runs and day - runs[-1][1] == timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    alone = column.isin([first for first, last in runs if first == last])
+    return reduce(Column.__or__, [column.between(*run) for run in runs if run[0] < run[1]], alone)
