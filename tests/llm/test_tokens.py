@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -211,3 +212,20 @@ def test_a_worker_remembers_as_many_pieces_as_it_is_told():
     for known in (own.pieces, own.pieces.words, own.after_blank):
         # Half the bound and one text's pieces each, new and old.
         assert 0 < len(known) + len(known.old) <= 100 + 2 * 60
+
+
+def test_packing_alone_remembers_more_than_as_the_last_stage(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"word{i % 7} and other{i} words, again") for i in range(60)], "doc_id bigint, text string"
+    )
+    kept, plain = [], packing.token_pieces
+
+    def spy(docs, capacity, tokenizer, end_id, added, pieces_kept):
+        kept.append(pieces_kept)
+        return plain(docs, capacity, tokenizer, end_id, added, pieces_kept if kept[1:] else 10)
+
+    monkeypatch.setattr(packing, "token_pieces", spy)
+    columns = ["doc_id", "piece", "start", "length", "ids"]
+    alone, last = packing.pack(docs), corpus_pipeline.pack(spark, docs, "")
+    assert sorted(alone.select(columns).collect()) == sorted(last.select(columns).collect())
+    assert kept == [1_000_000, 200_000]
